@@ -17,6 +17,8 @@ AGGREGATES = ("count", "size", "sum", "min", "max", "mean", "nunique")
 def aggregate_column(df: DataFrame, column: str, agg: str, distinct_counts_null: bool = False) -> Column:
     """One aggregate over the non-missing values of a column."""
     value = present(df, column)
+    if agg in ("sum", "mean") and isinstance(type_of(df, column), T.BooleanType):
+        value = value.cast("int")
     if agg == "count":
         return F.count(value)
     if agg == "size":
@@ -70,10 +72,15 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+DIGEST_ABOVE = 64
+
+
+def value_frequencies(df: DataFrame, columns: Sequence[str], digest_long: bool = False) -> DataFrame:
     """(column, value, n) for the given columns: one shuffle for all, whatever their number.
 
-    A row with n = 0 per column is added so that a table without rows still lists its columns.
+    With ``digest_long`` values of more than 64 characters are replaced by their SHA-256, which
+    keeps whole documents out of the shuffle where only their number counts. A row with n = 0 per
+    column is added so that a table without rows still lists its columns.
     """
     spark = df.sparkSession
     names = spark.range(1).select(
@@ -82,6 +89,9 @@ def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.lit(0).cast("bigint").alias("one"),
     )
     cells = long_values(df, columns).withColumn("one", F.lit(1).cast("bigint")).unionByName(names)
+    if digest_long:
+        long = F.length("value") > DIGEST_ABOVE
+        cells = cells.withColumn("value", F.when(long, F.sha2("value", 256)).otherwise(F.col("value")))
     return cells.groupBy("column", "value").agg(F.sum("one").alias("n"))
 
 
@@ -95,7 +105,7 @@ def count_distinct(df: DataFrame, columns: str | Sequence[str] | None = None, ap
         counts = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"c{i}") for i, c in enumerate(names)])
         cells = [F.struct(F.lit(c).alias("column"), col(f"c{i}").alias("distinct_count")) for i, c in enumerate(names)]
         return counts.select(F.inline(F.array(*cells)))
-    return value_frequencies(df, names).groupBy("column").agg(F.count("value").alias("distinct_count"))
+    return value_frequencies(df, names, True).groupBy("column").agg(F.count("value").alias("distinct_count"))
 
 
 def value_counts(df: DataFrame, column: str, top_k: int | None = None) -> DataFrame:
