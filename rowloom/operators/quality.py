@@ -130,97 +130,116 @@ def _json_type(v: Column) -> Column:
     )
 
 
-def _type_rule(v: Column, wanted: Any) -> Column:
+@dataclass(frozen=True)
+class _Value:
+    """A value of the event with its JSON type, both computed once per row and path."""
+
+    variant: Column
+    type: Column
+
+    def number(self) -> Column:
+        """The numeric value; null for anything that is not a number."""
+        return F.when(self.type.isin("integer", "number"), F.try_variant_get(self.variant, "$", "double"))
+
+    def string(self) -> Column:
+        return F.when(self.type == "string", F.try_variant_get(self.variant, "$", "string"))
+
+    def boolean(self) -> Column:
+        return F.when(self.type == "boolean", F.try_variant_get(self.variant, "$", "boolean"))
+
+
+def _type_rule(v: _Value, wanted: Any) -> Column:
     names = as_list(wanted)
     unknown = [n for n in names if n not in JSON_TYPES]
     if unknown:
         raise ToolkitError(f"unknown JSON types {unknown}")
     allowed = set(names) | ({"integer"} if "number" in names else set())
-    return ~_json_type(v).isin(sorted(allowed))
+    return ~v.type.isin(sorted(allowed))
 
 
-def _number(v: Column) -> Column:
-    """The numeric value; null for anything that is not a number."""
-    return F.when(_json_type(v).isin("integer", "number"), F.try_variant_get(v, "$", "double"))
-
-
-def _string(v: Column) -> Column:
-    return F.when(_json_type(v) == "string", F.try_variant_get(v, "$", "string"))
-
-
-def _enum_rule(v: Column, allowed: Sequence[Any]) -> Column:
+def _enum_rule(v: _Value, allowed: Sequence[Any]) -> Column:
     tests = []
     for item in allowed:
         if item is None:
-            tests.append(F.is_variant_null(v))
+            tests.append(v.type == "null")
         elif isinstance(item, bool):
-            tests.append((_json_type(v) == "boolean") & (F.try_variant_get(v, "$", "boolean") == F.lit(item)))
+            tests.append(v.boolean() == F.lit(item))
         elif isinstance(item, (int, float)):
-            tests.append(_number(v) == F.lit(float(item)))
+            tests.append(v.number() == F.lit(float(item)))
         elif isinstance(item, str):
-            tests.append(_string(v) == F.lit(item))
+            tests.append(v.string() == F.lit(item))
         else:
             raise ToolkitError("enum values must be scalars")
     return ~reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
 
 
 # Each entry gives the condition under which a present value breaks the rule.
-_RULES: dict[str, Callable[[Column, Any], Column]] = {
+_RULES: dict[str, Callable[[_Value, Any], Column]] = {
     "type": _type_rule,
     "enum": _enum_rule,
     "const": lambda v, x: _enum_rule(v, [x]),
-    "minimum": lambda v, x: _number(v) < F.lit(float(x)),
-    "maximum": lambda v, x: _number(v) > F.lit(float(x)),
-    "exclusiveMinimum": lambda v, x: _number(v) <= F.lit(float(x)),
-    "exclusiveMaximum": lambda v, x: _number(v) >= F.lit(float(x)),
-    "pattern": lambda v, x: ~_string(v).rlike(x),
-    "minLength": lambda v, x: F.length(_string(v)) < F.lit(int(x)),
-    "maxLength": lambda v, x: F.length(_string(v)) > F.lit(int(x)),
+    "minimum": lambda v, x: v.number() < F.lit(float(x)),
+    "maximum": lambda v, x: v.number() > F.lit(float(x)),
+    "exclusiveMinimum": lambda v, x: v.number() <= F.lit(float(x)),
+    "exclusiveMaximum": lambda v, x: v.number() >= F.lit(float(x)),
+    "pattern": lambda v, x: ~v.string().rlike(x),
+    "minLength": lambda v, x: F.length(v.string()) < F.lit(int(x)),
+    "maxLength": lambda v, x: F.length(v.string()) > F.lit(int(x)),
 }
 
 
-def _broken(variant: Column, rule: Rule) -> Column:
-    value = _at(variant, rule.path)
+def _broken(rule: Rule, values: Mapping[tuple[str, ...], _Value]) -> Column:
+    value = values[rule.path]
     if rule.kind == "required":
         # a field is only required inside an object that is there
-        parent_is_object = _json_type(_at(variant, rule.path[:-1])) == "object"
-        return F.coalesce(parent_is_object, F.lit(False)) & value.isNull()
-    if rule.kind not in _RULES:
+        broken = (values[rule.path[:-1]].type == "object") & value.type.isNull()
+    elif rule.kind in _RULES:
+        broken = value.type.isNotNull() & _RULES[rule.kind](value, rule.value)
+    else:
         raise ToolkitError(f"unknown rule {rule.kind!r}")
-    return F.coalesce(value.isNotNull() & _RULES[rule.kind](value, rule.value), F.lit(False))
+    return F.coalesce(broken, F.lit(False))
 
 
 def validate_events(df: DataFrame, column: str, rules: Sequence[Rule] | Mapping[str, Any]) -> DataFrame:
     """Adds ``valid`` and ``errors``, an array of (path, rule), to each JSON event.
 
     ``rules`` is a list of :class:`Rule` or a JSON Schema. Text that is not JSON breaks the rule
-    ``json``. The text is parsed once per row; all tests are native expressions, so the same code
-    runs in batch and on a stream.
+    ``json``. The text is parsed once per row and each path looked up once; all tests are native
+    expressions, so the same code runs in batch and on a stream.
     """
     require(df, column)
     if isinstance(rules, Mapping):
         rules = rules_from_schema(rules)
-    parsed = "__event"
-    variant = F.col(parsed)
     error = "struct<path:string,rule:string>"
     bad_json = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
+
+    paths = list(dict.fromkeys(p for r in rules for p in ((r.path[:-1], r.path) if r.kind == "required" else (r.path,))))
+    looked_up = {f"__v{i}": _at(F.col("__event"), p) for i, p in enumerate(paths)}
+    typed = {f"__t{i}": _json_type(F.col(f"__v{i}")) for i in range(len(paths))}
+    values = {p: _Value(F.col(f"__v{i}"), F.col(f"__t{i}")) for i, p in enumerate(paths)}
     found = [
-        F.when(_broken(variant, r), F.struct(F.lit(r.text_path).alias("path"), F.lit(r.label).alias("rule")))
-        for r in rules
+        F.when(_broken(r, values), F.struct(F.lit(r.text_path).alias("path"), F.lit(r.label).alias("rule"))) for r in rules
     ]
-    errors = F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast(f"array<{error}>")
+    errors = F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{error}>")
     return (
-        df.withColumn(parsed, F.try_parse_json(col(column)))
-        .withColumn("errors", F.when(variant.isNull(), bad_json).otherwise(errors))
-        .drop(parsed)
+        df.withColumn("__event", F.try_parse_json(col(column)))
+        .withColumns(looked_up)
+        .withColumns(typed)
+        .withColumn("errors", F.when(F.col("__event").isNull(), bad_json).otherwise(errors))
         .withColumn("valid", F.size("errors") == 0)
+        .drop("__event", *looked_up, *typed)
     )
 
 
 def summarize_errors(validated: DataFrame) -> DataFrame:
-    """(path, rule, n): how many events broke each rule."""
+    """(path, rule, n): how many events broke each rule.
+
+    ``explode_outer``, because Spark would add a filter on the array to a plain ``explode`` and
+    push it below the projection that computes the array, which then runs twice.
+    """
     return (
-        validated.select(F.explode("errors").alias("e"))
+        validated.select(F.explode_outer("errors").alias("e"))
+        .filter(F.col("e").isNotNull())
         .groupBy(F.col("e.path").alias("path"), F.col("e.rule").alias("rule"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -88,16 +88,16 @@ def histogram(spark, folder):
     return bins.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
+_POINT = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+
+
 @query(
     "scatter",
-    """SELECT l_quantity, l_extendedprice FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey) * FROM lineitem)
-       ORDER BY md5('3:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey), l_orderkey, l_linenumber, l_partkey LIMIT 500""",
+    f"""SELECT l_quantity, l_extendedprice FROM lineitem
+        ORDER BY md5(concat_ws(':', '3', {", ".join(_POINT)})), {", ".join(_POINT)} LIMIT 500""",
 )
 def scatter(spark, folder):
-    lineitem = table(spark, folder, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey"])
-    return charts.scatter_data(
-        lineitem, "l_quantity", "l_extendedprice", 500, key=["l_orderkey", "l_linenumber", "l_partkey"], seed=3
-    )
+    return charts.scatter_data(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", 500, key=_POINT, seed=3)
 
 
 # --- E1, E3: two versions of the events table -----------------------------------------------------
