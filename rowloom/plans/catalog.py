@@ -43,7 +43,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def load_all() -> dict[str, Entry]:
     """Import every query module and return the registry."""
     from rowloom.plans import (  # noqa: F401
+        event_queries,
         quality_queries,
+        sql_queries,
         table_queries,
     )
 
