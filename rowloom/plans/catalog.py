@@ -45,7 +45,9 @@ def load_all() -> dict[str, Entry]:
     from rowloom.plans import (  # noqa: F401
         event_queries,
         quality_queries,
+        source_queries,
         sql_queries,
+        stream_queries,
         table_queries,
     )
 
