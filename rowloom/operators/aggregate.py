@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
-from rowloom.functions.columns import as_text, col, is_missing, is_numeric, present, require, type_of
+from rowloom.functions.columns import as_text, col, is_floating, is_missing, is_numeric, present, require, type_of
 
 AGGREGATES = ("count", "size", "sum", "min", "max", "mean", "nunique")
 
@@ -66,33 +66,58 @@ def group_aggregate(
     return df.groupBy(*[col(g) for g in groups]).agg(*outputs)
 
 
-def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value) rows holding the text form of every cell; missing stays null."""
-    cells = [F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*cells)))
-
-
 DIGEST_ABOVE = 64
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str], digest_long: bool = False) -> DataFrame:
-    """(column, value, n) for the given columns: one shuffle for all, whatever their number.
+def _typed_cell(df: DataFrame, name: str, as_words: bool) -> tuple[Column, Column, Column]:
+    """A cell as (whole number, double, text), one of them set; all null if missing.
 
-    With ``digest_long`` values of more than 64 characters are replaced by their SHA-256, which
-    keeps whole documents out of the shuffle where only their number counts. A row with n = 0 per
-    column is added so that a table without rows still lists its columns.
+    Numbers and times keep a fixed width, which makes grouping much cheaper than on text.
     """
-    spark = df.sparkSession
-    names = spark.range(1).select(
-        F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"),
-        F.lit(None).cast("string").alias("value"),
-        F.lit(0).cast("bigint").alias("one"),
+    dtype, value = type_of(df, name), present(df, name)
+    whole, double, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+    if as_words:
+        text = as_text(df, name)
+    elif isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        whole = value.cast("bigint")
+    elif is_floating(dtype):
+        double = value.cast("double")
+    elif isinstance(dtype, T.DateType):
+        whole = F.unix_date(value).cast("bigint")
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        whole = F.unix_micros(value.cast("timestamp"))
+    else:
+        text = as_text(df, name)
+        text = F.when(F.length(text) > DIGEST_ABOVE, F.sha2(text, 256)).otherwise(text)
+    return whole, double, text
+
+
+def value_frequencies(df: DataFrame, columns: Sequence[str], as_words: bool = False) -> DataFrame:
+    """(column, present, value, n) for every distinct value of the given columns, and for missing ones.
+
+    One shuffle serves all columns, whatever their number. ``value`` holds the text form with
+    ``as_words``. Without, it is meant for counting only: texts of more than 64 characters are
+    told apart by their SHA-256, which keeps whole documents out of the shuffle. A row with n = 0
+    per column is added so that a table without rows still lists its columns.
+    """
+    def row(i: int, cell: tuple[Column, Column, Column], one: int) -> Column:
+        parts = dict(zip(("whole", "double", "text"), cell))
+        return F.struct(F.lit(i).alias("at"), *[c.alias(n) for n, c in parts.items()], F.lit(one).cast("bigint").alias("one"))
+
+    nothing = tuple(F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+    names = df.sparkSession.range(1).select(F.inline(F.array(*[row(i, nothing, 0) for i in range(len(columns))])))
+    cells = df.select(F.inline(F.array(*[row(i, _typed_cell(df, c, as_words), 1) for i, c in enumerate(columns)])))
+    return (
+        cells.unionByName(names)
+        .groupBy("at", "whole", "double", "text")
+        .agg(F.sum("one").alias("n"))
+        .select(
+            F.array(*[F.lit(c) for c in columns])[F.col("at")].alias("column"),
+            (F.col("whole").isNotNull() | F.col("double").isNotNull() | F.col("text").isNotNull()).alias("present"),
+            F.col("text").alias("value"),
+            "n",
+        )
     )
-    cells = long_values(df, columns).withColumn("one", F.lit(1).cast("bigint")).unionByName(names)
-    if digest_long:
-        long = F.length("value") > DIGEST_ABOVE
-        cells = cells.withColumn("value", F.when(long, F.sha2("value", 256)).otherwise(F.col("value")))
-    return cells.groupBy("column", "value").agg(F.sum("one").alias("n"))
 
 
 def count_distinct(df: DataFrame, columns: str | Sequence[str] | None = None, approx: bool = False) -> DataFrame:
@@ -105,7 +130,7 @@ def count_distinct(df: DataFrame, columns: str | Sequence[str] | None = None, ap
         counts = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"c{i}") for i, c in enumerate(names)])
         cells = [F.struct(F.lit(c).alias("column"), col(f"c{i}").alias("distinct_count")) for i, c in enumerate(names)]
         return counts.select(F.inline(F.array(*cells)))
-    return value_frequencies(df, names, True).groupBy("column").agg(F.count("value").alias("distinct_count"))
+    return value_frequencies(df, names).groupBy("column").agg(F.count_if("present").alias("distinct_count"))
 
 
 def value_counts(df: DataFrame, column: str, top_k: int | None = None) -> DataFrame:
@@ -200,7 +225,7 @@ def describe(
     if numeric:
         parts.append(_describe_numbers(df, numeric, approx, quantiles))
     if other:
-        frequencies = value_frequencies(df, other).groupBy("column").agg(
+        frequencies = value_frequencies(df, other, as_words=True).groupBy("column").agg(
             F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("count"),
             F.count("value").alias("unique"),
             F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), F.col("value")))).alias("top"),

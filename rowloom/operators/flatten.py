@@ -50,9 +50,10 @@ def _leaf(variant: Column, path: Sequence[str], dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
         return _json_or_null(F.try_variant_get(variant, where, "variant"))
     if isinstance(dtype, T.VariantType):
-        value = F.try_variant_get(variant, where, "variant")
+        # scalars plainly, nested values as JSON; the text "[]" of a string value is kept
         text = F.try_variant_get(variant, where, "string")
-        return F.when(F.schema_of_variant(value).startswith("ARRAY"), _json_or_null(value)).otherwise(text)
+        empty = (text == "[]") & F.schema_of_variant(F.try_variant_get(variant, where, "variant")).startswith("ARRAY")
+        return F.when(~empty, text)
     if isinstance(dtype, T.NullType):
         return F.lit(None).cast("string")
     target = "double" if isinstance(dtype, T.DecimalType) else dtype.simpleString()
@@ -112,22 +113,22 @@ def _target(value: Column, path: str, dtype: str) -> Column:
 def _json_rows(df: DataFrame, column: str, expand_arrays: bool) -> DataFrame:
     """The rows with valid JSON and their value as ``__json``.
 
-    The array form uses ``explode_outer`` with a later filter: a plain ``explode`` makes Spark
-    push a filter on the array below its projection, which parses every text twice.
+    Values pass through ``explode_outer``: a filter on a plain projection, or the one Spark adds
+    to a plain ``explode``, would be pushed below the projection and every text parsed twice.
     """
     value = F.col("__json")
-    rows = df.withColumn("__json", parsed(column))
-    if expand_arrays:
-        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
-        text = F.try_variant_get(value, "$", "string")
-        again = F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(text)).otherwise(value)
-        from_array = F.col("__array") & value.isNotNull()
-        rows = (
-            rows.withColumn("__array", F.schema_of_variant(value).startswith("ARRAY"))
-            .withColumn("__json", F.explode_outer(items))
-            .withColumn("__json", F.when(from_array, again).otherwise(value))
-        )
-    return rows.filter(value.isNotNull())
+    if not expand_arrays:
+        return df.withColumn("__json", F.explode_outer(F.array(parsed(column)))).filter(value.isNotNull())
+    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+    text = F.try_variant_get(value, "$", "string")
+    again = F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(text)).otherwise(value)
+    return (
+        df.withColumn("__json", parsed(column))
+        .withColumn("__array", F.schema_of_variant(value).startswith("ARRAY"))
+        .withColumn("__json", F.explode_outer(items))
+        .withColumn("__json", F.explode_outer(F.array(F.when(F.col("__array"), again).otherwise(value))))
+        .filter(value.isNotNull())
+    )
 
 
 def json_defects(df: DataFrame, column: str) -> DataFrame:

@@ -32,14 +32,14 @@ def profile_columns(df: DataFrame, columns: str | Sequence[str] | None = None) -
     Everything follows from the value frequencies, so one shuffle serves all columns.
     """
     names = require(df, columns) if columns is not None else df.columns
-    missing = F.col("value").isNull()
+    missing = ~F.col("present")
     totals = (
-        value_frequencies(df, names, digest_long=True)
+        value_frequencies(df, names)
         .groupBy("column")
         .agg(
             F.sum("n").alias("rows"),
             F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count("value").alias("cardinality"),
+            F.count_if("present").alias("cardinality"),
             F.coalesce(F.max(F.when(~missing, F.col("n"))), F.lit(0)).alias("max_repeat"),
         )
     )

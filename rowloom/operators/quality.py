@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.errors import ToolkitError
+from rowloom.functions.json_values import TYPE_CODES, schema_text, type_code
 from rowloom.functions.columns import as_list, col, is_missing, is_numeric, present, require, type_of
 
 # --- E2: schema check -----------------------------------------------------------------------------
@@ -59,7 +60,6 @@ def schema_check(
 
 # --- E4: rules for JSON events --------------------------------------------------------------------
 
-JSON_TYPES = ("object", "array", "string", "integer", "number", "boolean", "null")
 _ANNOTATIONS = {"$schema", "$id", "title", "description", "default", "examples", "format", "$comment"}
 
 
@@ -113,64 +113,35 @@ def _at(variant: Column, path: Sequence[str], target: str = "variant") -> Column
     return F.try_variant_get(variant, variant_path(path), target)
 
 
-def _json_type(v: Column) -> Column:
-    """object, array, string, integer, number, boolean or null; null when the value is absent."""
-    name = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(v.isNull(), None)
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null")
-        .when(name == "BIGINT", "integer")
-        .when(number == F.floor(number), "integer")  # 2.0 is an integer in JSON Schema
-        .otherwise("number")
-    )
-
-
 @dataclass(frozen=True)
 class _Value:
-    """A value of the event with its JSON type, both computed once per row and path."""
+    """Columns with the facts about the value at one path, each computed once per row."""
 
-    variant: Column
     type: Column
-
-    def number(self) -> Column:
-        """The numeric value; null for anything that is not a number."""
-        return F.when(self.type.isin("integer", "number"), F.try_variant_get(self.variant, "$", "double"))
-
-    def string(self) -> Column:
-        return F.when(self.type == "string", F.try_variant_get(self.variant, "$", "string"))
-
-    def boolean(self) -> Column:
-        return F.when(self.type == "boolean", F.try_variant_get(self.variant, "$", "boolean"))
+    number: Column
+    string: Column
+    boolean: Column
 
 
 def _type_rule(v: _Value, wanted: Any) -> Column:
     names = as_list(wanted)
-    unknown = [n for n in names if n not in JSON_TYPES]
+    unknown = [n for n in names if n not in TYPE_CODES]
     if unknown:
         raise ToolkitError(f"unknown JSON types {unknown}")
     allowed = set(names) | ({"integer"} if "number" in names else set())
-    return ~v.type.isin(sorted(allowed))
+    return ~v.type.isin(sorted(TYPE_CODES[n] for n in allowed))
 
 
 def _enum_rule(v: _Value, allowed: Sequence[Any]) -> Column:
-    tests = []
-    for item in allowed:
-        if item is None:
-            tests.append(v.type == "null")
-        elif isinstance(item, bool):
-            tests.append(v.boolean() == F.lit(item))
-        elif isinstance(item, (int, float)):
-            tests.append(v.number() == F.lit(float(item)))
-        elif isinstance(item, str):
-            tests.append(v.string() == F.lit(item))
-        else:
-            raise ToolkitError("enum values must be scalars")
-    return ~reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
+    numbers = [float(x) for x in allowed if isinstance(x, (int, float)) and not isinstance(x, bool)]
+    strings = [x for x in allowed if isinstance(x, str)]
+    flags = [x for x in allowed if isinstance(x, bool)]
+    if any(x is not None and not isinstance(x, (bool, int, float, str)) for x in allowed):
+        raise ToolkitError("enum values must be scalars")
+    tests = [F.coalesce(c.isin(xs), F.lit(False)) for c, xs in ((v.number, numbers), (v.string, strings), (v.boolean, flags)) if xs]
+    if any(x is None for x in allowed):
+        tests.append(v.type == TYPE_CODES["null"])
+    return ~reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 # Each entry gives the condition under which a present value breaks the rule.
@@ -178,21 +149,22 @@ _RULES: dict[str, Callable[[_Value, Any], Column]] = {
     "type": _type_rule,
     "enum": _enum_rule,
     "const": lambda v, x: _enum_rule(v, [x]),
-    "minimum": lambda v, x: v.number() < F.lit(float(x)),
-    "maximum": lambda v, x: v.number() > F.lit(float(x)),
-    "exclusiveMinimum": lambda v, x: v.number() <= F.lit(float(x)),
-    "exclusiveMaximum": lambda v, x: v.number() >= F.lit(float(x)),
-    "pattern": lambda v, x: ~v.string().rlike(x),
-    "minLength": lambda v, x: F.length(v.string()) < F.lit(int(x)),
-    "maxLength": lambda v, x: F.length(v.string()) > F.lit(int(x)),
+    "minimum": lambda v, x: v.number < F.lit(float(x)),
+    "maximum": lambda v, x: v.number > F.lit(float(x)),
+    "exclusiveMinimum": lambda v, x: v.number <= F.lit(float(x)),
+    "exclusiveMaximum": lambda v, x: v.number >= F.lit(float(x)),
+    "pattern": lambda v, x: ~v.string.rlike(x),
+    "minLength": lambda v, x: F.length(v.string) < F.lit(int(x)),
+    "maxLength": lambda v, x: F.length(v.string) > F.lit(int(x)),
 }
+_MASK_BITS = 60
 
 
 def _broken(rule: Rule, values: Mapping[tuple[str, ...], _Value]) -> Column:
     value = values[rule.path]
     if rule.kind == "required":
         # a field is only required inside an object that is there
-        broken = (values[rule.path[:-1]].type == "object") & value.type.isNull()
+        broken = (values[rule.path[:-1]].type == TYPE_CODES["object"]) & value.type.isNull()
     elif rule.kind in _RULES:
         broken = value.type.isNotNull() & _RULES[rule.kind](value, rule.value)
     else:
@@ -204,30 +176,56 @@ def validate_events(df: DataFrame, column: str, rules: Sequence[Rule] | Mapping[
     """Adds ``valid`` and ``errors``, an array of (path, rule), to each JSON event.
 
     ``rules`` is a list of :class:`Rule` or a JSON Schema. Text that is not JSON breaks the rule
-    ``json``. The text is parsed once per row and each path looked up once; all tests are native
-    expressions, so the same code runs in batch and on a stream.
+    ``json``. The same code runs in batch and on a stream.
+
+    The text is parsed once per row, each path looked up once, and the broken rules of a row are
+    bits of a number: the steps stay small enough for the JVM to compile, and only rows with
+    errors pay for building the list.
     """
     require(df, column)
     if isinstance(rules, Mapping):
         rules = rules_from_schema(rules)
     error = "struct<path:string,rule:string>"
-    bad_json = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
+    event = F.col("__event")
 
     paths = list(dict.fromkeys(p for r in rules for p in ((r.path[:-1], r.path) if r.kind == "required" else (r.path,))))
-    looked_up = {f"__v{i}": _at(F.col("__event"), p) for i, p in enumerate(paths)}
-    typed = {f"__t{i}": _json_type(F.col(f"__v{i}")) for i in range(len(paths))}
-    values = {p: _Value(F.col(f"__v{i}"), F.col(f"__t{i}")) for i, p in enumerate(paths)}
-    found = [
-        F.when(_broken(r, values), F.struct(F.lit(r.text_path).alias("path"), F.lit(r.label).alias("rule"))) for r in rules
-    ]
-    errors = F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{error}>")
+    steps: list[dict[str, Column]] = [{}, {}, {}, {}]
+    values: dict[tuple[str, ...], _Value] = {}
+    for i, path in enumerate(paths):
+        v, s, t = (F.col(f"__{x}{i}") for x in "vst")
+        steps[0][f"__v{i}"] = _at(event, path) if path else event
+        steps[1][f"__s{i}"] = schema_text(v, None if path else col(column))
+        steps[2][f"__t{i}"] = type_code(v, s)
+        kinds = {r.kind for r in rules if r.path == path} - {"required", "type"}
+        if kinds:
+            steps[3][f"__n{i}"] = F.when(t >= TYPE_CODES["number"], F.try_variant_get(v, "$", "double"))
+            steps[3][f"__x{i}"] = F.when(t == TYPE_CODES["string"], F.try_variant_get(v, "$", "string"))
+            steps[3][f"__b{i}"] = F.when(t == TYPE_CODES["boolean"], F.try_variant_get(v, "$", "boolean"))
+        values[path] = _Value(t, *(F.col(f"__{x}{i}") for x in "nxb"))
+
+    chunks = [rules[i : i + _MASK_BITS] for i in range(0, len(rules), _MASK_BITS)]
+    masks = {}
+    for i, chunk in enumerate(chunks):
+        bits = [F.when(_broken(r, values), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, r in enumerate(chunk)]
+        masks[f"__m{i}"] = reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+    checked = df.withColumn("__event", F.try_parse_json(col(column)))
+    for step in [*steps, masks]:
+        checked = checked.withColumns(step)
+
+    bad_json = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
+    lists = [F.array().cast(f"array<{error}>")]
+    for i, chunk in enumerate(chunks):
+        labels = F.array(*[F.struct(F.lit(r.text_path).alias("path"), F.lit(r.label).alias("rule")) for r in chunk])
+        mask = F.col(f"__m{i}")
+        lists.append(F.when(mask == 0, lists[0]).otherwise(F.filter(labels, lambda _, k: F.getbit(mask, k) == 1)))
+    # a value that cannot be parsed has no type, so none of its bits is set
+    clean = reduce(lambda a, b: a & b, [F.col(m) == 0 for m in masks], event.isNotNull())
+    added = ["__event", *masks, *[name for step in steps for name in step]]
     return (
-        df.withColumn("__event", F.try_parse_json(col(column)))
-        .withColumns(looked_up)
-        .withColumns(typed)
-        .withColumn("errors", F.when(F.col("__event").isNull(), bad_json).otherwise(errors))
-        .withColumn("valid", F.size("errors") == 0)
-        .drop("__event", *looked_up, *typed)
+        checked.withColumn("errors", F.when(event.isNull(), bad_json).otherwise(F.concat(*lists)))
+        .withColumn("valid", clean)
+        .drop(*added)
     )
 
 

@@ -292,7 +292,8 @@ def _describe_number_sql(source, column, dtype):
            round(quantile_cont({column}, 0.75), 6) AS p75, '{dtype}' AS dtype FROM {source}"""
 
 
-_ROUNDED = {c: F.round(c, 4) for c in ("mean", "std")} | {c: F.round(c, 6) for c in ("p25", "p50", "p75")}
+def _rounded():
+    return {c: F.round(c, 4) for c in ("mean", "std")} | {c: F.round(c, 6) for c in ("p25", "p50", "p75")}
 
 
 @query(
@@ -304,7 +305,7 @@ _ROUNDED = {c: F.round(c, 4) for c in ("mean", "std")} | {c: F.round(c, 6) for c
 )
 def describe_numbers(spark, folder):
     lineitem = table(spark, folder, "lineitem")
-    return aggregate.describe(lineitem, ["l_extendedprice", "l_quantity", "l_partkey"]).withColumns(_ROUNDED)
+    return aggregate.describe(lineitem, ["l_extendedprice", "l_quantity", "l_partkey"]).withColumns(_rounded())
 
 
 @query(
