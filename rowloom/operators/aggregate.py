@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
 from rowloom.functions.columns import as_text, col, is_floating, is_missing, is_numeric, present, require, type_of
+from rowloom.plans.inspect import is_scan
 
 AGGREGATES = ("count", "size", "sum", "min", "max", "mean", "nunique")
 
@@ -67,6 +69,20 @@ def group_aggregate(
 
 
 DIGEST_ABOVE = 64
+NARROW_SCANS = 200
+
+
+def cell_rows(df: DataFrame, cells: Sequence[Mapping[str, Column]]) -> DataFrame:
+    """One row per table row and cell; all cells have the same fields.
+
+    Over plain files every cell gets its own narrow scan: together they read each column once and
+    stay in simple generated code. Where the table comes from joins or groupings, which should
+    not run once per column, each row is read once and opened into its cells.
+    """
+    if len(cells) <= NARROW_SCANS and is_scan(df):
+        parts = [df.select(*[c.alias(n) for n, c in cell.items()]) for cell in cells]
+        return reduce(lambda a, b: a.union(b), parts)
+    return df.select(F.inline(F.array(*[F.struct(*[c.alias(n) for n, c in cell.items()]) for cell in cells])))
 
 
 def _typed_cell(df: DataFrame, name: str, as_words: bool) -> tuple[Column, Column, Column]:
@@ -100,13 +116,16 @@ def value_frequencies(df: DataFrame, columns: Sequence[str], as_words: bool = Fa
     told apart by their SHA-256, which keeps whole documents out of the shuffle. A row with n = 0
     per column is added so that a table without rows still lists its columns.
     """
-    def row(i: int, cell: tuple[Column, Column, Column], one: int) -> Column:
-        parts = dict(zip(("whole", "double", "text"), cell))
-        return F.struct(F.lit(i).alias("at"), *[c.alias(n) for n, c in parts.items()], F.lit(one).cast("bigint").alias("one"))
+    kinds = {"whole": "bigint", "double": "double", "text": "string"}
 
-    nothing = tuple(F.lit(None).cast(t) for t in ("bigint", "double", "string"))
-    names = df.sparkSession.range(1).select(F.inline(F.array(*[row(i, nothing, 0) for i in range(len(columns))])))
-    cells = df.select(F.inline(F.array(*[row(i, _typed_cell(df, c, as_words), 1) for i, c in enumerate(columns)])))
+    def cell(i: int, values: Sequence[Column], one: int) -> dict[str, Column]:
+        return {"at": F.lit(i), **dict(zip(kinds, values)), "one": F.lit(one).cast("bigint")}
+
+    nothing = [F.lit(None).cast(t) for t in kinds.values()]
+    names = df.sparkSession.range(1).select(
+        F.inline(F.array(*[F.struct(*[c.alias(n) for n, c in cell(i, nothing, 0).items()]) for i in range(len(columns))]))
+    )
+    cells = cell_rows(df, [cell(i, _typed_cell(df, c, as_words), 1) for i, c in enumerate(columns)])
     return (
         cells.unionByName(names)
         .groupBy("at", "whole", "double", "text")
@@ -151,16 +170,19 @@ def _quantile_name(q: float) -> str:
     return f"p{q * 100:g}"
 
 
+BAND_PARTS = 1000
+
+
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = QUANTILES, accuracy: int = 100_000
+    df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = QUANTILES, accuracy: int = 10_000
 ) -> DataFrame:
     """(column, q, value): exact quantiles with linear interpolation, in two distributed passes.
 
     The first pass sketches a narrow band around each quantile (rank error at most N/accuracy).
-    The second counts the rows below each band and the values inside it. Only the counted values
-    of a band, a few N/accuracy at most, meet in one task; the table itself is never sorted and
-    no buffer holds all its values. Should a band miss its quantile, the query fails instead of
-    giving a wrong number.
+    The second counts the rows below each band and the distinct values inside it. Counts of
+    equal-width parts of the band tell which part holds the quantile, and only the values of that
+    part are put in order. The table is never sorted and no buffer holds all its values. Should a
+    band miss its quantile, the query fails instead of giving a wrong number.
     """
     for q in quantiles:
         if not 0 <= q <= 1:
@@ -171,43 +193,69 @@ def exact_quantiles(
     sketch = df.agg(
         *[F.percentile_approx(v, edges, accuracy).alias(f"e{i}") for i, v in enumerate(values)],
         *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.min(v).alias(f"min{i}") for i, v in enumerate(values)],
+        *[F.max(v).alias(f"max{i}") for i, v in enumerate(values)],
     )
+
+    def edge(i: int, at: int, outer: str) -> Column:
+        # a short column is its own band: there, one rank may be more than the slack
+        return F.when(col(f"n{i}") <= accuracy, col(f"{outer}{i}")).otherwise(col(f"e{i}")[at])
+
     rows = [
         F.struct(
-            F.lit(name).alias("column"),
+            F.lit(i).alias("at"),
             F.lit(float(q)).alias("q"),
-            col(f"e{i}")[2 * j].alias("low"),
-            col(f"e{i}")[2 * j + 1].alias("high"),
+            edge(i, 2 * j, "min").alias("low"),
+            edge(i, 2 * j + 1, "max").alias("high"),
             (F.lit(float(q)) * (col(f"n{i}") - 1)).alias("position"),
         )
-        for i, name in enumerate(columns)
+        for i in range(len(columns))
         for j, q in enumerate(quantiles)
     ]
     bands = sketch.select(F.inline(F.array(*rows)))  # columns x quantiles rows, so broadcast is safe
 
-    cells = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in zip(columns, values)]))
-    ).filter(F.col("value").isNotNull())
+    cells = cell_rows(df, [{"at": F.lit(i), "value": v} for i, v in enumerate(values)])
     inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
     counted = (
-        cells.join(F.broadcast(bands), "column")
+        cells.filter(F.col("value").isNotNull())
+        .join(F.broadcast(bands), "at")
         .filter(F.col("value") <= F.col("high"))
-        .groupBy("column", "q", "position", inside.alias("value"))  # null: all rows below the band
+        .groupBy("at", "q", "position", "low", "high", inside.alias("value"))  # null: all rows below the band
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy("column", "q").orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    share = (F.col("value") - F.col("low")) / F.nullifzero(F.col("high") - F.col("low"))
+    place = F.least(F.coalesce(F.floor(share * BAND_PARTS), F.lit(0)), F.lit(BAND_PARTS - 1))
+    counted = counted.withColumn("part", F.when(F.col("value").isNull(), F.lit(-1)).otherwise(place).cast("int"))
+
     lower, upper = F.floor("position"), F.ceil("position")
-    picked = ranked.groupBy("column", "q", "position").agg(
-        F.coalesce(F.max(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("below"),
-        F.max("upto").alias("last"),
-        F.min(F.when(F.col("upto") > lower, F.col("value"))).alias("a"),
-        F.min(F.when(F.col("upto") > upper, F.col("value"))).alias("b"),
+    up_to = F.sum("n").over(Window.partitionBy("at", "q").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+
+    def holds(rank: Column) -> Column:
+        return (F.col("up_to") > rank) & (F.col("up_to") - F.col("n") <= rank)
+
+    parts = (
+        counted.groupBy("at", "q", "position", "part")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("up_to", up_to)
+        .filter(holds(lower) | holds(upper))
+        .select("at", "q", "part", (F.col("up_to") - F.col("n")).alias("before"))
+    )
+    order = Window.partitionBy("at", "q", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    picked = (
+        counted.join(F.broadcast(parts), ["at", "q", "part"])  # at most two parts per band
+        .withColumn("up_to", F.col("before") + F.sum("n").over(order))
+        .groupBy("at", "q", "position")
+        .agg(
+            F.min("part").alias("first_part"),
+            F.min(F.when(F.col("up_to") > lower, F.col("value"))).alias("a"),
+            F.min(F.when(F.col("up_to") > upper, F.col("value"))).alias("b"),
+        )
     )
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("position") - lower)
-    hit = (F.col("below") <= lower) & (F.col("last") > upper)
-    checked = F.when(hit, value).otherwise(F.raise_error(F.lit("quantile outside its band: lower the accuracy")))
-    return picked.select("column", "q", checked.cast("double").alias("value"))
+    hit = (F.col("first_part") >= 0) & F.col("b").isNotNull()
+    checked = F.when(hit, value).otherwise(F.raise_error(F.lit("quantile outside its band: lower the accuracy")).cast("double"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return picked.select(names[F.col("at")].alias("column"), "q", checked.alias("value"))
 
 
 def describe(

@@ -110,15 +110,21 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     if not (is_numeric(type_of(df, column)) or isinstance(type_of(df, column), T.BooleanType)):
         raise ToolkitError(f"column {column!r} is not numeric")
     v = present(df, column).cast("double")
+    flat = F.col("a") == F.col("b")
     span = df.agg(F.min(v).alias("a"), F.max(v).alias("b")).select(
-        F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("a"),
-        F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("b"),
-    )
-    low, high = span.select("a").scalar(), span.select("b").scalar()
-    width = (high - low) / F.lit(bins)
-    place = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("int")
+        F.struct(
+            F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"),
+            F.when(flat, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"),
+        ).alias("span")
+    ).scalar()  # one subquery, run once for all its uses
+    width = (span["b"] - span["a"]) / F.lit(bins)
+    place = F.least(F.floor((v - span["a"]) / width), F.lit(bins - 1)).cast("int")
     counted = df.filter(v.isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    axis = span.filter(F.col("a").isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "a", "b")
+    axis = (
+        df.sparkSession.range(1)
+        .select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), span["a"].alias("a"), span["b"].alias("b"))
+        .filter(F.col("a").isNotNull())
+    )
     step = (F.col("b") - F.col("a")) / F.lit(bins)
     return axis.join(counted, "bin", "left").select(
         "bin",

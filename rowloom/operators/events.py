@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ from rowloom.errors import ToolkitError
 from rowloom.functions.columns import OrderItem, as_list, col, is_floating, ordering, python_number_text, require, type_of
 from rowloom.functions.paths import extract
 from rowloom.operators.json_ops import parsed
-from rowloom.operators.numbering import number_within
+from rowloom.operators.numbering import first_per_group, number_within
 
 
 def _lower_escapes(text: Column) -> Column:
@@ -105,8 +105,7 @@ def dedupe_by_id(
     row per id before the shuffle, so an id with millions of copies sends one per task.
     """
     keyed, there = _with_id(df, id_cols, column, path)
-    window = Window.partitionBy("__id").orderBy(*ordering(df, order_by))
-    return keyed.filter(there).withColumn("__rank", F.row_number().over(window)).filter("__rank = 1").drop("__id", "__rank")
+    return first_per_group(keyed.filter(there), [F.col("__id")], ordering(df, order_by), 1, "__rank").drop("__id", "__rank")
 
 
 def dedupe_counts(

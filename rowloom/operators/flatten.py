@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
 from rowloom.functions.columns import col, require, type_of
+from rowloom.functions.json_values import is_array_text, is_object_text
 from rowloom.operators.json_ops import parsed
 from rowloom.operators.quality import variant_path
 
@@ -124,7 +125,7 @@ def _json_rows(df: DataFrame, column: str, expand_arrays: bool) -> DataFrame:
     again = F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(text)).otherwise(value)
     return (
         df.withColumn("__json", parsed(column))
-        .withColumn("__array", F.schema_of_variant(value).startswith("ARRAY"))
+        .withColumn("__array", is_array_text(col(column)))
         .withColumn("__json", F.explode_outer(items))
         .withColumn("__json", F.explode_outer(F.array(F.when(F.col("__array"), again).otherwise(value))))
         .filter(value.isNotNull())
@@ -186,10 +187,9 @@ def flatten_envelope(
     for path, dtype in _leaves(schema, None):
         put("_".join(path), _leaf(variant, path, dtype))
 
-    is_object = F.schema_of_variant(variant).startswith("OBJECT")
-    is_array = F.schema_of_variant(variant).startswith("ARRAY")
-    whole = F.when(variant.isNull(), col("value")).when(is_array, F.to_json(variant)).otherwise(col("value"))
-    outputs["value"] = F.when(~F.coalesce(is_object, F.lit(False)) & (col("value") != ""), whole)
+    is_json = variant.isNotNull()
+    whole = F.when(is_json & is_array_text(col("value")), F.to_json(variant)).otherwise(col("value"))
+    outputs["value"] = F.when((col("value") != "") & ~(is_json & is_object_text(col("value"))), whole)
 
     for name in header_names:
         text = F.when(F.col("__headers")[name] != "", F.col("__headers")[name])

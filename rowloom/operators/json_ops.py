@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.errors import ToolkitError
 from rowloom.functions.columns import OrderItem, col, ordering, require
 from rowloom.functions.paths import compare_value, extract, truthy
+from rowloom.operators.numbering import first_per_group
 
 MAX_GROUPS = 200
 EXAMPLES = 10
@@ -81,11 +82,9 @@ def group_by_path(
     counts = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
     if max_groups is not None:
         counts = counts.orderBy(F.col("n").desc(), "__key").limit(max_groups)
-    window = Window.partitionBy("__key").orderBy(*ordering(df, order_by))
     row = F.struct("__rank", F.struct(*[col(c) for c in df.columns]).alias("r"))
     first = (
-        keyed.withColumn("__rank", F.row_number().over(window))
-        .filter(F.col("__rank") <= examples)
+        first_per_group(keyed, [F.col("__key")], ordering(df, order_by), examples, "__rank")
         .groupBy("__key")
         .agg(F.array_sort(F.collect_list(row), lambda a, b: a["__rank"] - b["__rank"]).alias("e"))
     )

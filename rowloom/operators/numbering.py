@@ -1,10 +1,10 @@
-"""Row numbers within groups that may be too large for one task."""
+"""Ranks and row numbers within groups that may be too large for one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.columns import col, require
@@ -47,3 +47,22 @@ def number_within(
         (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias(position),
         col(total),
     )
+
+
+SPREAD = 64
+
+
+def first_per_group(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], n: int, rank: str = "__rank") -> DataFrame:
+    """The first ``n`` rows of every group in a total order, with their rank.
+
+    Spark drops the other rows before the shuffle, in the tasks that read them, while ``n`` is
+    within its limit for that. Beyond it, a group is first cut down in parts, by the task a row
+    comes from; the first n rows of all parts hold the first n of the group, however it is split.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > limit:
+        df = df.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+        inner = Window.partitionBy(*keys, "__part").orderBy(*order)
+        df = df.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= n).drop(rank, "__part")
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)

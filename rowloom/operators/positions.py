@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.errors import ToolkitError
 from rowloom.functions.columns import require
+from rowloom.operators.numbering import first_per_group
 
 MAX_RECORDS = 500
 
@@ -59,6 +60,5 @@ def read_tail(df: DataFrame, n: int, partition: int | None = None, partitions: i
     elif partitions is None:
         partitions = df.agg(F.count_distinct("partition").alias("n")).first()["n"]
     quota = max(1, n // max(partitions, 1))
-    window = Window.partitionBy("partition").orderBy(F.col("offset").desc())
-    last = df.withColumn("__rank", F.row_number().over(window)).filter(F.col("__rank") <= quota).drop("__rank")
+    last = first_per_group(df, [F.col("partition")], [F.col("offset").desc()], quota, "__rank").drop("__rank")
     return last.orderBy("partition", F.col("offset").desc()).limit(n)

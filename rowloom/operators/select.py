@@ -7,12 +7,13 @@ from datetime import date, datetime, time, timedelta, timezone
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
 from rowloom.functions.columns import OrderItem, as_text, col, hash_rank, ordering, require, type_of
+from rowloom.operators.numbering import first_per_group
 
 PREVIEW_ROWS = 500
 
@@ -151,14 +152,12 @@ def sample_stratified(
 ) -> DataFrame:
     """Up to ``n`` rows for each combination of the strata columns, which stay in the result.
 
-    The rank limit is applied in every task before the shuffle, so a stratum that holds most of
-    the table sends at most ``n`` rows per task.
+    A stratum that holds most of the table is cut down in many tasks before it meets in one.
     """
     if n < 0:
         raise ToolkitError("n must not be negative")
-    window = Window.partitionBy(*[col(s) for s in require(df, strata)]).orderBy(*hash_rank(df, key, seed))
-    rank = "__rank"
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n).drop(rank)
+    groups = [col(s) for s in require(df, strata)]
+    return first_per_group(df, groups, hash_rank(df, key, seed), n, "__rank").drop("__rank")
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:

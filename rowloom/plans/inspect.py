@@ -33,3 +33,13 @@ def plan_facts(df: DataFrame) -> PlanFacts:
         pushed_filters=tuple(re.findall(r"PushedFilters: (\[.*\])", text)),
         read_schemas=tuple(re.findall(r"ReadSchema: (.*)", text)),
     )
+
+
+_SCAN_NODES = ("Project", "Filter", "Relation", "Range", "LocalRelation")
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether a table is read from files with at most projections and filters on top."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [re.sub(r"^[\s:+\-|]*", "", line) for line in plan.splitlines() if line.strip()]
+    return all(node.startswith(_SCAN_NODES) for node in nodes)
