@@ -34,13 +34,18 @@ def format_of(path: str) -> str:
 
 
 def read_source(
-    spark: SparkSession, path: str, fmt: str = "auto", schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "auto",
+    schema: T.StructType | str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A lazy table over a file or folder.
 
     ``json`` is one document per file, an array or an object; ``jsonl`` one object per line and
-    splittable, so the form for large data. CSV has a header. Give a schema for CSV and JSON
-    where it is known: finding one costs a pass over the data.
+    splittable, so the form for large data. CSV has a header and doubles quotes inside quotes;
+    ``multi_line`` allows line breaks in its fields, at the price of one task per file. Give a
+    schema for CSV and JSON where it is known: finding one costs a pass over the data.
     """
     kind = format_of(path) if fmt == "auto" else fmt
     if kind not in READ_FORMATS:
@@ -49,7 +54,7 @@ def read_source(
     if schema is not None:
         reader = reader.schema(schema)
     if kind == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
         return (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
     if kind == "json":
         return reader.option("multiLine", True).json(path)
