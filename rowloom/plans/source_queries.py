@@ -55,13 +55,13 @@ def dataset_overwrite(spark, folder):
 @query(
     "list_and_describe_datasets",
     """SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS "rows", 6 AS n_columns
-       UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), 3""",
+       UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), 4""",
 )
 def list_datasets(spark, folder):
     store = datasets.Datasets(spark, _new(spark, "datasets"))
-    for name in ("orders", "nation", "region"):
+    for name in ("orders", "supplier", "customer"):
         store.write(table(spark, folder, name), name)
-    store.drop("region")
+    store.drop("customer")
     described = None
     for name in store.names():
         one = store.describe(name)
@@ -164,15 +164,16 @@ def repair_partitions(spark, folder):
 
 @query(
     "introspect_catalog",
-    """SELECT 'region' AS "table", 0 AS position, 'r_regionkey' AS column_name, 'int' AS "type", TRUE AS nullable
-       UNION ALL SELECT 'region', 1, 'r_name', 'string', TRUE
-       UNION ALL SELECT 'nation', 0, 'n_nationkey', 'int', TRUE
-       UNION ALL SELECT 'nation', 1, 'n_name', 'string', TRUE
-       UNION ALL SELECT 'nation', 2, 'n_regionkey', 'int', TRUE""",
+    """SELECT 'supplier' AS "table", position, column_name, "type", TRUE AS nullable FROM (VALUES
+         (0, 's_suppkey', 'bigint'), (1, 's_name', 'string'), (2, 's_nationkey', 'int'), (3, 's_acctbal', 'double')) v(position, column_name, "type")
+       UNION ALL
+       SELECT 'part', position, column_name, "type", TRUE FROM (VALUES
+         (0, 'p_partkey', 'bigint'), (1, 'p_name', 'string'), (2, 'p_brand', 'string'), (3, 'p_type', 'string'), (4, 'p_size', 'int'),
+         (5, 'p_retailprice', 'double')) v(position, column_name, "type")""",
 )
 def introspect(spark, folder):
     mark = uuid.uuid4().hex[:12]
-    names = {n: f"cat_{mark}_{n}" for n in ("region", "nation")}
+    names = {n: f"cat_{mark}_{n}" for n in ("supplier", "part")}
     for source, name in names.items():
         table(spark, folder, source).write.option("path", _new(spark, name)).saveAsTable(name)
     found = warehouse.introspect_catalog(spark, "default", f"cat_{mark}%")

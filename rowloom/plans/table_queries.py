@@ -138,9 +138,12 @@ def sample_stratified(spark, folder):
     return select.sample_stratified(table(spark, folder, "events"), "event_type", 5, key="event_id", seed=7)
 
 
-@query("preview", "SELECT r_regionkey, r_name FROM region LIMIT 500")
+@query("preview", "SELECT least(500, count(*)) AS n, count(o_orderkey) > 500 AS cut FROM orders")
 def preview(spark, folder):
-    return select.preview(table(spark, folder, "region"))
+    """A preview has no order, so its size is what can be compared."""
+    orders = table(spark, folder, "orders")
+    total = orders.agg(F.count("o_orderkey").alias("n")).scalar()
+    return select.preview(orders).agg(F.count(F.lit(1)).alias("n")).withColumn("cut", total > 500)
 
 
 # --- C -------------------------------------------------------------------------------------------
@@ -165,39 +168,46 @@ def join_inner(spark, folder):
     return joins.join(*_orders_customer(spark, folder), "key")
 
 
-_L = "SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS key, o_orderkey FROM orders WHERE o_totalprice > 300000"
-_R = "SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS key, c_name FROM customer WHERE c_acctbal > 9000"
+# Events with a nullable kind against one row per nullable kind: every key of the left is hot, both
+# sides have a missing key and keys of their own, and no row has more than one partner.
+_EVENTS = f"SELECT {_NULLED} AS kind, event_id FROM events WHERE event_type <> 'purchase'"
+_KINDS = """SELECT CASE WHEN event_type <> 'click' THEN event_type END AS kind, count(*) AS n
+            FROM events WHERE event_type <> 'view' GROUP BY 1"""
 
 
-def _null_keyed(spark, folder):
-    orders = table(spark, folder, "orders").filter("o_totalprice > 300000")
-    customer = table(spark, folder, "customer").filter("c_acctbal > 9000")
-    return (
-        orders.select(F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_custkey END").alias("key"), "o_orderkey"),
-        customer.select(F.expr("CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END").alias("key"), "c_name"),
+def _kinds(spark, folder):
+    events = table(spark, folder, "events")
+    left = events.filter("event_type <> 'purchase'").select(F.expr(_NULLED).alias("kind"), "event_id")
+    right = events.filter("event_type <> 'view'").groupBy(
+        F.expr("CASE WHEN event_type <> 'click' THEN event_type END").alias("kind")
     )
+    return left, right.agg(F.count(F.lit(1)).alias("n"))
 
 
-for _how, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
+def _register_join(how, sql):
+    @query(
+        f"join_{how}_null_safe",
+        f"""SELECT coalesce(l.kind, r.kind) AS kind, event_id, n
+            FROM ({_EVENTS}) l {sql} ({_KINDS}) r ON l.kind IS NOT DISTINCT FROM r.kind""",
+    )
+    def run(spark, folder):
+        return joins.join(*_kinds(spark, folder), "kind", how)
 
-    def _register_join(how, sql):
-        @query(
-            f"join_{how}_null_safe",
-            f"""SELECT coalesce(l.key, r.key) AS key, o_orderkey, c_name
-                FROM ({_L}) l {sql} ({_R}) r ON l.key IS NOT DISTINCT FROM r.key""",
-        )
-        def run(spark, folder):
-            return joins.join(*_null_keyed(spark, folder), "key", how)
 
+for _how, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():
     _register_join(_how, _sql)
 
 
 @query(
     "join_outer_plain_keys",
-    f"SELECT coalesce(l.key, r.key) AS key, o_orderkey, c_name FROM ({_L}) l FULL JOIN ({_R}) r ON l.key = r.key",
+    f"SELECT coalesce(l.kind, r.kind) AS kind, event_id, n FROM ({_EVENTS}) l FULL JOIN ({_KINDS}) r ON l.kind = r.kind",
 )
 def join_outer_plain(spark, folder):
-    return joins.join(*_null_keyed(spark, folder), "key", "outer", null_safe=False)
+    return joins.join(*_kinds(spark, folder), "kind", "outer", null_safe=False)
+
+
+_L = "SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS key FROM orders WHERE o_totalprice > 300000"
+_R = "SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS key FROM customer WHERE c_acctbal > 9000"
 
 
 @query(
@@ -206,7 +216,13 @@ def join_outer_plain(spark, folder):
           SELECT key, TRUE AS l, FALSE AS r FROM ({_L}) UNION ALL SELECT key, FALSE, TRUE FROM ({_R})) GROUP BY key""",
 )
 def key_presence(spark, folder):
-    return joins.key_presence(*_null_keyed(spark, folder), "key")
+    orders = table(spark, folder, "orders").filter("o_totalprice > 300000")
+    customer = table(spark, folder, "customer").filter("c_acctbal > 9000")
+    return joins.key_presence(
+        orders.select(F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_custkey END").alias("key")),
+        customer.select(F.expr("CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END").alias("key")),
+        "key",
+    )
 
 
 # --- D1 - D4 -------------------------------------------------------------------------------------
