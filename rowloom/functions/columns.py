@@ -87,6 +87,15 @@ def ordering(df: DataFrame, order_by: OrderItem | Sequence[OrderItem], reverse:
     return result
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for an expensive value that later filters use.
+
+    Spark pushes a filter on a plain projection below it and so computes the value twice. It does
+    not push one below a generator; the outer form, as it adds a filter of its own to the plain.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def hash_rank(df: DataFrame, key: str | Sequence[str], seed: int | str) -> list[Column]:
     """A repeatable pseudo-random order: MD5 of seed and key, then the key itself."""
     keys = require(df, key)

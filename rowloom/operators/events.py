@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
-from rowloom.functions.columns import OrderItem, as_list, col, is_floating, ordering, python_number_text, require, type_of
+from rowloom.functions.columns import OrderItem, as_list, col, is_floating, ordering, python_number_text, require, type_of, with_once
 from rowloom.functions.paths import extract
 from rowloom.operators.json_ops import parsed
 from rowloom.operators.numbering import first_per_group, number_within
@@ -82,7 +82,7 @@ def _with_id(df: DataFrame, id_cols: str | Sequence[str] | None, column: str | N
         require(df, column)
         # a JSON object prints with sorted keys, so ids that are objects compare by content
         found = F.to_json(extract(parsed(column), path).cast("variant"))
-        keyed = df.withColumn("__id", F.when(found != "null", found))
+        keyed = with_once(df, "__id", F.when(found != "null", found))
         return keyed, F.col("__id").isNotNull()
     names = require(df, id_cols)
     keyed = df.withColumn("__id", F.struct(*[col(n) for n in names]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
-from rowloom.functions.columns import col, require, type_of
+from rowloom.functions.columns import col, require, type_of, with_once
 from rowloom.functions.json_values import is_array_text, is_object_text
 from rowloom.operators.json_ops import parsed
 from rowloom.operators.quality import variant_path
@@ -114,22 +114,21 @@ def _target(value: Column, path: str, dtype: str) -> Column:
 def _json_rows(df: DataFrame, column: str, expand_arrays: bool) -> DataFrame:
     """The rows with valid JSON and their value as ``__json``.
 
-    Values pass through ``explode_outer``: a filter on a plain projection, or the one Spark adds
-    to a plain ``explode``, would be pushed below the projection and every text parsed twice.
+    ``explode_outer`` with a later filter, because Spark adds a filter of its own to a plain
+    ``explode`` and would parse every text twice to evaluate it.
     """
     value = F.col("__json")
     if not expand_arrays:
-        return df.withColumn("__json", F.explode_outer(F.array(parsed(column)))).filter(value.isNotNull())
+        return with_once(df, "__json", parsed(column)).filter(value.isNotNull())
     items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
     text = F.try_variant_get(value, "$", "string")
     again = F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(text)).otherwise(value)
-    return (
+    exploded = (
         df.withColumn("__json", parsed(column))
         .withColumn("__array", is_array_text(col(column)))
         .withColumn("__json", F.explode_outer(items))
-        .withColumn("__json", F.explode_outer(F.array(F.when(F.col("__array"), again).otherwise(value))))
-        .filter(value.isNotNull())
     )
+    return with_once(exploded, "__json", F.when(F.col("__array"), again).otherwise(value)).filter(value.isNotNull())
 
 
 def json_defects(df: DataFrame, column: str) -> DataFrame:
@@ -165,7 +164,7 @@ def flatten_envelope(
     headers = col("headers")
     if not isinstance(type_of(df, "headers"), T.MapType):
         headers = F.from_json(headers, "map<string,string>")
-    rows = df.withColumn("__json", parsed("value")).withColumn("__headers", headers)
+    rows = with_once(df, "__json", parsed("value")).withColumn("__headers", headers)
     variant = F.col("__json")
 
     if schema is None:

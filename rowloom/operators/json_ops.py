@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.errors import ToolkitError
-from rowloom.functions.columns import OrderItem, col, ordering, require
+from rowloom.functions.columns import OrderItem, col, ordering, require, with_once
 from rowloom.functions.paths import compare_value, extract, truthy
 from rowloom.operators.numbering import first_per_group
 
 MAX_GROUPS = 200
 EXAMPLES = 10
+BROADCAST_GROUPS = 10_000
 
 
 def parsed(column: str) -> Column:
@@ -36,7 +37,7 @@ def json_extract(
     types = types or {}
     kept = [c for c in df.columns if c not in outputs]
     found = {n: extract(F.col("__json"), p).cast(types.get(n, "string")).alias(n) for n, p in outputs.items()}
-    return df.withColumn("__json", parsed(column)).select(*[col(c) for c in kept], *found.values())
+    return with_once(df, "__json", parsed(column)).select(*[col(c) for c in kept], *found.values())
 
 
 def filter_by_path(df: DataFrame, column: str, path: str, op: str | None = None, value: Any = None) -> DataFrame:
@@ -46,10 +47,11 @@ def filter_by_path(df: DataFrame, column: str, path: str, op: str | None = None,
     text is not JSON are left out.
     """
     require(df, column)
-    root = parsed(column)
+    root = F.col("__json")
     found = extract(root, path)
+    df = with_once(df, "__json", parsed(column))
     if op is None:
-        return df.filter(truthy(found))
+        return df.filter(truthy(found)).drop("__json")
     if found.projected:
         raise ToolkitError("a projection cannot be compared; use the path alone")
     if op == "in":
@@ -60,7 +62,7 @@ def filter_by_path(df: DataFrame, column: str, path: str, op: str | None = None,
             test = test | compare_value(found.column, "==", item)
     else:
         test = compare_value(found.column, op, value)
-    return df.filter(root.isNotNull() & test)
+    return df.filter(root.isNotNull() & test).drop("__json")
 
 
 def group_by_path(
@@ -78,10 +80,13 @@ def group_by_path(
     most ``examples`` rows per task and the array stays that short.
     """
     require(df, column)
-    keyed = df.withColumn("__key", extract(parsed(column), path).cast("string")).filter(F.col("__key").isNotNull())
+    key = extract(parsed(column), path).cast("string")
+    keyed = with_once(df, "__key", key).filter(F.col("__key").isNotNull())
     counts = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
     if max_groups is not None:
         counts = counts.orderBy(F.col("n").desc(), "__key").limit(max_groups)
+        if max_groups <= BROADCAST_GROUPS:  # a short list of keys: only their rows need ranking
+            keyed = keyed.join(F.broadcast(counts.select("__key")), "__key", "left_semi")
     row = F.struct("__rank", F.struct(*[col(c) for c in df.columns]).alias("r"))
     first = (
         first_per_group(keyed, [F.col("__key")], ordering(df, order_by), examples, "__rank")

@@ -21,13 +21,14 @@ def number_within(
     A group's positions then follow from its first number in a range plus its rows in earlier
     ranges. Only these counts, one per group and range, pass through a window.
 
-    The order should be total; rows that tie on it may not be told apart between runs.
+    Rows that tie on the order keep the order in which they were read. That also splits a group
+    of equal rows, which no range of its values could.
     """
     names, order = require(df, list(keys)), require(df, list(order_by))
-    sort = [col(c).asc_nulls_first() for c in (*names, *order)]
-    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    sort = [*[col(c).asc_nulls_first() for c in (*names, *order)], F.col("__row")]
+    placed = df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
     # high bits: number of the range; low 33 bits: row number inside it
-    placed = materialize(placed.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed = materialize(placed.drop("__row").withColumn("__at", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("__range", F.shiftright("__at", 33))
 
     groups = [col(n) for n in names]

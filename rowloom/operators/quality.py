@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.errors import ToolkitError
+from rowloom.functions.columns import as_list, col, is_missing, is_numeric, present, require, type_of, with_once
 from rowloom.functions.json_values import TYPE_CODES, schema_text, type_code
-from rowloom.functions.columns import as_list, col, is_missing, is_numeric, present, require, type_of
 
 # --- E2: schema check -----------------------------------------------------------------------------
 
@@ -203,29 +203,34 @@ def validate_events(df: DataFrame, column: str, rules: Sequence[Rule] | Mapping[
             steps[3][f"__b{i}"] = F.when(t == TYPE_CODES["boolean"], F.try_variant_get(v, "$", "boolean"))
         values[path] = _Value(t, *(F.col(f"__{x}{i}") for x in "nxb"))
 
-    chunks = [rules[i : i + _MASK_BITS] for i in range(0, len(rules), _MASK_BITS)]
+    chunks = [rules[i : i + _MASK_BITS] for i in range(0, len(rules), _MASK_BITS)] or [[]]
     masks = {}
     for i, chunk in enumerate(chunks):
         bits = [F.when(_broken(r, values), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, r in enumerate(chunk)]
-        masks[f"__m{i}"] = reduce(lambda a, b: a.bitwiseOR(b), bits)
+        masks[f"__m{i}"] = reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("bigint"))
+    # text that cannot be parsed has no typed value, so none of its bits is set; it gets a mark of its own
+    masks["__m0"] = F.when(event.isNull(), F.lit(-1)).otherwise(masks["__m0"])
 
     checked = df.withColumn("__event", F.try_parse_json(col(column)))
-    for step in [*steps, masks]:
+    for step in steps:
         checked = checked.withColumns(step)
+    checked = with_once(checked, "__masks", F.array(*masks.values())).withColumns(
+        {name: F.col("__masks")[i] for i, name in enumerate(masks)}
+    )
 
     bad_json = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
-    lists = [F.array().cast(f"array<{error}>")]
+    none = F.array().cast(f"array<{error}>")
+    lists = []
     for i, chunk in enumerate(chunks):
-        labels = F.array(*[F.struct(F.lit(r.text_path).alias("path"), F.lit(r.label).alias("rule")) for r in chunk])
+        labels = [F.struct(F.lit(r.text_path).alias("path"), F.lit(r.label).alias("rule")) for r in chunk]
         mask = F.col(f"__m{i}")
-        lists.append(F.when(mask == 0, lists[0]).otherwise(F.filter(labels, lambda _, k: F.getbit(mask, k) == 1)))
-    # a value that cannot be parsed has no type, so none of its bits is set
-    clean = reduce(lambda a, b: a & b, [F.col(m) == 0 for m in masks], event.isNotNull())
-    added = ["__event", *masks, *[name for step in steps for name in step]]
+        if labels:
+            lists.append(F.when(mask == 0, none).otherwise(F.filter(F.array(*labels), lambda _, k: F.getbit(mask, k) == 1)))
+    errors = F.concat(*lists) if lists else none
+    clean = reduce(lambda a, b: a & b, [F.col(m) == 0 for m in masks])
+    added = ["__event", "__masks", *masks, *[name for step in steps for name in step]]
     return (
-        checked.withColumn("errors", F.when(event.isNull(), bad_json).otherwise(F.concat(*lists)))
-        .withColumn("valid", clean)
-        .drop(*added)
+        checked.withColumn("errors", F.when(F.col("__m0") == -1, bad_json).otherwise(errors)).withColumn("valid", clean).drop(*added)
     )
 
 
