@@ -60,7 +60,8 @@ _LINE = """concat('{"line":', l_linenumber, ',"qty":', CAST(l_quantity AS INT),
 def order_documents(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", F.expr(_LINE).alias("line"))
     arrays = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("line")), ",").alias("items"))
-    orders = table(spark, folder, "orders").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # both sides by order key: the documents then lie in many partitions, however few files the orders have
+    orders = table(spark, folder, "orders").hint("merge").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     text = """concat('{"id":', o_orderkey, ',"buyer":{"key":', o_custkey, ',"segment":{"status":"', o_orderstatus, '"}},',
               '"total":', CAST(CAST(o_totalprice AS INT) AS STRING), ',"items":[', coalesce(items, ''), ']}')"""
     cut = f"CASE WHEN o_orderpriority = '1-URGENT' THEN substr({text}, 1, 20) ELSE {text} END"
