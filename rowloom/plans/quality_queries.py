@@ -55,23 +55,22 @@ def pivot(spark, folder):
     return wide.select("c_nationkey", *[F.round(c, 4).alias(c) for c in wide.columns if c != "c_nationkey"])
 
 
-def _resample_sql(step):
+def _resample_sql(step, where):
     return f"""
-    WITH m AS (SELECT date_trunc('{step}', ts) AS ts, avg(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1),
+    WITH m AS (SELECT date_trunc('{step}', ts) AS ts, avg(value) AS value FROM events WHERE {where} GROUP BY 1),
          a AS (SELECT unnest(generate_series((SELECT min(ts) FROM m), (SELECT max(ts) FROM m), INTERVAL 1 {step})) AS ts)
     SELECT a.ts::TIMESTAMP AS ts, round(m.value, 4) AS value FROM a LEFT JOIN m USING (ts)"""
 
 
-@query("resample_hourly_with_gaps", _resample_sql("hour"))
+@query("resample_hourly_with_gaps", _resample_sql("hour", "event_type = 'purchase'"))
 def resample_hour(spark, folder):
     purchases = table(spark, folder, "events").filter("event_type = 'purchase'")
     return charts.resample(purchases, "ts", "value", "hour").withColumn("value", F.round("value", 4))
 
 
-@query("resample_auto", _resample_sql("day"))
+@query("resample_auto", _resample_sql("day", "user_id >= 0"))
 def resample_auto(spark, folder):
-    purchases = table(spark, folder, "events").filter("event_type = 'purchase'")
-    return charts.resample(purchases, "ts", "value", "auto").withColumn("value", F.round("value", 4))
+    return charts.resample(table(spark, folder, "events"), "ts", "value", "auto").withColumn("value", F.round("value", 4))
 
 
 @query(

@@ -34,7 +34,7 @@ def test_query_without_sql_gives_rows(spark, folder, name):
 def test_entry_points(spark):
     module = importlib.import_module("__spark_entry__")
     assert set(module.oracle_sql()) <= set(module.queries())
-    assert module.entry(spark).count() == 20
+    assert 0 < module.entry(spark).count() <= 20
 
 
 def test_queries_can_be_listed_before_spark_starts():
