@@ -100,8 +100,12 @@ def _typed_cell(df: DataFrame, name: str, as_words: bool) -> tuple[Column, Colum
         double = value.cast("double")
     elif isinstance(dtype, T.DateType):
         whole = F.unix_date(value).cast("bigint")
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.unix_micros(value.cast("timestamp"))
+    elif isinstance(dtype, T.TimestampType):
+        whole = F.unix_micros(value)
+    elif isinstance(dtype, T.TimestampNTZType):
+        # without a detour through the session's zone, where two local times may be one instant
+        seconds = F.unix_date(value.cast("date")).cast("bigint") * 86_400 + F.hour(value) * 3_600 + F.minute(value) * 60
+        whole = seconds * 1_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
     else:
         text = as_text(df, name)
         text = F.when(F.length(text) > DIGEST_ABOVE, F.sha2(text, 256)).otherwise(text)

@@ -90,7 +90,7 @@ _TEXTS = [
     (
         "date_functions",
         ["orders"],
-        """SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n, min(date_add(CAST(o_orderdate AS DATE), 30)) AS due FROM orders
+        """SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS month, count(*) AS n, min(date_add(CAST(o_orderdate AS DATE), 30)) AS due FROM orders
            GROUP BY date_trunc('month', o_orderdate)""",
         """SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n, min(CAST(o_orderdate AS DATE) + 30) AS due FROM orders
            GROUP BY date_trunc('month', o_orderdate)""",

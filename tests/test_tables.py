@@ -205,6 +205,19 @@ def test_count_distinct_of_types(spark, rows):
     assert rows(aggregate.count_distinct(joined)) == expected
 
 
+def test_distinct_local_times_in_a_zone_with_summer_time(spark, rows):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        df = spark.sql(
+            """SELECT t FROM VALUES (TIMESTAMP_NTZ'2024-03-31 02:30:00'), (TIMESTAMP_NTZ'2024-03-31 03:30:00'),
+               (TIMESTAMP_NTZ'2024-03-31 03:30:00.000001'), (TIMESTAMP_NTZ'1901-01-01 00:00:00.5') v(t)"""
+        )
+        assert rows(aggregate.count_distinct(df)) == [("t", 4)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_describe(spark):
     df = spark.createDataFrame([(1.0, "x"), (2.0, "y"), (3.0, "y"), (NAN, None)], "v double, s string")
     found = {r["column"]: r.asDict() for r in aggregate.describe(df).collect()}
