@@ -50,7 +50,13 @@ def main() -> None:
     names = HEADLINE if not chosen else list(entries) if chosen == "all" else chosen.split(",")
 
     spark = build_session(
-        "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"}
+        "bench",
+        f"local[{cpus}]",
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": os.environ.get("BENCH_SHARED", os.path.abspath("spark-warehouse/_shared")),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds, failed = {}, {}

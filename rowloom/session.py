@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +16,12 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     "spark.ui.enabled": "false",
 }
 
-_local_scratch: dict[str, str] = {}
-
-
 def build_session(app_name: str = "rowloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the toolkit's defaults; keyword names use ``_`` for ``.`` only in ``conf`` dicts."""
     builder = SparkSession.builder.appName(app_name)
@@ -36,20 +35,36 @@ def build_session(app_name: str = "rowloom", master: str | None = None, **conf:
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session without that setting (a test) gets a temporary folder.
+    A session without that setting uses the folder of its warehouse, which executors share as
+    well. There is no machine-local fallback.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
         raise ToolkitError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="rowloom-"))
+    return f"{warehouse.rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{scratch_root(spark)}/rowloom/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; Hadoop removes it when the application ends."""
+    path = f"{scratch_root(spark)}/rowloom/{name}-{uuid.uuid4().hex}"
+    on_hadoop(spark, path, "deleteOnExit")
+    return path
+
+
+def on_hadoop(spark: SparkSession, path: str, method: str, *args):
+    """Call a method of the file system that holds ``path``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return getattr(system, method)(place, *args)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written intermediates that no later step reads."""
+    for path in paths:
+        on_hadoop(spark, path, "delete", True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
