@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, langid, mixing, sequences, simhash, tokens
+from rowloom.llm import decontaminate, langid, mixing, sequences, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,6 +112,25 @@ def wu_manber_decontamination(spark, folder):
     )
 
 
+SUBSTRING_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    windows AS (
+        SELECT r, s, md5(array_to_string(w[s : s + 34], ' ')) AS h
+        FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+    repeated AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM repeated),
+    lost AS (SELECT r, count(*) AS n_removed, list(p) AS ps FROM gone GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+           sha256(CASE WHEN n_removed IS NULL THEN array_to_string(w, ' ')
+                  ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' ') END) AS kept_sha256
+    FROM d LEFT JOIN lost USING (r)"""
+
+
+@query("op9_difference_cover_dedup", SUBSTRING_SQL)
+def difference_cover_dedup(spark, folder):
+    return substrings.remove_repeats(table(spark, folder, "documents"), "doc_id", "text").drop("kept")
+
+
 @query("op10_language_id")
 def language_id(spark, folder):
     docs = table(spark, folder, "documents")
