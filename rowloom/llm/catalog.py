@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, langid, mixing, sequences, simhash, substrings, tokens
+from rowloom.llm import decontaminate, langid, mixing, sequences, simhash, substrings, tokens, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,20 @@ def language_model(docs: DataFrame) -> langid.LanguageModel:
     return langid.fit_languages(learned, "doc_id", "text", "lang")
 
 
+URL_RULES = [
+    ("com/", urlfilter.ALLOW),
+    ("example.com/en/", urlfilter.BLOCK),
+    ("www.example.com/en/", urlfilter.ALLOW),
+    ("net/es/", urlfilter.BLOCK),
+    ("net/fr/", urlfilter.BLOCK),
+]
+
+
+@query("op1_url_segmentation")
+def url_segmentation(spark, folder):
+    return urlfilter.judge_urls(table(spark, folder, "pages"), "page_id", "url", "html", URL_RULES)
+
+
 @query("op2_simhash_multi_index")
 def simhash_multi_index(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text")
@@ -75,6 +89,21 @@ def arrow_sequences(spark, folder):
     return sequences.encode_to_files(table(spark, folder, "documents"), "doc_id", "text", vocabulary())
 
 
+TOPK_SQL = """
+    WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+               FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query("op7_maxscore_topk", TOPK_SQL)
+def maxscore_topk(spark, folder):
+    return topk.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", every=50)
+
+
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
