@@ -4,7 +4,7 @@ A window of 35 words is repeated if its words also start anywhere else. Hashing
 shuffle a row per word. Instead, *anchors* of 15 words are hashed only where the place modulo 21 lies in the
 difference cover {0, 1, 4, 14, 16}: for any two places some shift below 21 takes both into the cover, so two equal
 windows share an anchor at equal distance from their starts, 35 - 21 + 1 = 15 words long. Only windows around an
-anchor that occurs twice are then extended to their full length, hashed with 128 bits and compared.
+anchor that occurs twice are then extended to their full length, hashed with 96 bits and compared.
 
 Before any shuffle, equal hashes are reduced to one per slice of a task, so a passage that a third of the corpus
 repeats is a row per slice, not per place. Documents are written once, as compressed words with a row number that
@@ -29,6 +29,8 @@ WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
+# Windows are compared by 96 bits of a hash, in two parts.
+HASH_BITS = np.array([(1 << 64) - 1, (1 << 32) - 1], np.uint64)
 
 
 def joined_words(text: str | None) -> bytes:
@@ -118,10 +120,10 @@ def _once_per_slice(hashes: np.ndarray, rows: np.ndarray, places: np.ndarray) ->
     own = many & ~first
     row, place = rows[own].astype(np.uint64), places[own].astype(np.uint64)
     sorted_hashes[own, 0] = row * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0x632BE59BD9B4E019)
-    sorted_hashes[own, 1] = row ^ (place << np.uint64(40))
+    sorted_hashes[own, 1] = (row ^ (place << np.uint64(9))) & HASH_BITS[1]
     return {
         "h0": sorted_hashes[:, 0].view(np.int64),
-        "h1": sorted_hashes[:, 1].view(np.int64),
+        "h1": sorted_hashes[:, 1].astype(np.uint32).view(np.int32),
         "row": rows,
         "place": np.where(many, -1 - places, places).astype(np.int32),
     }
@@ -129,7 +131,7 @@ def _once_per_slice(hashes: np.ndarray, rows: np.ndarray, places: np.ndarray) ->
 
 def _hashed(df: DataFrame, extra: str | None, wide: bool) -> DataFrame:
     """Hashes of a table's anchors (all documents) or of its candidate windows (those around ``extra``'s anchors)."""
-    kind = ("h0 long, h1 long, " if wide else "h0 long, ") + "row long, place int"
+    kind = ("h0 long, h1 int, " if wide else "h0 long, ") + "row long, place int"
 
     def start():
         unpack = zstandard.ZstdDecompressor().decompress
@@ -150,7 +152,8 @@ def _hashed(df: DataFrame, extra: str | None, wide: bool) -> DataFrame:
                 cut = zip(starts[at].tolist(), ends[at + length - 1].tolist(), strict=True)
                 if wide:
                     digest = xxhash.xxh3_128_digest
-                    found.append(np.frombuffer(b"".join([digest(words[a:b]) for a, b in cut]), "<u8").reshape(-1, 2))
+                    wide_hashes = np.frombuffer(b"".join([digest(words[a:b]) for a, b in cut]), "<u8").reshape(-1, 2)
+                    found.append(wide_hashes & HASH_BITS)
                 else:
                     digest = xxhash.xxh3_64_intdigest
                     short = np.fromiter([digest(words[a:b]) for a, b in cut], np.uint64, len(at))
@@ -186,12 +189,13 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     each loses what it shares with the other; keys may be null or repeat. Windows are judged on the input.
     """
     spark = df.sparkSession
-    prepared, _ = _written(_prepared(df, key, text), "words")
+    prepared, prepared_path = _written(_prepared(df, key, text), "words")
     marks, marks_path = _written(_repeated(_hashed(prepared.select("row", "packed"), None, False), False), "anchors")
     _release(spark)
     touched, _ = _written(prepared.select("row", "packed").join(marks, "row"), "candidates")
+    whole, _ = _written(prepared.drop("packed"), "documents")
+    discard(spark, marks_path, prepared_path)
     _release(spark)
-    discard(spark, marks_path)
     found, _ = _written(_repeated(_hashed(touched, "places", True), True), "repeats")
     _release(spark)
 
@@ -220,7 +224,7 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
         start,
         "packed",
     )
-    return prepared.drop("packed").join(cut, "row", "left").select(
+    return whole.join(cut, "row", "left").select(
         F.col("key").alias(key),
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
