@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, langid, mixing, sequences, simhash, substrings, tokens, topk, urlfilter
+from rowloom.llm import decontaminate, langid, mixing, sequences, simhash, substrings, tokens, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +89,19 @@ def arrow_sequences(spark, folder):
     return sequences.encode_to_files(table(spark, folder, "documents"), "doc_id", "text", vocabulary())
 
 
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityChain:
+    """Low quality first, then toxic, learned from the labelled documents that are not held out."""
+    marked = labels.where(~held_out()).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.fit_chain(docs, marked, "doc_id", "text", ["low_quality", "toxic"])
+
+
+@query("op6_toxicity_chain")
+def toxicity_chains(spark, folder):
+    docs = table(spark, folder, "documents")
+    chain = toxicity_chain(docs, table(spark, folder, "labels"))
+    return toxicity.score_toxicity(docs, chain, "text", ["doc_id"]).withColumnRenamed("flagged", "toxic")
+
+
 TOPK_SQL = """
     WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
                FROM embeddings

@@ -39,22 +39,24 @@ def prepare(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace").translate(_KEEP) + b" "
 
 
-def gram_buckets(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start positions, buckets) of the 3-grams and of the 4-grams that lie within one word."""
+def gram_buckets(
+    data: np.ndarray, sizes: tuple[int, ...] = (3, 4), bits: int = BUCKET_BITS
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size, (start positions, buckets) of the n-grams that lie within one word, edges included."""
     found, wide, blank = [], data.astype(np.uint32), data == 32
-    for n in (3, 4):
+    for n in sizes:
         count = len(data) - n + 1
         if count <= 0:
             continue
         inside = ~blank[1 : 1 + count]
         code = wide[:count] * _MIX[0]
         for k in range(1, n):
-            code = code ^ (wide[k : k + count] * _MIX[k])
+            code = code ^ (wide[k : k + count] * _MIX[k % 4])
             code = (code << np.uint32(7)) | (code >> np.uint32(25))
             if 1 < k < n - 1:
                 inside &= ~blank[k : k + count]
         at = np.flatnonzero(inside)
-        found.append((at, ((code[at] * _MIX[0]) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)))
+        found.append((at, ((code[at] * _MIX[0]) >> np.uint32(32 - bits)).astype(np.int32)))
     return found
 
 
