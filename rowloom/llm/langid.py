@@ -26,6 +26,8 @@ DIMENSIONS = 16
 # Of the labelled rows, at most about so many are learned from, with an excerpt of so many characters each.
 SAMPLE_ROWS = 4096
 SAMPLE_CHARS = 2000
+# Training takes at least so many steps.
+STEPS = 800
 # A text longer than this is summed up in pieces.
 PIECE_BYTES = 1 << 20
 
@@ -176,6 +178,8 @@ def train(sample: list[tuple[str, str]], seed: int = 7, epochs: int = 6, rate: f
 
     held = np.arange(len(sample)) % 5 == 4
     learned = np.flatnonzero(~held)
+    # A small sample is gone over more often.
+    epochs = max(epochs, -(-STEPS // max(1, -(-len(learned) // batch))))
     steps = max(1, epochs * -(-len(learned) // batch))
     step = 0
     for _ in range(epochs):

@@ -68,9 +68,9 @@ def source_targets(
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as close to the budget as can be found.
 
-    Never more than there are. The proportional part leaves less than one document of each length to fit; those go
-    in from the longest while they fit, and the dynamic program settles the last stretch, where it may take and
-    give back documents of every length.
+    Never more than there are. The proportional part leaves a stretch of several of the longest documents, and less
+    than one document of each length besides; what is beyond the stretch goes in from the longest on, and the dynamic
+    program settles the rest.
     """
     counts = counts.astype(np.int64)
     lengths = lengths.astype(np.int64)
@@ -81,13 +81,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget >= have:
         return counts.copy()
     # Shares are rounded down in integers; Python's have no largest value.
-    taken[:] = [int(c) * budget // have for c in counts]
+    reach = 8 * int(lengths.max()) + 256
+    taken[:] = [int(c) * max(0, budget - reach) // have for c in counts]
     left = budget - int((lengths * taken).sum())
-    reach = 4 * int(lengths.max())
     for i in np.argsort(-lengths, kind="stable"):
-        if left <= reach:
+        if left <= 2 * reach:
             break
-        more = min(int(counts[i] - taken[i]), (left - reach) // int(lengths[i]) + 1) if lengths[i] else 0
+        more = min(int(counts[i] - taken[i]), (left - 2 * reach) // int(lengths[i]) + 1) if lengths[i] else 0
         taken[i] += more
         left -= more * int(lengths[i])
     return taken + knapsack(lengths, counts - taken, left)
