@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,7 @@ from rowloom.operators.aggregate import aggregate_column, value_counts
 from rowloom.operators.select import PREVIEW_ROWS, sample_random
 
 # Fixed values of the "auto" time step and of histograms.
-DAILY_ABOVE_ROWS = 365
-HOURLY_ABOVE_ROWS = 100
+HOURLY_UP_TO_DAYS = 3
 BINS = 30
 MAX_SERIES = 100
 STEPS = {"second": "1 second", "minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days"}
@@ -36,7 +35,7 @@ def bar_data(df: DataFrame, x: str, y: str, agg: str = "mean", top_k: int | None
         F.max(present(df, y)).alias("__own"),
     )
     value = F.col("__agg")
-    if agg in ("count", "size", "nunique"):  # for the others the aggregate of one row is the row
+    if is_numeric(type_of(df, y)):  # only a number can stand for itself
         single = grouped.agg(((F.max("__rows") == 1) & (F.count(F.lit(1)) == F.count("__x"))).alias("s")).scalar()
         value = F.when(single, F.col("__own")).otherwise(value)
     bars = grouped.filter(F.col("__x").isNotNull()).select(F.col("__x").alias(x), value.alias(y))
@@ -69,12 +68,22 @@ def pivot_data(
     return kept.groupBy(col(x)).pivot(series, list(values)).agg(aggregate_column(df, y, agg))
 
 
+def _coarse(every: str) -> str:
+    """Steps shorter than a day are laid out day by day."""
+    return STEPS["day"] if every in ("second", "minute", "hour") else STEPS[every]
+
+
+def _axis_ends(every: str, kind: T.DataType) -> tuple[Column, Column]:
+    if every in ("second", "minute", "hour"):
+        return F.date_trunc("day", "a").cast(kind), F.col("b")
+    return F.col("a"), F.col("b")
+
+
 def resample(df: DataFrame, ts: str, value: str, every: str = "auto") -> DataFrame:
     """Mean of ``value`` per time bucket, empty buckets included with a null mean.
 
     ``every`` is second, minute, hour, day or week, ``raw`` for the points as they are, or
-    ``auto``: daily above 365 rows, hourly above 100, else raw. ``auto`` counts the rows first,
-    which Parquet answers from its footers.
+    ``auto``: hourly over a span of up to 3 days, else daily, however many rows there are.
     """
     require(df, [ts, value])
     if not is_time(type_of(df, ts)):
@@ -84,23 +93,29 @@ def resample(df: DataFrame, ts: str, value: str, every: str = "auto") -> DataFra
         measured = measured.cast("int")
     points = df.select(col(ts).alias(ts), measured.alias(value)).filter(col(ts).isNotNull())
     if every == "auto":
-        rows = df.count()
-        every = "day" if rows > DAILY_ABOVE_ROWS else "hour" if rows > HOURLY_ABOVE_ROWS else "raw"
+        ends = points.agg(F.min(col(ts)).alias("a"), F.max(col(ts)).alias("b")).first()
+        span = (ends["b"] - ends["a"]).total_seconds() if ends["a"] is not None and hasattr(ends["b"], "hour") else None
+        every = "hour" if span is not None and span <= HOURLY_UP_TO_DAYS * 86400 else "day"
     if every == "raw":
         return points
     if every not in STEPS:
         raise ToolkitError(f"unknown step {every!r}; known: {[*STEPS, 'raw', 'auto']}")
     bucket = F.date_trunc(every, col(ts)).cast(type_of(df, ts))
     means = points.groupBy(bucket.alias(ts)).agg(F.avg(col(value)).alias(value))
-    # one row that grows into the time axis: its length depends on the time span, not on the rows
+    # the time axis depends on the time span, not on the rows
     axis = means.agg(F.min(col(ts)).alias("a"), F.max(col(ts)).alias("b")).select(
-        F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {STEPS[every]}"))).alias(ts)
+        "a", "b", F.explode(F.sequence(*_axis_ends(every, type_of(df, ts)), F.expr(f"INTERVAL {_coarse(every)}"))).alias("d")
     )
+    if _coarse(every) != STEPS[every]:  # days first, spread over tasks, then the steps of each day
+        last = F.col("d") + F.expr(f"INTERVAL 1 DAY - INTERVAL {STEPS[every]}")
+        axis = axis.repartition("d").select("a", "b", F.explode(F.sequence("d", last, F.expr(f"INTERVAL {STEPS[every]}"))).alias("d"))
+        axis = axis.filter(F.col("d").between(F.col("a"), F.col("b")))
+    axis = axis.select(F.col("d").cast(type_of(df, ts)).alias(ts))
     return axis.join(means, ts, "left")
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """(bin, low, high, n): equal-width bins over min..max; the last one includes its upper end.
+    """(bin, low, high, n): equal-width bins over the finite min..max; the last one includes its upper end.
 
     Empty bins are listed. A column with one value puts all rows into one bin of width 1 / bins
     around it, as its range is widened by 0.5 on both sides.
@@ -110,6 +125,7 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     if not (is_numeric(type_of(df, column)) or isinstance(type_of(df, column), T.BooleanType)):
         raise ToolkitError(f"column {column!r} is not numeric")
     v = present(df, column).cast("double")
+    v = F.when(F.abs(v) < F.lit(float("inf")), v)
     flat = F.col("a") == F.col("b")
     span = df.agg(F.min(v).alias("a"), F.max(v).alias("b")).select(
         F.struct(

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
-from rowloom.functions.columns import as_text, col, require
+from rowloom.functions.columns import as_text, col, is_floating, is_numeric, present, require, type_of
 
 MAX_EXAMPLES = 200
 
@@ -23,6 +24,20 @@ class Difference:
     examples: DataFrame
 
 
+def _common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
+    """A type in which the values of both compare as they are; None where only their texts do."""
+    if is_floating(left) or is_floating(right):
+        return T.DoubleType() if is_numeric(left) and is_numeric(right) else None
+    if left == right and isinstance(left, (T.IntegralType, T.BooleanType, T.DateType, T.StringType, T.BinaryType)):
+        return left
+    if is_numeric(left) and is_numeric(right):
+        digits = [(t.precision, t.scale) if isinstance(t, T.DecimalType) else (19, 0) for t in (left, right)]
+        scale = max(s for _, s in digits)
+        whole = max(p - s for p, s in digits)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
+    return None
+
+
 def diff_tables(
     a: DataFrame,
     b: DataFrame,
@@ -51,8 +66,17 @@ def diff_tables(
         if set(compared) & set(names):
             raise ToolkitError("a key column cannot be compared")
 
+    kinds = {c: _common_type(type_of(a, c), type_of(b, c)) for c in compared}
+
+    def by_value(df: DataFrame, c: str) -> Column:
+        # without a common type, texts are compared
+        return as_text(df, c) if kinds[c] is None else present(df, c).cast(kinds[c])
+
     def side(df: DataFrame, own: str, other: str) -> DataFrame:
-        values = F.struct(F.lit(True).alias("__row"), *[as_text(df, c).alias(c) for c in compared])
+        values = F.struct(
+            F.lit(True).alias("__row"),
+            *[F.struct(by_value(df, c).alias("v"), as_text(df, c).alias("t")).alias(c) for c in compared],
+        )
         nothing = F.lit(None).cast(df.select(values.alias("v")).schema["v"].dataType)
         return df.select(
             *[col(k) for k in names],
@@ -77,9 +101,9 @@ def diff_tables(
     cells = [
         F.struct(
             F.lit(c).alias("column"),
-            x.alias("value_a"),
-            y.alias("value_b"),
-            (~x.eqNullSafe(y)).alias("differs"),
+            x["t"].alias("value_a"),
+            y["t"].alias("value_b"),
+            (~x["v"].eqNullSafe(y["v"])).alias("differs"),
         )
         for c, x, y in pairs
     ]

@@ -17,11 +17,17 @@ from rowloom.operators.numbering import first_per_group, number_within
 
 def _lower_escapes(text: Column) -> Column:
     """Unicode escapes in lower case; an escaped backslash before a ``u`` is no escape."""
-    pieces = F.split(text, r"(?<=(?<!\\)(?:\\\\){0,200})\\u")
-    fixed = F.transform(
-        pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lower(F.substring(p, 1, 4)), F.substr(p, F.lit(5))))
-    )
-    return F.when(text.contains("\\u"), F.array_join(fixed, "\\u")).otherwise(text)
+
+    def lowered(part: Column) -> Column:
+        pieces = F.transform(
+            F.split(part, r"\\u"),
+            lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lower(F.substring(p, 1, 4)), F.substr(p, F.lit(5)))),
+        )
+        return F.when(part.contains("\\u"), F.array_join(pieces, "\\u")).otherwise(part)
+
+    # Escaped backslashes are matched from the left, pair by pair; between them a backslash starts an escape.
+    parts = F.transform(F.split(text, r"\\\\"), lowered)
+    return F.when(text.contains("\\u"), F.array_join(parts, "\\\\")).otherwise(text)
 
 
 def _json_string(value: Column) -> Column:

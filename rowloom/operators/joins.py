@@ -19,12 +19,13 @@ def join(
     right: DataFrame,
     keys: str | Sequence[str],
     how: str = "inner",
-    null_safe: bool = True,
+    null_safe: bool = False,
     suffixes: tuple[str, str] = ("_x", "_y"),
 ) -> DataFrame:
     """Equi-join on same-named keys, which appear once; other clashing columns get the suffixes.
 
-    With ``null_safe`` two missing keys match. The null-safe comparison is still an equi-join.
+    With ``null_safe`` two missing keys match, so every left row without a key meets every right one: their
+    numbers are multiplied. The null-safe comparison is still an equi-join.
     Build side and strategy are left to Spark's size statistics and AQE. AQE cannot split a hot
     key of a full outer join, so ``outer`` is a left join (which it can split) plus the right
     rows without a partner, found against the distinct left keys.

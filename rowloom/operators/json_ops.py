@@ -13,9 +13,7 @@ from rowloom.functions.columns import OrderItem, col, ordering, require, with_on
 from rowloom.functions.paths import compare_value, extract, truthy
 from rowloom.operators.numbering import first_per_group
 
-MAX_GROUPS = 200
 EXAMPLES = 10
-BROADCAST_GROUPS = 10_000
 
 
 def parsed(column: str) -> Column:
@@ -70,12 +68,12 @@ def group_by_path(
     column: str,
     path: str,
     order_by: OrderItem | Sequence[OrderItem],
-    max_groups: int | None = MAX_GROUPS,
+    max_groups: int | None = None,
     examples: int = EXAMPLES,
 ) -> DataFrame:
     """(group_key, n, examples): complete counts per value at the path, with the first records.
 
-    The largest ``max_groups`` groups are shown, ties by key. Counts are reduced before the
+    All groups, or the largest ``max_groups``, ties by key. Counts are reduced before the
     shuffle. Example rows are ranked inside each task first, so a group of any size sends at
     most ``examples`` rows per task and the array stays that short.
     """
@@ -85,8 +83,8 @@ def group_by_path(
     counts = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
     if max_groups is not None:
         counts = counts.orderBy(F.col("n").desc(), "__key").limit(max_groups)
-        if max_groups <= BROADCAST_GROUPS:  # a short list of keys: only their rows need ranking
-            keyed = keyed.join(F.broadcast(counts.select("__key")), "__key", "left_semi")
+        # only rows of the keys shown need ranking
+        keyed = keyed.join(counts.select("__key"), "__key", "left_semi")
     row = F.struct("__rank", F.struct(*[col(c) for c in df.columns]).alias("r"))
     first = (
         first_per_group(keyed, [F.col("__key")], ordering(df, order_by), examples, "__rank")

@@ -9,8 +9,6 @@ from rowloom.errors import ToolkitError
 from rowloom.functions.columns import require
 from rowloom.operators.numbering import first_per_group
 
-MAX_RECORDS = 500
-
 
 def offset_summary(df: DataFrame, commits: DataFrame | None = None) -> DataFrame:
     """Per partition: ``low`` mark, ``high`` mark (next offset), ``records`` and ``gaps`` between them.
@@ -32,9 +30,9 @@ def offset_summary(df: DataFrame, commits: DataFrame | None = None) -> DataFrame
 
 
 def read_range(
-    df: DataFrame, partition: int | None = None, from_offset: int | None = None, max_records: int | None = MAX_RECORDS
+    df: DataFrame, partition: int | None = None, from_offset: int | None = None, max_records: int | None = None
 ) -> DataFrame:
-    """Records from an offset on, of one partition or all, in (partition, offset) order up to ``max_records``."""
+    """Records from an offset on, of one partition or all; with ``max_records`` the first ones by (partition, offset)."""
     require(df, ["partition", "offset"])
     if partition is not None:
         df = df.filter(F.col("partition") == partition)

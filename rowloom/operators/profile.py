@@ -15,6 +15,7 @@ from rowloom.functions.columns import col, is_numeric, is_time, require
 from rowloom.operators import charts
 from rowloom.operators.aggregate import describe, value_frequencies
 from rowloom.operators.select import filter_rows, preview
+from rowloom.sources.files import write_table
 
 # Fixed values of the column classes.
 ID_MIN_ROWS = 10
@@ -175,8 +176,7 @@ def evidence_bundle(
     result = Evidence(root, f"{root}/data.parquet", f"{root}/data.csv", f"{root}/metadata.json")
     df.write.parquet(result.parquet)
     saved = spark.read.schema(df.schema).parquet(result.parquet)
-    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    saved.withColumns({n: F.to_json(col(n)) for n in nested}).write.option("header", True).csv(result.csv)
+    write_table(saved, result.csv, "csv")
 
     names = F.array(*[F.lit(n) for n in df.columns])
     dtypes = F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema.fields])

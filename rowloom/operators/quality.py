@@ -345,10 +345,10 @@ def _expectation(plan: _Plan, kind: str, kw: Mapping[str, Any]) -> tuple[Column,
         unexpected = plan.repeated_rows(require(df, kw["column_list"]))
         return unexpected == 0, nothing, unexpected
     if kind == "expect_column_values_to_be_in_set":
-        success, unexpected = _row_level(plan, kw, ~col(named()).isin(list(kw["value_set"])))
+        success, unexpected = _row_level(plan, kw, ~col(named()).isin([v for v in kw["value_set"] if v is not None]))
         return success, nothing, unexpected
     if kind == "expect_column_values_to_not_be_in_set":
-        success, unexpected = _row_level(plan, kw, col(named()).isin(list(kw["value_set"])))
+        success, unexpected = _row_level(plan, kw, col(named()).isin([v for v in kw["value_set"] if v is not None]))
         return success, nothing, unexpected
     if kind == "expect_column_values_to_be_between":
         success, unexpected = _row_level(plan, kw, ~bounds(present(df, named())))

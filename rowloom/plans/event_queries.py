@@ -133,6 +133,20 @@ def group_by_path(spark, folder):
     return groups.select("group_key", "n", offsets.alias("examples"))
 
 
+@query(
+    "group_by_path_all",
+    f"""WITH e AS ({_ENVELOPE_SQL}),
+             r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "partition", "offset") AS rn,
+                          count(*) OVER (PARTITION BY user_id) AS n FROM e)
+        SELECT CAST(user_id AS VARCHAR) AS group_key, n, string_agg(CAST("offset" AS VARCHAR), ',' ORDER BY "partition", "offset") AS examples
+        FROM r WHERE rn <= 10 GROUP BY ALL""",
+)
+def group_by_path_all(spark, folder):
+    groups = json_ops.group_by_path(envelope(spark, folder), "value", "user", ["partition", "offset"])
+    offsets = F.concat_ws(",", F.transform("examples", lambda r: r["offset"].cast("string")))
+    return groups.select("group_key", "n", offsets.alias("examples"))
+
+
 # --- F4, F5 --------------------------------------------------------------------------------------
 
 _WHOLE = "FROM orders WHERE o_orderpriority <> '1-URGENT'"
@@ -212,6 +226,17 @@ def fingerprint(spark, folder):
     return event_ops.fingerprint(events, ["event_type", "event_id", "absent"]).select("event_id", "fingerprint")
 
 
+@query(
+    "fingerprint_escapes",
+    r"""SELECT event_id, sha256('{"t": "' || repeat('\\', event_id % 450) || '\u00c9\u00fc"}') AS fingerprint FROM events""",
+)
+def fingerprint_escapes(spark, folder):
+    """Up to 449 backslashes before a letter that is escaped."""
+    text = F.concat(F.expr(r"repeat('\\', CAST(event_id % 450 AS INT))"), F.lit("\u00c9\u00fc"))
+    events = table(spark, folder, "events").select("event_id", text.alias("t"))
+    return event_ops.fingerprint(events, ["t"]).select("event_id", "fingerprint")
+
+
 @query(
     "fingerprint_all_fields",
     """SELECT p_partkey, sha256('{"p_brand": "' || p_brand || '", "p_name": "' || p_name || '", "p_partkey": ' || p_partkey
@@ -377,12 +402,17 @@ _SHOWN = '"partition", "offset", "timestamp", "key", "value"'
     f"""SELECT {_SHOWN} FROM ({_ENVELOPE_SQL}) WHERE "partition" = 2 AND "offset" >= 100 ORDER BY "offset" LIMIT 500""",
 )
 def read_range(spark, folder):
-    return positions.read_range(envelope(spark, folder), partition=2, from_offset=100).drop("headers")
+    return positions.read_range(envelope(spark, folder), partition=2, from_offset=100, max_records=500).drop("headers")
+
+
+@query("read_range_default", f"""SELECT {_SHOWN} FROM ({_ENVELOPE_SQL}) WHERE "partition" = 2""")
+def read_range_default(spark, folder):
+    return positions.read_range(envelope(spark, folder), partition=2).drop("headers")
 
 
 @query("read_range_all", f"""SELECT {_SHOWN} FROM ({_ENVELOPE_SQL}) WHERE "offset" >= 50""")
 def read_range_all(spark, folder):
-    return positions.read_range(envelope(spark, folder), from_offset=50, max_records=None).drop("headers")
+    return positions.read_range(envelope(spark, folder), from_offset=50).drop("headers")
 
 
 @query(

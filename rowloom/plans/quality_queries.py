@@ -143,6 +143,34 @@ def _change_text():
     )
 
 
+@query(
+    "diff_types",
+    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'changed' ELSE 'same' END AS status FROM events",
+)
+def diff_types(spark, folder):
+    """An integer against a double, two scales of decimals, and zeros of both signs."""
+    events = table(spark, folder, "events")
+    a = events.selectExpr("event_id", "user_id AS n", "CAST(value AS DECIMAL(18,2)) AS d", "0.0D AS z")
+    b = events.selectExpr(
+        "event_id",
+        "CAST(user_id AS DOUBLE) + IF(event_id % 5 = 0, 0.5D, 0D) AS n",
+        "CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(22,5)) AS d",
+        "-0.0D AS z",
+    )
+    return compare.diff_tables(a, b, "event_id").keys.select("event_id", "status")
+
+
+@query(
+    "expectations_with_missing",
+    """SELECT count(*) FILTER (WHERE event_type <> 'view') = 0 AS success, count(*) FILTER (WHERE event_type <> 'view') AS unexpected FROM events""",
+)
+def expectations_with_missing(spark, folder):
+    suite = [
+        {"expectation_type": "expect_column_values_to_be_in_set", "kwargs": {"column": "event_type", "value_set": ["view", None]}}
+    ]
+    return quality.run_expectations(table(spark, folder, "events"), suite).selectExpr("success", "CAST(unexpected AS BIGINT) AS unexpected")
+
+
 @query("diff_keys", _DIFF)
 def diff_keys(spark, folder):
     keys = compare.diff_tables(*_versions(spark, folder), "event_id").keys

@@ -165,7 +165,7 @@ def _orders_customer(spark, folder):
        FROM orders JOIN customer ON o_custkey = c_custkey""",
 )
 def join_inner(spark, folder):
-    return joins.join(*_orders_customer(spark, folder), "key")
+    return joins.join(*_orders_customer(spark, folder), "key", null_safe=True)
 
 
 # Events with a nullable kind against one row per nullable kind: every key of the left is hot, both
@@ -191,7 +191,7 @@ def _register_join(how, sql):
             FROM ({_EVENTS}) l {sql} ({_KINDS}) r ON l.kind IS NOT DISTINCT FROM r.kind""",
     )
     def run(spark, folder):
-        return joins.join(*_kinds(spark, folder), "kind", how)
+        return joins.join(*_kinds(spark, folder), "kind", how, null_safe=True)
 
 
 for _how, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}.items():

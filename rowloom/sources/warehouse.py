@@ -15,8 +15,8 @@ from rowloom.operators.sql import read_only
 
 # Fixed names of table formats.
 TABLE_FORMATS = {"PARQUET": "parquet", "ORC": "orc", "JSON": "json", "TEXTFILE": "text", "CSV": "csv"}
-MAX_TABLES = 200
-MAX_PARTITIONS = 200
+# How table formats write a null partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def sql_literal(value: Any) -> str:
@@ -102,12 +102,12 @@ def _like(pattern: str | None):
 
 
 def introspect_catalog(
-    spark: SparkSession, schema_like: str | None = None, table_like: str | None = None, max_tables: int = MAX_TABLES
+    spark: SparkSession, schema_like: str | None = None, table_like: str | None = None, max_tables: int | None = None
 ) -> DataFrame:
     """(table_schema, table_name, position, column_name, type, nullable) of the session's catalog.
 
     A JDBC database shows up here once it is configured as a catalog and made current. Only
-    metadata is read, for at most ``max_tables`` tables in name order.
+    metadata is read, of all tables, or of the first ``max_tables`` in name order.
     """
     rows: list[tuple] = []
     tables = 0
@@ -147,18 +147,28 @@ def ctas_export(
     return spark.table(table)
 
 
-def list_partitions(spark: SparkSession, table: str, max_partitions: int = MAX_PARTITIONS) -> DataFrame:
-    """(partition, values, location, parameters) of a partitioned table, metadata only."""
-    shown = spark.sql(f"SHOW PARTITIONS {table}").limit(max_partitions).collect()
+def list_partitions(spark: SparkSession, table: str, max_partitions: int | None = None) -> DataFrame:
+    """(partition, values, location, parameters) of a partitioned table, metadata only.
+
+    One call to the catalog lists all partitions with their places. Values are unescaped; a null value is null.
+    """
+    parsed = spark._jsparkSession.sessionState().sqlParser().parseTableIdentifier(table)
+    catalog = spark._jsparkSession.sessionState().catalog()
+    described = catalog.getTableMetadata(parsed)
+    names = [described.partitionColumnNames().apply(i) for i in range(described.partitionColumnNames().size())]
+    found = catalog.listPartitions(parsed, spark._jvm.scala.Option.empty())
     rows = []
-    for (spec,) in shown:
-        pairs = [p.split("=", 1) for p in spec.split("/")]
-        values = [v for _, v in pairs]
-        clause = ", ".join(f"`{k}`={sql_literal(v)}" for k, v in pairs)
-        described = spark.sql(f"DESCRIBE EXTENDED {table} PARTITION ({clause})").collect()
-        # the partition's own facts come before those of the table, which has a location as well
-        details = {r["col_name"]: r["data_type"] for r in reversed(described)}
-        rows.append((spec, values, details.get("Location"), details.get("Partition Parameters")))
+    for i in range(found.size()):
+        part = found.apply(i)
+        raw = [part.spec().apply(n) for n in names]
+        # the shown name escapes what a path must not hold, as the folder's name does
+        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        spec = "/".join(f"{escape(n)}={NULL_PARTITION if v is None else escape(v)}" for n, v in zip(names, raw, strict=True))
+        values = [None if v == NULL_PARTITION else v for v in raw]
+        parameters = ", ".join(sorted(f"{t._1()}={t._2()}" for t in map(part.parameters().toSeq().apply, range(part.parameters().size()))))
+        rows.append((spec, values, part.location().toString(), f"{{{parameters}}}" if parameters else None))
+    rows.sort()
+    rows = rows if max_partitions is None else rows[:max_partitions]
     return spark.createDataFrame(rows, "partition string, values array<string>, location string, parameters string")
 
 

@@ -272,3 +272,14 @@ def test_search(spark, rows, tmp_path):
     (tmp_path / "a.txt").write_text("x\n needle \n")
     (tmp_path / "b.log").write_text("needle\n")
     assert [r["line"] for r in search.search_files(spark, str(tmp_path), "need.e", "*.txt").collect()] == ["needle"]
+
+
+def test_fingerprint_of_long_backslash_runs(spark):
+    import json
+    from hashlib import sha256
+
+    texts = ["\\" * n + "É" for n in (0, 1, 2, 150, 250, 451)] + ["a\\u00C9É\n\\É"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r["i"]: r["fingerprint"] for r in events.fingerprint(df, ["t"]).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == sha256(json.dumps({"t": t}, sort_keys=True).encode()).hexdigest()

@@ -232,7 +232,7 @@ def test_pivot_refuses_too_many_series(spark):
 def test_resample_fills_gaps(spark, rows):
     df = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-01-01 01:00:00', 1.0D), (TIMESTAMP_NTZ'2024-01-03 05:00:00', 3.0D) v(t, x)")
     assert [r["x"] for r in charts.resample(df, "t", "x", "day").orderBy("t").collect()] == [1.0, None, 3.0]
-    assert charts.resample(df, "t", "x", "auto").count() == 2
+    assert charts.resample(df, "t", "x", "auto").count() == 53
 
 
 def test_histogram_edges(spark, rows):
@@ -250,3 +250,36 @@ def test_evidence_bundle(spark, tmp_path):
     assert (record["rows"], record["columns"], record["dtypes"], len(record["sample"])) == (2, ["a", "l"], ["int", "array<int>"], 1)
     assert spark.read.parquet(written.parquet).count() == 2
     assert spark.read.option("header", True).csv(written.csv).count() == 2
+
+
+def test_diff_compares_values_not_texts(spark):
+    a = spark.sql("SELECT * FROM VALUES (1, 1, 0.0D, 1.0BD, 'x'), (2, 2, 1.5D, 2.50BD, 'y') v(k, n, d, m, s)")
+    b = spark.sql("SELECT * FROM VALUES (1, 1.0D, -0.0D, 1.00BD, 'x'), (2, 2.5D, 1.5D, 2.5BD, 'y') v(k, n, d, m, s)")
+    found = {r["k"]: (r["status"], [c["column"] for c in r["changes"]]) for r in compare.diff_tables(a, b, "k").keys.collect()}
+    assert found == {1: ("same", []), 2: ("changed", ["n"])}
+
+
+def test_value_set_with_none_still_finds_others(spark):
+    df = spark.createDataFrame([("a",), ("z",), (None,)], "v string")
+    suite = [{"expectation_type": "expect_column_values_to_be_in_set", "kwargs": {"column": "v", "value_set": ["a", None]}}]
+    found = quality.run_expectations(df, suite).collect()
+    assert [r["success"] for r in found] == [False]
+
+
+def test_bars_of_text_and_missing_values(spark, rows):
+    df = spark.createDataFrame([("a", "p"), ("b", None)], "x string, y string")
+    assert rows(charts.bar_data(df, "x", "y", "count")) == [("a", 1), ("b", 0)]
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "x string, y double")
+    assert rows(charts.bar_data(df, "x", "y", "sum")) == [("a", 1.0), ("b", None)]
+
+
+def test_histogram_leaves_infinities_out(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (float("inf"),)], "v double")
+    assert [r["n"] for r in charts.histogram(df, "v", 2).orderBy("bin").collect()] == [1, 1]
+
+
+def test_hours_over_years(spark):
+    df = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2000-01-01 01:30:00', 1.0D), (TIMESTAMP_NTZ'2024-01-03 05:00:00', 3.0D) v(t, x)")
+    found = charts.resample(df, "t", "x", "hour")
+    assert found.count() == 8768 * 24 + 5
+    assert found.where("x IS NOT NULL").count() == 2

@@ -11,8 +11,21 @@ from rowloom.errors import ReadOnlyError, ToolkitError, UnknownDatasetError
 from rowloom.operators import sql
 from rowloom.sources import datasets, files, warehouse
 
-GOOD = ["SELECT 1", "select\n1", "WITH t AS (SELECT 1 AS a) SELECT * FROM t", "EXPLAIN SELECT 1", "SELECT created, update_time FROM t"]
+GOOD = [
+    "SELECT * FROM t WHERE action = 'delete'",
+    "SELECT 'it''s; a drop' AS x",
+    "-- drop nothing\nSELECT 1",
+    "(SELECT 1)",
+    "SELECT 1",
+    "select\n1",
+    "WITH t AS (SELECT 1 AS a) SELECT * FROM t",
+    "EXPLAIN SELECT 1",
+    "SELECT created, update_time FROM t",
+]
 BAD = [
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT reflect ('a', 'b')",
+    "SELECT 1 /* ; */ ; SELECT 2",
     "SELECT 1;",
     "DROP TABLE t",
     "INSERT INTO t VALUES (1)",
@@ -201,3 +214,21 @@ def test_jdbc_options():
     ):
         with pytest.raises(ToolkitError):
             warehouse.jdbc_options("jdbc:x", **wrong)
+
+
+def test_partitions_with_escaped_and_null_values(spark):
+    name = "escaped_partitions"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        spark.createDataFrame([(1, "a b:c"), (2, None), (3, "x")], "v int, p string").write.partitionBy("p").saveAsTable(name)
+        found = warehouse.list_partitions(spark, name).collect()
+        assert sorted((r["values"] for r in found), key=repr) == [["a b:c"], ["x"], [None]]
+        assert all(r["location"] for r in found)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_scratch_is_never_machine_local(spark):
+    from rowloom.session import scratch_root
+
+    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
