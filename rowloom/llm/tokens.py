@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.slices import map_slices
 
 # Runs that a worker keeps, at most; a full cache starts again.
-KEPT_RUNS = 800_000
+KEPT_RUNS = 1_000_000
 # Frequent runs that are broadcast, and the rows they are counted in. Both change the speed only.
 FREQUENT_RUNS = 65_536
 FREQUENT_ROWS = 4_096
@@ -99,7 +99,7 @@ class RunCoder:
         found = self.parts.get(part)
         if found is None:
             signs = part.encode().decode("latin-1").translate(self.alphabet)
-            found = array(self.code, [t.id for t in self.merges(signs)]).tobytes()
+            found = self._merged(signs)
             if len(self.parts) >= KEPT_RUNS // 4:
                 self.parts.clear()
             self.parts[part] = found
@@ -113,10 +113,22 @@ class RunCoder:
         letters, signs = plain.groups()
         return self._part(letters) + (self._part(signs) if signs else b"")
 
+    def _merged(self, signs: str) -> bytes:
+        return array(self.code, [t.id for t in self.merges(signs)]).tobytes()
+
     def _fill(self, kept: dict[str, bytes], blank: str, word: str) -> bytes:
+        """Encode a word and keep it; one that ends in punctuation shares the ids of its letters."""
+        before = self.alphabet[32] if blank else ""
         if word.isascii() and word.isalpha():
-            signs = self.alphabet[32] + word if blank else word
-            found = array(self.code, [t.id for t in self.merges(signs)]).tobytes()
+            found = self._merged(before + word)
+        elif plain := _PLAIN.fullmatch(word):
+            letters, signs = plain.groups()
+            if signs and letters[0] != " ":
+                found = (kept.get(letters) or self._fill(kept, blank, letters)) + self._part(signs)
+            elif letters[0] != " ":
+                found = self._merged(before + word.encode().decode("latin-1").translate(self.alphabet))
+            else:
+                found = self.run(blank + word)
         else:
             found = self.run(blank + word)
         if len(word) <= 32:
