@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.slices import map_slices
 
 # Runs that a worker keeps, at most; a full cache starts again.
-KEPT_RUNS = 1_000_000
+KEPT_RUNS = 400_000
 # Frequent runs that are broadcast, and the rows they are counted in. Both change the speed only.
 FREQUENT_RUNS = 65_536
 FREQUENT_ROWS = 4_096
