@@ -157,9 +157,8 @@ class RunCoder:
             first, *words = line.split(" ")
             out.append(bare.get(first) or self._fill(bare, "", first))
             found = list(map(spaced.get, words))
-            while None in found:
-                at = found.index(None)
-                found[at] = self._fill(spaced, " ", words[at])
+            for at in [i for i, ids in enumerate(found) if ids is None]:
+                found[at] = spaced.get(words[at]) or self._fill(spaced, " ", words[at])
             out += found
 
     def encode(self, text: str | None) -> bytes:
