@@ -201,7 +201,8 @@ def mix(docs: DataFrame, key: str, size: str, source: str, seed: int = SEED) ->
 def mixed_rows(df: DataFrame, key: str, text: str, source: str, seed: int = SEED) -> DataFrame:
     """The rows that the mix takes, as often as it takes them, all columns unchanged.
 
-    Texts are shuffled once, to meet their document's decision.
+    Texts are shuffled once, to meet their document's decision. Of rows with one key, source and length, those with
+    the smallest text hashes are taken once more, so reruns agree.
     """
     # A document's name as one text that is never null: rows with one name are interchangeable.
     def name(k, s, z):
@@ -224,7 +225,7 @@ def mixed_rows(df: DataFrame, key: str, text: str, source: str, seed: int = SEED
     k, t, s = (F.col(inner[df.columns.index(c)]) for c in (key, text, source))
     rows = df.toDF(*inner).withColumn("__name", name(k, s, n_words(t)))
     met = rows.join(decided, F.col("__name") == F.col("__of"))
-    place = F.row_number().over(Window.partitionBy("__name").orderBy("__name"))
+    place = F.row_number().over(Window.partitionBy("__name").orderBy(F.xxhash64(t)))
     times = F.col("__copies") + F.when(place <= F.col("__extra"), 1).otherwise(0)
     return (
         met.withColumn("__times", times)
