@@ -100,8 +100,12 @@ def telling(rows: Rows, labels: np.ndarray) -> np.ndarray:
 
 def fit_linear(rows: Rows, earlier: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> Linear:
     """Proximal gradient steps with a rate per weight; an L1 penalty keeps weights of common n-grams at zero."""
-    rows = rows.only(telling(rows, labels))
-    weights, memory = np.zeros(1 << BUCKET_BITS), np.full(1 << BUCKET_BITS, 1e-8)
+    used = telling(rows, labels)
+    rows = rows.only(used)
+    # Features that are used are numbered from 0 on: the weights of all others stay zero.
+    rows = Rows((np.cumsum(used) - 1)[rows.flat], rows.sizes)
+    n_used = int(used.sum())
+    weights, memory = np.zeros(n_used), np.full(n_used, 1e-8)
     chain, chain_memory = np.zeros(earlier.shape[1]), np.full(earlier.shape[1], 1e-8)
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 1e-3
     bias = float(np.log(share / (1 - share)))
@@ -116,7 +120,9 @@ def fit_linear(rows: Rows, earlier: np.ndarray, labels: np.ndarray, rounds: int
         chain_memory += back * back
         chain = chain - 0.3 / np.sqrt(chain_memory) * back
         bias -= 2.0 * float(error.sum())
-    return Linear(weights, chain, bias)
+    spread = np.zeros(len(used))
+    spread[used] = weights
+    return Linear(spread, chain, bias)
 
 
 @dataclass(frozen=True)
