@@ -65,7 +65,7 @@ def group_aggregate(
     if drop_null_keys:
         for name in groups:
             df = df.filter(~is_missing(df, name))
-    return df.groupBy(*[col(g) for g in groups]).agg(*outputs)
+    return df.groupBy(*[present(df, g).alias(g) for g in groups]).agg(*outputs)
 
 
 DIGEST_ABOVE = 64

@@ -44,6 +44,13 @@ def bar_data(df: DataFrame, x: str, y: str, agg: str = "mean", top_k: int | None
     return bars.filter(col(y).isNotNull()).orderBy(col(y).desc(), col(x)).limit(top_k)
 
 
+def grouped_bars(df: DataFrame, x: str, series: str, y: str, agg: str = "mean") -> DataFrame:
+    """(x, series, y): y aggregated per x and series; rows without either are left out."""
+    require(df, [x, series, y])
+    kept = df.filter(present(df, x).isNotNull() & present(df, series).isNotNull())
+    return kept.groupBy(col(x), col(series)).agg(aggregate_column(df, y, agg).alias(y))
+
+
 def pivot_data(
     df: DataFrame,
     x: str,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
-from rowloom.functions.columns import OrderItem, as_list, col, is_floating, ordering, python_number_text, require, type_of, with_once
+from rowloom.functions.columns import OrderItem, as_list, col, is_floating, is_missing, ordering, python_number_text, require, type_of, with_once
 from rowloom.functions.paths import extract
 from rowloom.operators.json_ops import parsed
 from rowloom.operators.numbering import first_per_group, number_within
@@ -94,7 +94,7 @@ def _with_id(df: DataFrame, id_cols: str | Sequence[str] | None, column: str | N
     keyed = df.withColumn("__id", F.struct(*[col(n) for n in names]))
     there = F.lit(True)
     for name in names:
-        there = there & col(name).isNotNull()
+        there = there & ~is_missing(df, name)
     return keyed, there
 
 

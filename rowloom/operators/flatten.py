@@ -16,6 +16,8 @@ from rowloom.operators.quality import variant_path
 
 ENVELOPE = ("partition", "offset", "timestamp", "key", "value", "headers")
 _POSITION = ("partition", "offset", "timestamp", "key")
+# More distinct header names than this can't all be columns.
+MAX_HEADERS = 1000
 
 
 def discover_schema(df: DataFrame, value: Column) -> T.StructType:
@@ -24,12 +26,17 @@ def discover_schema(df: DataFrame, value: Column) -> T.StructType:
     A field whose type differs between rows comes out as variant. Values that are not objects
     are left out, as they have no fields.
     """
+    return discover_fields(df, value)[0]
+
+
+def discover_fields(df: DataFrame, value: Column) -> tuple[T.StructType, int]:
+    """As :func:`discover_schema`, with the number of rows that have a value, from the same pass."""
     kind = F.schema_of_variant(value)
     objects = F.when(kind.startswith("OBJECT"), value)
-    text = df.agg(F.schema_of_variant_agg(objects).alias("s")).first()["s"]
+    text, n_valid = df.agg(F.schema_of_variant_agg(objects), F.count(value)).first()
     if not text or not text.startswith("OBJECT<") or text == "OBJECT<>":
-        return T.StructType([])
-    return T.StructType.fromDDL(_as_struct_text(text)[len("STRUCT<") : -1])
+        return T.StructType([]), n_valid
+    return T.StructType.fromDDL(_as_struct_text(text)[len("STRUCT<") : -1]), n_valid
 
 
 def _as_struct_text(text: str) -> str:
@@ -86,7 +93,7 @@ def parse_json_column(
     arrays as JSON text (an empty one as null); their names come from ``schema`` or from one pass
     over the data. With ``expand_arrays`` each array element becomes a row; elements that are
     text are parsed again and dropped if broken; an empty array gives no row. New fields replace
-    columns of the same name.
+    columns of the same name. A pass for the names that finds no valid JSON at all is an error.
     """
     require(df, column)
     rows = _json_rows(df, column, expand_arrays)
@@ -96,7 +103,9 @@ def parse_json_column(
         fields = {t: _target(value, t, dtype) for t, dtype in types.items()}
     else:
         if schema is None:
-            schema = discover_schema(rows, value)
+            schema, n_valid = discover_fields(rows, value)
+            if not n_valid:
+                raise ToolkitError(f"no valid JSON in column {column!r}")
         elif isinstance(schema, str):
             schema = T.StructType.fromDDL(schema)
         fields = {".".join(p): _leaf(value, p, t) for p, t in _leaves(schema, 1)}
@@ -155,10 +164,13 @@ def flatten_envelope(
     Object fields of ``value`` are opened at every level with ``_``, arrays become JSON text (an
     empty one null). Other JSON and plain text goes to ``value``. A header becomes
     ``header_<name>``, or ``header_<name>_base64`` where its text has control characters or line
-    breaks. A field named like an envelope column gets the prefix ``value_``. Missing positions
-    stay null.
+    breaks. A field named like an envelope column or a header's column gets the prefix ``value_``.
+    Where two fields meet in one name, the first present value counts, as text if their types
+    differ. Missing positions stay null.
 
-    ``schema`` and ``header_names`` save the passes that discover them; a stream needs both.
+    ``schema`` and ``header_names`` save the passes that discover them; a stream needs both. More
+    than ``MAX_HEADERS`` header names are an error: a producer that writes ids into the names needs
+    ``header_names``, which then picks the columns.
     """
     require(df, ENVELOPE)
     headers = col("headers")
@@ -173,18 +185,24 @@ def flatten_envelope(
         schema = T.StructType.fromDDL(schema)
     if header_names is None:
         names = rows.select(F.explode(F.map_keys("__headers")).alias("h")).distinct()
-        header_names = [r["h"] for r in names.orderBy("h").collect()]  # header names, not records
-
-    outputs: dict[str, Column] = {}
-
-    def put(name: str, column: Column) -> None:
-        taken = name in _POSITION or name == "value"
-        name = f"value_{name}" if taken else name
-        # two paths may meet in one name, such as a_b and a.b: the first present value counts
-        outputs[name] = F.coalesce(outputs[name], column) if name in outputs else column
+        found = names.limit(MAX_HEADERS + 1).collect()
+        if len(found) > MAX_HEADERS:
+            raise ToolkitError(f"more than {MAX_HEADERS} header names; choose some by header_names")
+        header_names = sorted(r["h"] for r in found)
 
+    reserved = {*_POSITION, "value", *(f"header_{n}{end}" for n in header_names for end in ("", "_base64"))}
+    met: dict[str, list[tuple[tuple[str, ...], T.DataType]]] = {}
     for path, dtype in _leaves(schema, None):
-        put("_".join(path), _leaf(variant, path, dtype))
+        name = "_".join(path)
+        met.setdefault(f"value_{name}" if name in reserved else name, []).append((path, dtype))
+
+    outputs: dict[str, Column] = {}
+    for name, leaves in met.items():
+        # two paths may meet in one name, such as a_b and a.b
+        cells = [_leaf(variant, p, t) for p, t in leaves]
+        if len({t.simpleString() for _, t in leaves}) > 1:
+            cells = [c.cast("string") for c in cells]
+        outputs[name] = F.coalesce(*cells)
 
     is_json = variant.isNotNull()
     whole = F.when(is_json & is_array_text(col("value")), F.to_json(variant)).otherwise(col("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.errors import ToolkitError
-from rowloom.functions.columns import col, require
+from rowloom.functions.columns import col, present, require
 
 HOW = ("inner", "left", "right", "outer")
 
@@ -43,8 +43,8 @@ def join(
 
     lk = {k: f"__left_{i}" for i, k in enumerate(names)}
     rk = {k: f"__right_{i}" for i, k in enumerate(names)}
-    a = left.select(*[col(k).alias(lk[k]) for k in names], *[col(c).alias(o) for c, o in left_out.items()])
-    b = right.select(*[col(k).alias(rk[k]) for k in names], *[col(c).alias(o) for c, o in right_out.items()])
+    a = left.select(*[present(left, k).alias(lk[k]) for k in names], *[col(c).alias(o) for c, o in left_out.items()])
+    b = right.select(*[present(right, k).alias(rk[k]) for k in names], *[col(c).alias(o) for c, o in right_out.items()])
 
     def matches(x: DataFrame, y: DataFrame):
         pairs = [
@@ -73,9 +73,9 @@ def key_presence(left: DataFrame, right: DataFrame, keys: str | Sequence[str]) -
     """
     names = require(left, keys)
     require(right, keys)
-    tagged = left.select(*[col(k) for k in names], F.lit(True).alias("in_left"), F.lit(False).alias("in_right"))
+    tagged = left.select(*[present(left, k).alias(k) for k in names], F.lit(True).alias("in_left"), F.lit(False).alias("in_right"))
     tagged = tagged.unionByName(
-        right.select(*[col(k) for k in names], F.lit(False).alias("in_left"), F.lit(True).alias("in_right"))
+        right.select(*[present(right, k).alias(k) for k in names], F.lit(False).alias("in_left"), F.lit(True).alias("in_right"))
     )
     return tagged.groupBy(*[col(k) for k in names]).agg(
         F.max("in_left").alias("in_left"), F.max("in_right").alias("in_right")

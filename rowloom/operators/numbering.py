@@ -21,11 +21,13 @@ def number_within(
     A group's positions then follow from its first number in a range plus its rows in earlier
     ranges. Only these counts, one per group and range, pass through a window.
 
-    Rows that tie on the order keep the order in which they were read. That also splits a group
-    of equal rows, which no range of its values could.
+    Rows that tie on the order go by a hash of the row, so a task that runs again places them alike;
+    only equal rows keep the order in which they were read. That also splits a group of equal rows,
+    which no range of its values could.
     """
     names, order = require(df, list(keys)), require(df, list(order_by))
-    sort = [*[col(c).asc_nulls_first() for c in (*names, *order)], F.col("__row")]
+    hashed = [col(f.name) for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    sort = [*[col(c).asc_nulls_first() for c in (*names, *order)], F.xxhash64(*hashed), F.col("__row")]
     placed = df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
     # high bits: number of the range; low 33 bits: row number inside it
     placed = materialize(placed.drop("__row").withColumn("__at", F.monotonically_increasing_id()), "numbered")
@@ -50,9 +52,6 @@ def number_within(
     )
 
 
-SPREAD = 64
-
-
 def first_per_group(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], n: int, rank: str = "__rank") -> DataFrame:
     """The first ``n`` rows of every group in a total order, with their rank.
 
@@ -62,7 +61,7 @@ def first_per_group(df: DataFrame, keys: Sequence[Column], order: Sequence[Colum
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
     if n > limit:
-        df = df.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+        df = df.withColumn("__part", F.spark_partition_id())
         inner = Window.partitionBy(*keys, "__part").orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= n).drop(rank, "__part")
     window = Window.partitionBy(*keys).orderBy(*order)

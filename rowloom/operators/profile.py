@@ -24,7 +24,6 @@ ID_MAX_NULL_RATIO = 0.1
 CATEGORY_LIMIT = 20
 COUNT_LIKE_WORDS = ("count", "action", "total", "sum")
 LONG_SERIES = 100
-TOP_BARS = 20
 
 
 def profile_columns(df: DataFrame, columns: str | Sequence[str] | None = None) -> DataFrame:
@@ -88,8 +87,12 @@ class ChartSpec:
     filters: list[Mapping[str, Any]] = field(default_factory=list)
 
 
-def suggest_chart(profile: DataFrame, hints: Mapping[str, Any] | None = None) -> ChartSpec:
-    """A chart for a profiled table; hints, if any, decide alone.
+def suggest_chart(
+    profile: DataFrame, hints: Mapping[str, Any] | None = None, top_k: int | None = None, long_series: int = LONG_SERIES
+) -> ChartSpec:
+    """A chart for a profiled table; hints, if any, decide alone. ``top_k`` bars at most, if given.
+
+    A line of more than ``long_series`` points is drawn by hour or day, a shorter one point by point.
 
     Reads the profile (one row per column) on the driver, never the table.
     """
@@ -112,7 +115,7 @@ def suggest_chart(profile: DataFrame, hints: Mapping[str, Any] | None = None) ->
         by_class.setdefault(row["class"], []).append(row)
     times, numbers, categories = (by_class.get(c, []) for c in ("datetime", "numeric", "categorical"))
     if times and numbers:
-        granularity = "auto" if rows[0]["rows"] > LONG_SERIES else None
+        granularity = "auto" if rows[0]["rows"] > long_series else None
         return ChartSpec("line", times[0]["column"], numbers[0]["column"], date_granularity=granularity)
     if categories and numbers:
         names = [n["column"] for n in numbers]
@@ -123,7 +126,7 @@ def suggest_chart(profile: DataFrame, hints: Mapping[str, Any] | None = None) ->
             categories[0]["column"],
             (preferred or names)[0],
             group_by=categories[1]["column"] if len(categories) > 1 and repeats else None,
-            top_k=TOP_BARS if categories[0]["cardinality"] > TOP_BARS else None,
+            top_k=top_k,
         )
     if len(numbers) > 1:
         return ChartSpec("scatter", numbers[0]["column"], numbers[1]["column"])
@@ -133,7 +136,11 @@ def suggest_chart(profile: DataFrame, hints: Mapping[str, Any] | None = None) ->
 
 
 def chart_data(df: DataFrame, spec: ChartSpec, key: str | Sequence[str] | None = None) -> DataFrame:
-    """The points of a suggested chart. ``key`` identifies rows for the sample of a scatter chart."""
+    """The points of a suggested chart. ``key`` identifies rows for the sample of a scatter chart.
+
+    Grouped bars come in long form (x, series, y), so any number of series fits;
+    :func:`rowloom.operators.charts.pivot_data` gives a column per series on request.
+    """
     if spec.x is None:
         raise ToolkitError("the chart has no x column")
     df = filter_rows(df, spec.filters)
@@ -145,7 +152,7 @@ def chart_data(df: DataFrame, spec: ChartSpec, key: str | Sequence[str] | None =
         if spec.y is None:
             return charts.count_bars(df, spec.x, spec.top_k)
         if spec.group_by:
-            return charts.pivot_data(df, spec.x, spec.group_by, spec.y, spec.agg)
+            return charts.grouped_bars(df, spec.x, spec.group_by, spec.y, spec.agg)
         return charts.bar_data(df, spec.x, spec.y, spec.agg, spec.top_k)
     if spec.chart_type == "scatter":
         return charts.scatter_data(df, spec.x, spec.y, key=key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.columns import as_list, col, require
@@ -28,13 +28,26 @@ def match_counts(matches: DataFrame, id_cols: str | Sequence[str]) -> DataFrame:
 
 
 def search_files(spark: SparkSession, path: str, pattern: str, glob: str | None = None) -> DataFrame:
-    """(path, line) for every matching line of the text files below a folder.
+    """(path, line_number, line) for every matching line of the text files below a folder.
 
-    Large files are split over tasks, so line numbers are not known here; use
-    :func:`search_text` on whole texts where they matter.
+    Large files are split over tasks: a line's number is its place in its split after all lines of
+    the splits before. That takes a pass which counts the lines; only counts are shuffled.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return lines.filter(F.col("value").rlike(pattern)).select("path", F.trim("value").alias("line"))
+    lines = reader.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    splits = lines.groupBy("path", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        F.col("path").alias("p"), F.col("start").alias("s"), "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    found = lines.filter(F.col("value").rlike(pattern))
+    return found.join(splits, (F.col("path") == F.col("p")) & (F.col("start") == F.col("s"))).select(
+        "path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_number"), F.trim("value").alias("line")
+    )

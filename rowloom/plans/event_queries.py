@@ -53,7 +53,7 @@ def extract_nested(spark, folder):
     return found.select("key", "offset", "detail_k", "kind", "amount")
 
 
-# orders as JSON documents: an object with an array of objects, some of the texts cut
+# orders as JSON documents: an object with an array of objects, some of the texts with a sign too many
 _LINE = """concat('{"line":', l_linenumber, ',"qty":', CAST(l_quantity AS INT), ',"flag":"', l_returnflag, '"}')"""
 
 
@@ -61,11 +61,11 @@ def order_documents(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", F.expr(_LINE).alias("line"))
     arrays = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("line")), ",").alias("items"))
     # both sides by order key: the documents then lie in many partitions, however few files the orders have
-    orders = table(spark, folder, "orders").hint("merge").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, folder, "orders").repartition("o_orderkey").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     text = """concat('{"id":', o_orderkey, ',"buyer":{"key":', o_custkey, ',"segment":{"status":"', o_orderstatus, '"}},',
               '"total":', CAST(CAST(o_totalprice AS INT) AS STRING), ',"items":[', coalesce(items, ''), ']}')"""
-    cut = f"CASE WHEN o_orderpriority = '1-URGENT' THEN substr({text}, 1, 20) ELSE {text} END"
-    return orders.select("o_orderkey", F.expr(cut).alias("doc"))
+    broken = f"concat(CASE WHEN o_orderpriority = '1-URGENT' THEN ']' ELSE '' END, {text})"
+    return orders.select("o_orderkey", F.expr(broken).alias("doc"))
 
 
 @query(

@@ -295,11 +295,11 @@ EVENT_SCHEMA = {
 
 
 def event_json(spark, folder):
-    """Events as JSON text with several defects: cut text, texts as numbers, absent and null fields."""
+    """Events as JSON text with several defects: a sign too many, texts as numbers, absent and null fields."""
     value = "CASE WHEN event_type = 'click' THEN concat('\"', CAST(value AS STRING), '\"') ELSE CAST(value AS STRING) END"
     detail = "CASE WHEN value < 10 THEN '' WHEN value < 20 THEN ',\"detail\":null' ELSE concat(',\"detail\":', props) END"
     body = f"concat('{{\"id\":', event_id, ',\"kind\":\"', event_type, '\",\"value\":', {value}, {detail}, '}}')"
-    text = f"CASE WHEN value > 150 THEN substr({body}, 1, 12) ELSE {body} END"
+    text = f"concat(CASE WHEN value > 150 THEN ']' ELSE '' END, {body})"
     return table(spark, folder, "events").select("event_id", F.expr(text).alias("payload"))
 
 
@@ -450,7 +450,7 @@ def suggested_line(spark, folder):
 )
 def suggested_bar(spark, folder):
     parts = table(spark, folder, "part").select("p_name", "p_retailprice")
-    spec = profile.suggest_chart(profile.profile_columns(parts))
+    spec = profile.suggest_chart(profile.profile_columns(parts), top_k=20)
     return profile.chart_data(parts, spec).withColumn("p_retailprice", F.round("p_retailprice", 4))
 
 

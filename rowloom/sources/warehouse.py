@@ -32,13 +32,15 @@ def sql_literal(value: Any) -> str:
     if isinstance(value, date):
         return f"DATE '{value.isoformat()}'"
     if isinstance(value, str):
+        if "\\" in value:  # some databases read it as an escape, others as itself
+            raise ToolkitError("text parameters must not hold a backslash")
         return "'" + value.replace("'", "''") + "'"
     raise ToolkitError(f"cannot pass a value of type {type(value).__name__}")
 
 
 def bind_parameters(sql: str, params: Sequence[Any]) -> str:
-    """Fill ``?`` placeholders outside quotes with literals."""
-    pieces = re.split(r"('(?:[^']|'')*'|\"[^\"]*\")", sql)
+    """Fill ``?`` placeholders outside quotes and comments with literals."""
+    pieces = re.split(r"('(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*(?s:.*?)\*/)", sql)
     values = iter(params)
     missing = object()
 

@@ -271,7 +271,44 @@ def test_search(spark, rows, tmp_path):
     assert rows(search.match_counts(found, "id")) == [(1, 2)]
     (tmp_path / "a.txt").write_text("x\n needle \n")
     (tmp_path / "b.log").write_text("needle\n")
-    assert [r["line"] for r in search.search_files(spark, str(tmp_path), "need.e", "*.txt").collect()] == ["needle"]
+    found = search.search_files(spark, str(tmp_path), "need.e", "*.txt").collect()
+    assert [(r["line_number"], r["line"]) for r in found] == [(2, "needle")]
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    for name, n in (("a.txt", 5000), ("b.txt", 700)):
+        (tmp_path / name).write_text("".join(f"line {i}\n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = search.search_files(spark, str(tmp_path), "7$").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(found) == 570 and all(r["line"] == f"line {r['line_number']}" for r in found)
+
+
+def test_flattened_names_that_meet(spark):
+    df = spark.createDataFrame(
+        [
+            (0, 1, 1, "k", '{"a_b":1,"header_kind":"mine"}', {"kind": "h"}),
+            (0, 2, 1, "k", '{"a":{"b":"text"}}', {"kind": "h"}),
+        ],
+        "partition int, offset long, timestamp long, key string, value string, headers map<string,string>",
+    )
+    found = flatten.flatten_envelope(df).orderBy("offset").collect()
+    assert [r["a_b"] for r in found] == ["1", "text"]
+    assert (found[0]["header_kind"], found[0]["value_header_kind"]) == ("h", "mine")
+
+
+def test_no_valid_json_is_an_error(spark):
+    df = spark.createDataFrame([("{broken",), (None,)], "doc string")
+    with pytest.raises(ToolkitError):
+        flatten.parse_json_column(df, "doc")
+
+
+def test_nan_is_no_id(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (None, 2), (1.0, 3)], "k double, n int")
+    assert [r["n"] for r in events.dedupe_by_id(df, "n", id_cols="k").collect()] == [3]
 
 
 def test_fingerprint_of_long_backslash_runs(spark):

@@ -207,7 +207,7 @@ def test_suggested_charts(spark):
 def test_chart_data_of_each_kind(spark, rows):
     df = spark.createDataFrame([("A", "x", 1.0), ("A", "y", 3.0), ("B", "x", 5.0)], "k string, g string, v double")
     assert rows(profile.chart_data(df, ChartSpec("bar", "k", "v"))) == [("A", 2.0), ("B", 5.0)]
-    assert rows(profile.chart_data(df, ChartSpec("bar", "k", "v", group_by="g"))) == [("A", 1.0, 3.0), ("B", 5.0, None)]
+    assert rows(profile.chart_data(df, ChartSpec("bar", "k", "v", group_by="g"))) == [("A", "x", 1.0), ("A", "y", 3.0), ("B", "x", 5.0)]
     assert rows(profile.chart_data(df, ChartSpec("bar", "k"))) == [("A", 2), ("B", 1)]
     assert profile.chart_data(df, ChartSpec("scatter", "v", "v")).count() == 3
     assert profile.chart_data(df, ChartSpec("histogram", "v")).count() == 30
