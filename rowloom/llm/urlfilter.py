@@ -4,8 +4,9 @@ Host names run words together. A unigram model of the pages' own words splits ea
 likeliest words; those and the tokens of the path are what a multinomial naive Bayes model scores. It learns from the
 URLs that a rule settles and judges the others.
 
-Word counts and class counts are aggregates over all pages. What is broadcast has a fixed size: a vocabulary of so
-many words at most, and a table of log odds with a fixed number of hash buckets.
+Word counts and class counts are aggregates over all pages. Words of any count and length take part: the pieces of each
+different letter run of the hosts meet the word counts in a join, and a run is split with the words it can use. What is
+broadcast has a fixed size: a table of log odds with a fixed number of hash buckets.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from rowloom.llm.slices import map_slices
+from rowloom.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALLOW, BLOCK = "allow", "block"
-# The commonest words of the pages, which make up the unigram model.
-VOCABULARY_WORDS = 20_000
-LONGEST_WORD = 24
+# Pieces of a run up to so many letters meet the words as they are; longer words are found by their first letters.
+PIECE_LETTERS = 24
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 
@@ -59,19 +60,52 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def page_words(pages: DataFrame, html: str, limit: int = VOCABULARY_WORDS) -> dict[str, int]:
-    """Counts of the commonest words of all pages, tags left out."""
+def page_words(pages: DataFrame, html: str) -> DataFrame:
+    """``word`` and ``count`` of all words of all pages, tags left out."""
     text = F.regexp_replace(F.translate(F.col(html), UPPER, LOWER), "<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(text, r"[^a-z\u0080-￿]+")).alias("word"))
-    counted = words.where(F.length("word").between(1, LONGEST_WORD)).groupBy("word").count()
-    return {r["word"]: r["count"] for r in counted.orderBy(F.desc("count"), "word").limit(limit).collect()}
+    words = pages.select(F.explode(F.split(text, r"[^a-z\u0080-\uffff]+")).alias("word"))
+    return words.where(F.length("word") > 0).groupBy("word").count()
+
+
+def run_words(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """``id`` and the ``words`` (with counts) that occur anywhere in the ``run`` of that id; no row without words."""
+    starts = runs.select("id", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"), "run")
+    heads = starts.select("id", "at", F.col("run").substr(F.col("at"), F.lit(PIECE_LETTERS)).alias("head"))
+    sizes = F.sequence(F.lit(1), F.length("head"))
+    pieces = heads.select("id", F.explode(F.transform(sizes, lambda n: F.col("head").substr(F.lit(1), n))).alias("word"))
+    short = pieces.distinct().join(words, "word").select("id", "word", "count")
+    long = words.where(F.length("word") > PIECE_LETTERS).withColumn("head", F.substring("word", 1, PIECE_LETTERS))
+    long = heads.where(F.length("head") == PIECE_LETTERS).join(long, "head").join(runs, "id")
+    long = long.where(F.col("run").substr(F.col("at"), F.length("word")) == F.col("word")).select("id", "word", "count")
+    return short.union(long.distinct()).groupBy("id").agg(F.collect_list(F.struct("word", "count")).alias("words"))
+
+
+def host_splits(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """``host`` and ``splits``: each of its different letter ``run``s with the ``words`` of its likeliest split."""
+    shared = words.agg(F.sum("count")).first()[0] or 1
+    found = F.regexp_extract_all("host", F.lit(r"([a-z\u0080-\x{10ffff}]+)"), F.lit(1))
+    named = hosts.select("host", F.explode(F.array_distinct(found)).alias("run"))
+    runs = materialize(named.select("run").distinct().withColumn("id", F.monotonically_increasing_id()), "runs")
+    known = runs.join(run_words(runs, words), "id", "left").select("run", "words")
+
+    def start():
+        def work(part):
+            rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            splits = [Segmenter({w["word"]: w["count"] for w in own or ()}, shared).split(run) for run, own in rows]
+            return {"run": part.column(0), "words": [list(x) for x in splits]}
+
+        return work
+
+    split = map_slices(known, "run string, words array<string>", start, "run")
+    return named.join(split, "run").groupBy("host").agg(F.collect_list(F.struct("run", "words")).alias("splits"))
 
 
 class Segmenter:
     """The likeliest split of a name into words under a unigram model, by Viterbi."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total`` counts all words, where ``counts`` holds only those that the names can use."""
+        total = total or sum(counts.values()) or 1
         self.cost = {w: log(total / n) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=1)
         # A letter run that is no word costs more than any word, and more the longer it is.
@@ -104,39 +138,40 @@ class Segmenter:
             odd = unknown
         return tuple(merged)
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Marked words of host and path; digits count as one token whatever they are."""
-        found = []
-        for mark, text in (("h:", host), ("p:", path.lower())):
-            for run in _SPLIT.findall(text):
-                if run[0].isdigit():
-                    found.append(mark + "0")
-                else:
-                    found.extend(mark + w for w in (self.split(run) if mark == "h:" else (run,)))
-        return found
+
+def tokens(host: str, path: str, splits: dict[str, list[str]]) -> list[str]:
+    """Marked words of host and path; digits count as one token whatever they are."""
+    found = []
+    for mark, text in (("h:", host), ("p:", path.lower())):
+        for run in _SPLIT.findall(text):
+            if run[0].isdigit():
+                found.append(mark + "0")
+            else:
+                found.extend(mark + w for w in (splits[run] if mark == "h:" else (run,)))
+    return found
 
 
 def bucket(token: str) -> int:
     return xxhash.xxh32_intdigest(token.encode("utf-8", "replace")) % BUCKETS
 
 
-def url_tokens(urls: DataFrame, counts: dict[str, int], keep: list[str], host: str, path: str) -> DataFrame:
+def url_tokens(urls: DataFrame, words: DataFrame, keep: list[str], host: str, path: str) -> DataFrame:
     """The columns ``keep`` and the token buckets of every row."""
-    shared = urls.sparkSession.sparkContext.broadcast(counts)
+    splits = host_splits(urls.select(F.col(host).alias("host")).distinct(), words)
+    joined = urls.select(*keep).join(splits.withColumnRenamed("host", "__host"), F.col(host) == F.col("__host"), "left")
     kind = urls.select(*keep).schema.add("buckets", ArrayType(IntegerType()))
-    places = keep.index(host), keep.index(path)
+    places = keep.index(host), keep.index(path), len(keep)
 
     def start():
-        model = Segmenter(shared.value)
-
         def work(part):
-            pairs = zip(*(part.column(i).to_pylist() for i in places), strict=True)
-            tokens = [[bucket(t) for t in model.tokens(h or "", p or "")] for h, p in pairs]
-            return {**{c: part.column(i) for i, c in enumerate(keep)}, "buckets": tokens}
+            rows = zip(*(part.column(i).to_pylist() for i in places), strict=True)
+            found = [tokens(h or "", p or "", {x["run"]: x["words"] for x in s or ()}) for h, p, s in rows]
+            buckets = [[bucket(t) for t in x] for x in found]
+            return {**{c: part.column(i) for i, c in enumerate(keep)}, "buckets": buckets}
 
         return work
 
-    return map_slices(urls.select(*keep), kind, start)
+    return map_slices(joined.select(*keep, "splits"), kind, start)
 
 
 def log_odds(labelled: DataFrame, verdict: str) -> tuple[float, np.ndarray]:
@@ -159,16 +194,16 @@ def judge_urls(pages: DataFrame, key: str, url: str, html: str, rules: list[tupl
     has neither host nor path and is judged by the prior alone. Without any rule that fits, everything is allowed.
     """
     shared = pages.sparkSession.sparkContext
-    words = page_words(pages, html)
+    words = materialize(page_words(pages, html), "words")
     host, path = url_parts(F.col(url))
     parsed = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, decision = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "decision": decision})
-    tokens = url_tokens(ruled, words, ["key", "host", "path", "rule", "decision"], "host", "path")
-    prior, odds = log_odds(tokens.where(F.col("decision").isNotNull()), "decision")
+    found = url_tokens(ruled, words, ["key", "host", "path", "rule", "decision"], "host", "path")
+    prior, odds = log_odds(found.where(F.col("decision").isNotNull()), "decision")
     table = shared.broadcast(odds)
-    kind = tokens.drop("buckets").schema.add("block_odds", "double")
-    names = tokens.columns[:-1]
+    kind = found.drop("buckets").schema.add("block_odds", "double")
+    names = found.columns[:-1]
 
     def start():
         def work(part):
@@ -177,7 +212,7 @@ def judge_urls(pages: DataFrame, key: str, url: str, html: str, rules: list[tupl
 
         return work
 
-    judged = map_slices(tokens, kind, start)
+    judged = map_slices(found, kind, start)
     model = F.when(F.col("block_odds") > 0, BLOCK).otherwise(ALLOW)
     return judged.select(
         F.col("key").alias(key), "host", "path", "rule", F.coalesce("decision", model).alias("verdict"), "block_odds"
