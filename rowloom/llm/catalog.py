@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, langid, mixing, sequences, simhash, substrings, tokens, topk, toxicity, urlfilter
+from rowloom.llm import decontaminate, langid, mixing, repair, sequences, simhash, substrings, tokens, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -178,3 +178,22 @@ def language_id(spark, folder):
     docs = table(spark, folder, "documents")
     rows = docs.withColumn("held_out", held_out())
     return langid.predict_languages(rows, language_model(docs), "text", ["doc_id", "held_out"])
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark, folder):
+    """Faults, cheapest edits and the digest of the repaired rows of every damaged conversation."""
+    given = table(spark, folder, "conversations")
+    rows, found = repair.repair(repair.damage(given, "conv_id", "turn", "role", "text"), "conv", "turn", "role", "text")
+    result = given.select("conv_id").distinct()
+    for part in (repair.turn_gaps(rows), found, repair.repaired_digests(rows, found)):
+        result = result.join(part, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    # a conversation of which no row is left
+    gone = F.col("audit").isNull()
+    return result.select(
+        "conv_id",
+        *[F.when(gone, 0).otherwise(F.col(c)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
