@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, langid, mixing, repair, sequences, simhash, substrings, tokens, topk, toxicity, urlfilter
+from rowloom.llm import decontaminate, langid, mixing, repair, sequences, simhash, spelling, substrings, tokens, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,6 +180,44 @@ def language_id(spark, folder):
     return langid.predict_languages(rows, language_model(docs), "text", ["doc_id", "held_out"])
 
 
+# crc32 bit by bit from a table of 256 remainders; the runs' letters have one or two bytes.
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"""
+_RUN_BYTES = """flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))"""
+SPELLING_SQL = rf"""
+    WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+    runs AS (
+        SELECT doc_id, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+    hashed AS (
+        SELECT run, xor(list_reduce({_RUN_BYTES}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS h
+        FROM runs, crc WHERE length(run) >= 5),
+    spelled AS (
+        SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM hashed),
+    words AS MATERIALIZED (SELECT word, count(*) AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+    cut AS MATERIALIZED (SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS rest FROM places),
+    pairs AS (
+        SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+        UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+    near AS (
+        SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+    formed AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+               CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN near USING (word)),
+    paths AS (
+        SELECT word, word AS here, 0 AS far FROM formed
+        UNION ALL SELECT p.word, f.form, far + 1 FROM paths p JOIN formed f ON p.here = f.word WHERE f.form IS NOT NULL)
+    SELECT word, form, (SELECT arg_max(here, far) FROM paths p WHERE p.word = formed.word) AS root, n, n_near, form_n FROM formed"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark, folder):
+    found = spelling.variants(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query("op13_conversation_repair")
 def conversation_repair(spark, folder):
     """Faults, cheapest edits and the digest of the repaired rows of every damaged conversation."""
