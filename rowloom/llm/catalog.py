@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, langid, mixing, repair, sequences, simhash, spelling, substrings, tokens, topk, toxicity, urlfilter
+from rowloom.llm import decontaminate, langid, mainpages, mixing, repair, sequences, simhash, spelling, substrings, tokens, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -218,6 +218,11 @@ def spelling_variants(spark, folder):
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+@query("op12_page_text")
+def page_text(spark, folder):
+    return mainpages.extract_main_text(table(spark, folder, "pages"), "html", ["page_id", "url"])
+
+
 @query("op13_conversation_repair")
 def conversation_repair(spark, folder):
     """Faults, cheapest edits and the digest of the repaired rows of every damaged conversation."""
