@@ -204,8 +204,16 @@ def read_documents(manifest: DataFrame, key: str, key_type: str) -> DataFrame:
     return files.mapInArrow(run, kind)
 
 
-def encode_to_files(df: DataFrame, key: str, text: str, vocabulary: str, length: int = SEQUENCE) -> DataFrame:
-    """Write the files in a new folder of the shared place, and return their documents as read back."""
-    folder = scratch_path(df.sparkSession, "sequences")
-    manifest = write_sequences(df, key, text, vocabulary, folder, length)
+def encode_to_files(
+    df: DataFrame, key: str, text: str, vocabulary: str, length: int = SEQUENCE, folder: str | None = None
+) -> DataFrame:
+    """Write the files, and return their documents as read back.
+
+    In a given ``folder`` (one that all executors share) the files stay, and its subfolder ``manifest`` names them:
+    :func:`read_documents` reads them again in any session. Without one they go into a new folder of the shared place
+    and are deleted when the application ends.
+    """
+    manifest = write_sequences(df, key, text, vocabulary, folder or scratch_path(df.sparkSession, "sequences"), length)
+    if folder:
+        manifest.coalesce(1).write.parquet(f"{folder}/manifest")
     return read_documents(manifest, key, df.schema[key].dataType.simpleString())
