@@ -94,6 +94,24 @@ def correlate(spark, folder):
     return _run(spark, found, "correlate").withColumns(times)
 
 
+@query(
+    "stream_session_events",
+    """WITH e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pause FROM events),
+            s AS (SELECT *, sum(CASE WHEN pause IS NULL OR pause >= INTERVAL 6 HOUR THEN 1 ELSE 0 END)
+                            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e)
+       SELECT user_id AS join_key, min(ts) OVER w AS session_start,
+              row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS event_index, ts AS event_time, event_id, value, props
+       FROM s WINDOW w AS (PARTITION BY user_id, session) QUALIFY count(*) OVER w > 1""",
+)
+def session_events(spark, folder):
+    """Every event of every session of at least two, as the batch answer has them."""
+    stream = _as_stream(spark, _closed_events(spark, folder), "session-events")
+    found = streams.stream_session_events(stream, "user_id", "ts", "6 hours", "1 hour", tie="event_id")
+    found = found.select("join_key", "session_start", "event_index", "event_time", "record.event_id", "record.value", "record.props")
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "event_time")}
+    return _run(spark, found, "session-events").withColumns(times)
+
+
 @query(
     "stream_group_counts",
     """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,

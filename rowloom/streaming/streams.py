@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import pickle
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from rowloom.errors import ToolkitError
 from rowloom.functions.columns import as_list, col, require, type_of
@@ -100,6 +103,136 @@ def stream_correlate(stream: DataFrame, key: str, ts: str, gap: str, delay: str,
     )
 
 
+class _SessionEvents(StatefulProcessor):
+    """State of a key: events not yet passed by the watermark, and the session that the passed ones ended in.
+
+    An event that the watermark has passed can get no earlier neighbour any more, so its session and its place in it are
+    known; it is given out and forgotten. What stays of a session is its start, its last time and a count, until the
+    watermark has passed the last time by the gap. A session that is still too short keeps its few events as well.
+
+    State holds an event as its time and one binary value: values of any type come back as they were.
+    """
+
+    EVENT = "micros long, packed binary"
+
+    def __init__(self, gap: int, least: int):
+        self.gap, self.least = gap, least
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.EVENT)
+        self.short = handle.getListState("short", self.EVENT)
+        self.session = handle.getValueState("session", "start long, last long, n long")
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    @staticmethod
+    def _held(state) -> list[tuple[int, bytes]]:
+        return [(r[0], bytes(r[1])) for r in state.get()] if state.exists() else []
+
+    @staticmethod
+    def _hold(state, events: list[tuple[int, bytes]]) -> None:
+        if events:
+            state.put(events)
+        else:
+            state.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # columns: key, time, micros, record and what orders events of one time
+        events = [(r[2], pickle.dumps((list(r[4:]), r[3]), 5)) for r in rows]
+        self.waiting.appendList(events)
+        self._wake(min(e[0] for e in events))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        events = self._held(self.waiting)
+        passed = [e for e in events if e[0] <= now]
+        out = self._given_out(key[0], passed) if passed else []
+        if passed:
+            rest = [e for e in events if e[0] > now]
+            self._hold(self.waiting, rest)
+            if rest:
+                self._wake(min(e[0] for e in rest))
+        if self.session.exists():
+            end = self.session.get()[1] + self.gap
+            if now >= end:
+                self.session.clear()
+                self.short.clear()
+            else:
+                self._wake(end)
+        return iter(out)
+
+    def _given_out(self, key, events: list[tuple[int, bytes]]) -> list[Row]:
+        start, last, n = self.session.get() if self.session.exists() else (None, None, 0)
+        short = self._held(self.short)
+        out = []
+
+        def order(event):
+            return event[0], [(v is not None, v) for v in pickle.loads(event[1])[0]]
+
+        for event in sorted(events, key=order):
+            if last is None or event[0] - last >= self.gap:
+                start, n, short = event[0], 0, []
+            last, n = event[0], n + 1
+            short.append(event)
+            if n >= self.least:
+                for i, (micros, packed) in enumerate(short, n - len(short) + 1):
+                    record = pickle.loads(packed)[1]
+                    out.append(Row(join_key=key, session_start=start, event_index=i, event_time=micros, record=record))
+                short = []
+        self.session.update((start, last, n))
+        self._hold(self.short, short)
+        return out
+
+
+def stream_session_events(
+    stream: DataFrame, key: str, ts: str, gap: str, delay: str, tie: str | Sequence[str] = (), min_events: int = 2
+) -> DataFrame:
+    """The events of the sessions that :func:`stream_correlate` counts, each with its session and its place in it.
+
+    Columns: ``join_key, session_start, event_index, event_time, record``; a session of a key is identified by its start.
+    ``tie`` names columns that order events of one time (else a hash of the record does). Sessions of fewer than
+    ``min_events`` events are left out; records without key or time too.
+
+    An event comes out once the watermark (the latest time seen less ``delay``) has passed it, which fixes its place; an
+    event that arrives later than that is dropped. So state holds the events of the last ``delay`` of time, one small
+    row per session not yet ended by ``gap``, and the events of sessions that are still too short.
+    """
+    ties = require(stream, as_list(tie))
+    require(stream, [key, ts])
+    if min_events < 1:
+        raise ToolkitError("min_events must be positive")
+    if not re.fullmatch(r"[\w .+-]+", gap):
+        raise ToolkitError(f"{gap!r} is not an interval")
+    pause = stream.sparkSession.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL '{gap}'")))
+    plain = [f.name for f in stream.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    order = [col(t) for t in ties] or [F.xxhash64(*[col(c) for c in plain])]
+    event = F.struct(*[col(c) for c in stream.columns])
+    timed = stream.filter(col(key).isNotNull() & col(ts).isNotNull()).withColumn("__time", _event_time(stream, ts))
+    rows = timed.withWatermark("__time", delay).select(
+        col(key).alias("join_key"),
+        "__time",
+        F.unix_micros("__time").alias("micros"),
+        event.alias("record"),
+        *[tie.alias(f"tie_{i}") for i, tie in enumerate(order)],
+    )
+    output = T.StructType(
+        [
+            T.StructField("join_key", rows.schema["join_key"].dataType),
+            T.StructField("session_start", T.LongType()),
+            T.StructField("event_index", T.LongType()),
+            T.StructField("event_time", T.LongType()),
+            rows.schema["record"],
+        ]
+    )
+    found = rows.groupBy("join_key").transformWithState(
+        _SessionEvents(pause.first()[0], min_events), output, "append", "eventTime"
+    )
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("session_start", "event_time")})
+
+
 def stream_group_counts(
     stream: DataFrame, keys: str | Sequence[str], ts: str, window: str, delay: str, slide: str | None = None
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,65 @@ def test_sessions(spark, tmp_path, rows):
     assert rows(found, "join_key", "session_start", "event_count", "batches") == [("a", at(0), 3, [1, 2, 3])]
 
 
+def session_rows(found):
+    return sorted((r["join_key"], r["session_start"], r["event_index"], r["event_time"], r["record"]["id"]) for r in found.collect())
+
+
+def test_session_events(spark, tmp_path):
+    """Events come out in their order as the watermark passes them, over several runs; late ones are dropped."""
+    feed = Feed(spark, tmp_path)
+
+    def events():
+        return streams.stream_session_events(feed.stream(), "k", "t", "10 minutes", "5 minutes", tie="id")
+
+    feed.add((1, "a", at(0)), (5, "b", at(1)), (3, "a", at(8)), (2, "a", at(8)), (9, None, at(3)), (9, "a", None))
+    assert session_rows(feed.run(events())) == []  # one event only lies behind the watermark of minute 3
+    feed.add((4, "a", at(6)), (7, "a", at(17)), (6, "b", at(11)), (8, "c", at(30)))
+    first = [("a", at(0), i, at(t), n) for i, t, n in ((1, 0, 1), (2, 6, 4), (3, 8, 2), (4, 8, 3), (5, 17, 7))]
+    # b's events are ten minutes apart, so neither has a neighbour
+    assert session_rows(feed.run(events())) == first
+    feed.add((10, "a", at(20)), (11, "a", at(26)), (12, "a", at(29)), (13, "z", at(300)))  # minute 20 is behind 25
+    assert session_rows(feed.run(events())) == [*first, ("a", at(0), 6, at(26), 11), ("a", at(0), 7, at(29), 12)]
+
+
+def test_session_events_keep_values_and_drop_state(spark, tmp_path):
+    schema = "k long, t timestamp_ntz, s string, d decimal(20,3), l array<int>, m map<string,double>, n struct<x:int,y:date>, b binary"
+    feed = Feed(spark, tmp_path, schema)
+    rest = ("é", dt.date(2024, 1, 2))
+    values = [(1, at(i), rest[0], Decimal("1.250"), [1, None], {"a": 0.5}, (None, rest[1]), b"\x00") for i in range(300)]
+    feed.add(*values)
+    feed.add(*[(k, at(10_000), None, None, None, None, None, None) for k in range(2, 40)])
+    feed.add((0, at(90_000), None, None, None, None, None, None))
+    stream = streams.stream_session_events(feed.stream(), "k", "t", "90 seconds", "1 second")
+    query = streams.consume_available(stream, feed.out, feed.checkpoint)
+    found = spark.read.parquet(feed.out).orderBy("event_index").collect()
+    assert [tuple(r["record"])[:-2] for r in found] == [v[:-2] for v in values]
+    assert all(tuple(r["record"]["n"]) == (None, rest[1]) and bytes(r["record"]["b"]) == b"\x00" for r in found)
+    # only the last event, which nothing has passed, is still held with its timer
+    rows = query.recentProgress[-1].stateOperators[0].numRowsTotal
+    assert rows <= 4
+
+
+def test_short_sessions(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.add(*[(i, "a", at(t)) for i, t in enumerate((0, 1, 50, 51, 52, 100))], (99, "z", at(900)))
+
+    def starts(n):
+        out = streams.stream_session_events(feed.stream(), "k", "t", "5 minutes", "0 seconds", min_events=n)
+        path, progress = str(tmp_path / f"out{n}"), str(tmp_path / f"progress{n}")
+        streams.consume_available(out, path, progress)
+        return [r[1:4] for r in session_rows(spark.read.schema(out.schema).parquet(path))]
+
+    long = [(at(50), 1, at(50)), (at(50), 2, at(51)), (at(50), 3, at(52))]
+    pair = [(at(0), 1, at(0)), (at(0), 2, at(1))]
+    assert starts(3) == long and starts(2) == pair + long
+    assert starts(1)[:6] == pair + long + [(at(100), 1, at(100))]
+    with pytest.raises(ToolkitError):
+        starts(0)
+    with pytest.raises(ToolkitError):
+        streams.stream_session_events(feed.stream(), "k", "t", "5') --", "1 hour")
+
+
 def test_quality_outputs(spark, tmp_path):
     feed = Feed(spark, tmp_path, "id int, j string")
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
