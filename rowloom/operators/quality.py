@@ -60,12 +60,14 @@ def schema_check(
 
 # --- E4: rules for JSON events --------------------------------------------------------------------
 
+# Stands in a path for every element of an array.
+ITEMS = "[]"
 _ANNOTATIONS = {"$schema", "$id", "title", "description", "default", "examples", "format", "$comment"}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One requirement on the value at a path (field names from the root) of a JSON event."""
+    """One requirement on the value at a path of a JSON event: field names from the root, ``ITEMS`` for each array element."""
 
     path: tuple[str, ...]
     kind: str
@@ -77,13 +79,15 @@ class Rule:
 
     @property
     def text_path(self) -> str:
-        return ".".join(self.path)
+        return ".".join(self.path).replace(f".{ITEMS}", ITEMS)
 
 
 def rules_from_schema(schema: Mapping[str, Any], path: tuple[str, ...] = ()) -> list[Rule]:
-    """The rules of a JSON Schema made of type, properties, required, enum, bounds, pattern and lengths.
+    """The rules of a JSON Schema made of the keywords below; a nested schema is one of properties or of array items.
 
-    Other keywords are refused, so that no requirement is silently left out.
+    type, properties, required, enum, const, bounds, pattern, lengths, items (one schema for all elements), minItems,
+    maxItems, uniqueItems, and additionalProperties as true or false. Other keywords are refused, so that no requirement
+    is silently left out.
     """
     rules: list[Rule] = []
     for keyword, value in schema.items():
@@ -94,7 +98,15 @@ def rules_from_schema(schema: Mapping[str, Any], path: tuple[str, ...] = ()) ->
                 rules += rules_from_schema(sub, (*path, name))
         elif keyword == "required":
             rules += [Rule((*path, name), "required", True) for name in value]
-        elif keyword in _RULES:
+        elif keyword == "items" and isinstance(value, Mapping):
+            rules += rules_from_schema(value, (*path, ITEMS))
+        elif keyword == "additionalProperties" and isinstance(value, bool):
+            if not value:
+                rules.append(Rule(path, keyword, tuple(schema.get("properties", {}))))
+        elif keyword == "uniqueItems" and isinstance(value, bool):
+            if value:
+                rules.append(Rule(path, keyword, True))
+        elif keyword in _RULES and keyword not in ("additionalProperties", "uniqueItems"):
             rules.append(Rule(path, keyword, value))
         else:
             raise ToolkitError(f"unsupported schema keyword {keyword!r} at {'.'.join(path) or 'the root'}")
@@ -121,6 +133,31 @@ class _Value:
     number: Column
     string: Column
     boolean: Column
+    items: Column
+    keys: Column
+
+
+def _facts(value: Column, code: Column) -> dict[str, Column]:
+    """What rules ask of a value besides its type; elements of arrays are variants, keys are names."""
+
+    def typed(test: Column, target: str) -> Column:
+        return F.when(test, F.try_variant_get(value, "$", target))
+
+    return {
+        "number": typed(code >= TYPE_CODES["number"], "double"),
+        "string": typed(code == TYPE_CODES["string"], "string"),
+        "boolean": typed(code == TYPE_CODES["boolean"], "boolean"),
+        "items": typed(code == TYPE_CODES["array"], "array<variant>"),
+        "keys": F.map_keys(typed(code == TYPE_CODES["object"], "map<string,variant>")),
+    }
+
+
+# The facts that a rule needs; rules not listed need the scalar ones.
+_SCALAR = ("number", "string", "boolean")
+_NEEDS = {
+    "type": (), "required": (), "minItems": ("items",), "maxItems": ("items",), "uniqueItems": ("items",),
+    "additionalProperties": ("keys",),
+}
 
 
 def _type_rule(v: _Value, wanted: Any) -> Column:
@@ -144,6 +181,13 @@ def _enum_rule(v: _Value, allowed: Sequence[Any]) -> Column:
     return ~reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _same_text(element: Column) -> Column:
+    """A text that two elements share if they are equal: objects print with sorted keys, numbers as doubles."""
+    number = F.try_variant_get(element, "$", "double")
+    is_text = F.substring(F.schema_of_variant(element), 1, 2).isin("ST", "BO", "OB", "AR")
+    return F.when(~is_text & number.isNotNull(), number.cast("string")).otherwise(F.coalesce(F.to_json(element), F.lit("null")))
+
+
 # Each entry gives the condition under which a present value breaks the rule.
 _RULES: dict[str, Callable[[_Value, Any], Column]] = {
     "type": _type_rule,
@@ -156,6 +200,10 @@ _RULES: dict[str, Callable[[_Value, Any], Column]] = {
     "pattern": lambda v, x: ~v.string.rlike(x),
     "minLength": lambda v, x: F.length(v.string) < F.lit(int(x)),
     "maxLength": lambda v, x: F.length(v.string) > F.lit(int(x)),
+    "minItems": lambda v, x: F.size(v.items) < F.lit(int(x)),
+    "maxItems": lambda v, x: F.size(v.items) > F.lit(int(x)),
+    "uniqueItems": lambda v, x: F.size(F.array_distinct(F.transform(v.items, _same_text))) < F.size(v.items),
+    "additionalProperties": lambda v, x: F.exists(v.keys, lambda k: ~k.isin(list(x)) if x else F.lit(True)),
 }
 _MASK_BITS = 60
 
@@ -172,11 +220,67 @@ def _broken(rule: Rule, values: Mapping[tuple[str, ...], _Value]) -> Column:
     return F.coalesce(broken, F.lit(False))
 
 
+_ERRORS = "array<struct<path:string,rule:string>>"
+
+
+def _child(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, variant_path((name,)), "variant")
+
+
+def _errors_within(value: Column, path: Column, rules: Sequence[Rule]) -> Column:
+    """The (path, rule) pairs that a value breaks, for rules whose paths start at it; elements have their index in the path.
+
+    Lambdas over arrays of one bind each value and its type, which are used many times but looked up once.
+    """
+    own = [r for r in rules if not r.path]
+    required = [r for r in rules if len(r.path) == 1 and r.kind == "required"]
+    nested: dict[str, list[Rule]] = {}
+    for r in rules:
+        if r.path and r not in required:
+            nested.setdefault(r.path[0], []).append(Rule(r.path[1:], r.kind, r.value))
+
+    def found(bound: Column) -> Column:
+        v, code = bound["v"], bound["code"]
+        values = {(): _Value(code, **_facts(v, code))}
+        is_object = code == TYPE_CODES["object"]
+        marks = [F.when(_broken(r, values), F.struct(path.alias("path"), F.lit(r.label).alias("rule"))) for r in own]
+        for r in required:
+            absent = is_object & F.schema_of_variant(_child(v, r.path[0])).isNull()
+            below = F.concat(path, F.lit(f".{r.path[0]}"))
+            marks.append(F.when(absent, F.struct(below.alias("path"), F.lit(r.label).alias("rule"))))
+        parts = [F.filter(F.array(*marks), lambda e: e.isNotNull())] if marks else []
+        for name, below in nested.items():
+            if name == ITEMS:
+                parts.append(_array_errors(values[()].items, path, below))
+            else:
+                inner = _errors_within(_child(v, name), F.concat(path, F.lit(f".{name}")), below)
+                parts.append(F.when(is_object, inner).otherwise(F.array().cast(_ERRORS)))
+        return F.concat(*parts) if parts else F.array().cast(_ERRORS)
+
+    return _bound(value, found)
+
+
+def _array_errors(items: Column, path: Column, rules: Sequence[Rule]) -> Column:
+    def element(value: Column, index: Column) -> Column:
+        # an element that is null is there all the same
+        there = F.coalesce(value, F.parse_json(F.lit("null")))
+        return _errors_within(there, F.concat(path, F.lit("["), index.cast("string"), F.lit("]")), rules)
+
+    return F.coalesce(F.flatten(F.transform(items, element)), F.array().cast(_ERRORS))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    schemas = F.transform(F.array(value), lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("schema")))
+    named = F.transform(schemas, lambda s: F.struct(s["v"].alias("v"), type_code(s["v"], s["schema"]).alias("code")))
+    return F.transform(named, use)[0]
+
+
 def validate_events(df: DataFrame, column: str, rules: Sequence[Rule] | Mapping[str, Any]) -> DataFrame:
     """Adds ``valid`` and ``errors``, an array of (path, rule), to each JSON event.
 
     ``rules`` is a list of :class:`Rule` or a JSON Schema. Text that is not JSON breaks the rule
-    ``json``. The same code runs in batch and on a stream.
+    ``json``. The same code runs in batch and on a stream. A rule below an array's items is tested on
+    every element, and its error names the element, as in ``lines[2].price``.
 
     The text is parsed once per row, each path looked up once, and the broken rules of a row are
     bits of a number: the steps stay small enough for the JVM to compile, and only rows with
@@ -185,23 +289,28 @@ def validate_events(df: DataFrame, column: str, rules: Sequence[Rule] | Mapping[
     require(df, column)
     if isinstance(rules, Mapping):
         rules = rules_from_schema(rules)
-    error = "struct<path:string,rule:string>"
     event = F.col("__event")
+    below = [r for r in rules if ITEMS in r.path]
+    rules = [r for r in rules if ITEMS not in r.path]
+    arrays: dict[tuple[str, ...], list[Rule]] = {}
+    for r in below:
+        at = r.path.index(ITEMS)
+        arrays.setdefault(r.path[:at], []).append(Rule(r.path[at + 1 :], r.kind, r.value))
 
     paths = list(dict.fromkeys(p for r in rules for p in ((r.path[:-1], r.path) if r.kind == "required" else (r.path,))))
-    steps: list[dict[str, Column]] = [{}, {}, {}, {}]
+    paths += [p for p in arrays if p not in paths]
+    steps: list[dict[str, Column]] = [{}, {}, {}, {}, {}]
     values: dict[tuple[str, ...], _Value] = {}
     for i, path in enumerate(paths):
         v, s, t = (F.col(f"__{x}{i}") for x in "vst")
         steps[0][f"__v{i}"] = _at(event, path) if path else event
         steps[1][f"__s{i}"] = schema_text(v, None if path else col(column))
         steps[2][f"__t{i}"] = type_code(v, s)
-        kinds = {r.kind for r in rules if r.path == path} - {"required", "type"}
-        if kinds:
-            steps[3][f"__n{i}"] = F.when(t >= TYPE_CODES["number"], F.try_variant_get(v, "$", "double"))
-            steps[3][f"__x{i}"] = F.when(t == TYPE_CODES["string"], F.try_variant_get(v, "$", "string"))
-            steps[3][f"__b{i}"] = F.when(t == TYPE_CODES["boolean"], F.try_variant_get(v, "$", "boolean"))
-        values[path] = _Value(t, *(F.col(f"__{x}{i}") for x in "nxb"))
+        needed = {n for r in rules if r.path == path for n in _NEEDS.get(r.kind, _SCALAR)} | ({"items"} if path in arrays else set())
+        steps[3].update({f"__{name}{i}": fact for name, fact in _facts(v, t).items() if name in needed})
+        values[path] = _Value(t, **{name: F.col(f"__{name}{i}") for name in (*_SCALAR, "items", "keys")})
+    for i, (path, own) in enumerate(arrays.items()):
+        steps[4][f"__a{i}"] = _array_errors(values[path].items, F.lit(".".join(path)), own)
 
     chunks = [rules[i : i + _MASK_BITS] for i in range(0, len(rules), _MASK_BITS)] or [[]]
     masks = {}
@@ -219,15 +328,16 @@ def validate_events(df: DataFrame, column: str, rules: Sequence[Rule] | Mapping[
     )
 
     bad_json = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
-    none = F.array().cast(f"array<{error}>")
+    none = F.array().cast(_ERRORS)
     lists = []
     for i, chunk in enumerate(chunks):
         labels = [F.struct(F.lit(r.text_path).alias("path"), F.lit(r.label).alias("rule")) for r in chunk]
         mask = F.col(f"__m{i}")
         if labels:
             lists.append(F.when(mask == 0, none).otherwise(F.filter(F.array(*labels), lambda _, k: F.getbit(mask, k) == 1)))
+    lists += [F.col(f"__a{i}") for i in range(len(arrays))]
     errors = F.concat(*lists) if lists else none
-    clean = reduce(lambda a, b: a & b, [F.col(m) == 0 for m in masks])
+    clean = reduce(lambda a, b: a & b, [F.col(m) == 0 for m in masks] + [F.size(f"__a{i}") == 0 for i in range(len(arrays))])
     added = ["__event", "__masks", *masks, *[name for step in steps for name in step]]
     return (
         checked.withColumn("errors", F.when(F.col("__m0") == -1, bad_json).otherwise(errors)).withColumn("valid", clean).drop(*added)

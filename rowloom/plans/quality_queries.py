@@ -333,6 +333,75 @@ def validate_summary(spark, folder):
     return quality.summarize_errors(quality.validate_events(event_json(spark, folder), "payload", EVENT_SCHEMA))
 
 
+ORDER_SCHEMA = {
+    "type": "object",
+    "required": ["lines"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer"},
+        "status": {"enum": ["O", "F"]},
+        "lines": {
+            "type": "array",
+            "minItems": 2,
+            "maxItems": 6,
+            "uniqueItems": True,
+            "items": {
+                "type": "object",
+                "required": ["n", "qty"],
+                "additionalProperties": False,
+                "properties": {
+                    "n": {"type": "integer"},
+                    "qty": {"type": "number", "maximum": 45},
+                    "flags": {"type": "array", "items": {"enum": ["A", "N", "O"]}},
+                },
+            },
+        },
+    },
+}
+_LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
+def order_json(spark, folder):
+    """Every order with its lines in an array; some lines lack a quantity or have a field that the schema does not know."""
+    line = F.struct(
+        *[F.col(c) for c in _LINE_ORDER.split(", ")],
+        F.struct(
+            F.col("l_linenumber").alias("n"),
+            F.expr("CASE WHEN l_quantity > 5 THEN l_quantity END").alias("qty"),
+            F.array("l_returnflag", "l_linestatus").alias("flags"),
+            F.expr("CASE WHEN l_tax > 0.06 THEN l_tax END").alias("tax"),
+        ).alias("line"),
+    )
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line))["line"].alias("lines"))
+    orders = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    none = F.array().cast(lines.schema["lines"].dataType)
+    event = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.coalesce("lines", none).alias("lines"))
+    return orders.select("o_orderkey", F.to_json(event).alias("payload"))
+
+
+@query(
+    "validate_events_arrays",
+    f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) - 1 AS i FROM lineitem),
+             e AS (SELECT o_orderkey, count(l_orderkey) AS n,
+                          count(DISTINCT CASE WHEN l_orderkey IS NOT NULL THEN concat_ws('|', l_linenumber,
+                            CASE WHEN l_quantity > 5 THEN l_quantity ELSE -1 END, l_returnflag, l_linestatus,
+                            CASE WHEN l_tax > 0.06 THEN l_tax ELSE -1 END) END) AS different
+                   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+             c AS (SELECT l.*, unnest([l_returnflag, l_linestatus]) AS flag, unnest([0, 1]) AS k FROM l)
+        SELECT o_orderkey, 'status' AS path, 'enum' AS rule FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+        UNION ALL SELECT o_orderkey, 'lines', 'minItems' FROM e WHERE n < 2
+        UNION ALL SELECT o_orderkey, 'lines', 'maxItems' FROM e WHERE n > 6
+        UNION ALL SELECT o_orderkey, 'lines', 'uniqueItems' FROM e WHERE different < n
+        UNION ALL SELECT l_orderkey, 'lines[' || i || ']', 'additionalProperties' FROM l WHERE l_tax > 0.06
+        UNION ALL SELECT l_orderkey, 'lines[' || i || '].qty', 'required' FROM l WHERE l_quantity <= 5
+        UNION ALL SELECT l_orderkey, 'lines[' || i || '].qty', 'maximum' FROM l WHERE l_quantity > 45
+        UNION ALL SELECT l_orderkey, 'lines[' || i || '].flags[' || k || ']', 'enum' FROM c WHERE flag NOT IN ('A', 'N', 'O')""",
+)
+def validate_arrays(spark, folder):
+    checked = quality.validate_events(order_json(spark, folder), "payload", ORDER_SCHEMA)
+    return checked.select("o_orderkey", F.inline_outer("errors")).where("rule IS NOT NULL")
+
+
 SUITE = [
     {"expectation_type": "expect_table_row_count_to_be_between", "kwargs": {"min_value": 1, "max_value": 1000}},
     {"expectation_type": "expect_column_to_exist", "kwargs": {"column": "l_tax"}},

@@ -125,6 +125,76 @@ def test_validate_with_many_rules(spark):
     assert _validate(spark, schema, text) == [[f"f{i}:minimum" for i in range(0, 50, 10)]]
 
 
+NESTED = {
+    "type": "object",
+    "required": ["lines"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer"},
+        "lines": {
+            "type": "array",
+            "minItems": 1,
+            "maxItems": 3,
+            "uniqueItems": True,
+            "items": {
+                "type": "object",
+                "required": ["n"],
+                "additionalProperties": False,
+                "properties": {
+                    "n": {"type": "integer", "minimum": 1},
+                    "tags": {"type": "array", "items": {"type": "string", "maxLength": 2}},
+                    "o": {"type": "object", "required": ["x"], "properties": {"x": {"enum": [1, None]}}},
+                    "grid": {"items": {"items": {"type": "integer"}, "minItems": 2}},
+                },
+            },
+        },
+    },
+}
+
+
+@pytest.mark.parametrize(
+    ("text", "errors"),
+    [
+        ('{"id":1,"lines":[{"n":1},{"n":2,"tags":[]}]}', []),
+        ('{"lines":[{"n":1,"tags":["a","bbb",3,null]}]}', ["lines[0].tags[1]:maxLength", "lines[0].tags[2]:type:string", "lines[0].tags[3]:type:string"]),
+        ('{"lines":[]}', ["lines:minItems"]),
+        ('{"lines":{},"z":1}', [":additionalProperties", "lines:type:array"]),
+        ("{}", ["lines:required"]),
+        ("[]", [":type:object"]),
+        ("null", [":type:object"]),
+        ("x", [":json"]),
+        ('{"lines":[{"n":1},null,5,6]}', ["lines:maxItems", "lines[1]:type:object", "lines[2]:type:object", "lines[3]:type:object"]),
+        ('{"lines":[null,null]}', ["lines:uniqueItems", "lines[0]:type:object", "lines[1]:type:object"]),
+        ('{"lines":[{"n":1,"tags":["a"]},{"tags":["a"],"n":1.0}]}', ["lines:uniqueItems"]),
+        ('{"lines":[{"n":0,"q":1,"o":{}},{"o":{"x":null}},{"n":2,"o":{"x":2}}]}',
+         ["lines[0]:additionalProperties", "lines[0].n:minimum", "lines[0].o.x:required", "lines[1].n:required", "lines[2].o.x:enum"]),
+        ('{"lines":[{"n":1,"grid":[[1,2],[1],[1,"a"],3]}]}', ["lines[0].grid[1]:minItems", "lines[0].grid[2][1]:type:integer"]),
+    ],
+)
+def test_validate_arrays_and_closed_objects(spark, text, errors):
+    row = quality.validate_events(spark.createDataFrame([(text,)], "j string"), "j", NESTED).first()
+    assert sorted(f"{e['path']}:{e['rule']}" for e in row["errors"]) == sorted(errors) and row["valid"] == (not errors)
+
+
+def test_unique_items_compare_by_value(spark):
+    df = spark.createDataFrame([('{"a":[1,1.0]}',), ('{"a":[1,"1",true,"true",null,"null"]}',), ('{"a":[{"x":1,"y":2},{"y":2,"x":1}]}',)], "j string")
+    found = quality.validate_events(df, "j", {"properties": {"a": {"uniqueItems": True}}}).collect()
+    assert [r["valid"] for r in found] == [False, True, False]
+
+
+def test_open_objects_and_whole_arrays(spark):
+    df = spark.createDataFrame([('[{"a":1},{"a":"x"}]',), (None,)], "j string")
+    schema = {"type": "array", "uniqueItems": False, "items": {"additionalProperties": True, "properties": {"a": {"type": "integer"}}}}
+    found = quality.validate_events(df, "j", schema).collect()
+    assert [[tuple(e) for e in r["errors"]] for r in found] == [[("[1].a", "type:integer")], [("", "json")]]
+
+
+@pytest.mark.parametrize("schema", [{"items": [{}]}, {"items": True}, {"additionalProperties": {"type": "string"}}, {"prefixItems": []}, {"items": {"oneOf": []}}, {"uniqueItems": 1}])
+def test_unsupported_array_keywords_are_refused(schema):
+    with pytest.raises(ToolkitError):
+        quality.rules_from_schema(schema)
+
+
 def test_unknown_schema_keyword_is_refused():
     with pytest.raises(ToolkitError):
         quality.rules_from_schema({"oneOf": []})
