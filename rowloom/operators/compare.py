@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
 from rowloom.functions.columns import as_text, col, is_floating, is_numeric, present, require, type_of
+from rowloom.session import materialize
 
 MAX_EXAMPLES = 200
 
@@ -38,6 +39,28 @@ def _common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
     return None
 
 
+def _comparison(
+    a: DataFrame, b: DataFrame, keys: str | Sequence[str], compare_cols: str | Sequence[str] | None
+) -> tuple[list[str], list[str], Callable[[DataFrame, str], Column]]:
+    """Key columns, compared columns, and the value of a side's column as it compares with the other side's."""
+    names = require(a, keys)
+    require(b, keys)
+    if compare_cols is None:
+        compared = [c for c in a.columns if c in b.columns and c not in names]
+    else:
+        compared = require(a, compare_cols)
+        require(b, compare_cols)
+        if set(compared) & set(names):
+            raise ToolkitError("a key column cannot be compared")
+    kinds = {c: _common_type(type_of(a, c), type_of(b, c)) for c in compared}
+
+    def by_value(df: DataFrame, c: str) -> Column:
+        # without a common type, texts are compared
+        return as_text(df, c) if kinds[c] is None else present(df, c).cast(kinds[c])
+
+    return names, compared, by_value
+
+
 def diff_tables(
     a: DataFrame,
     b: DataFrame,
@@ -56,21 +79,7 @@ def diff_tables(
     Both sides are stacked and grouped once by key. Copies of a repeated key fold together
     before the shuffle, which no join would allow.
     """
-    names = require(a, keys)
-    require(b, keys)
-    if compare_cols is None:
-        compared = [c for c in a.columns if c in b.columns and c not in names]
-    else:
-        compared = require(a, compare_cols)
-        require(b, compare_cols)
-        if set(compared) & set(names):
-            raise ToolkitError("a key column cannot be compared")
-
-    kinds = {c: _common_type(type_of(a, c), type_of(b, c)) for c in compared}
-
-    def by_value(df: DataFrame, c: str) -> Column:
-        # without a common type, texts are compared
-        return as_text(df, c) if kinds[c] is None else present(df, c).cast(kinds[c])
+    names, compared, by_value = _comparison(a, b, keys, compare_cols)
 
     def side(df: DataFrame, own: str, other: str) -> DataFrame:
         values = F.struct(
@@ -146,6 +155,90 @@ def diff_tables(
     return Difference(keyed, summary, examples)
 
 
+# Buckets of keys whose checksums are compared at each level.
+BUCKETS = 1 << 16
+
+
+def _digest(values: Sequence[Column], seed: int) -> Column:
+    """A hash that tells missing values of different columns apart; both zeros are one value."""
+    missing = F.concat(*[F.when(v.isNull(), "0").otherwise("1") for v in values])
+    return F.xxhash64(F.lit(seed), missing, *values)
+
+
+def diff_by_checksum(
+    a: DataFrame,
+    b: DataFrame,
+    keys: str | Sequence[str],
+    compare_cols: str | Sequence[str] | None = None,
+    max_changed: int = MAX_EXAMPLES,
+    buckets: int = BUCKETS,
+) -> Difference:
+    """:func:`diff_tables` for tables that are mostly equal: only rows near a difference are shuffled.
+
+    Keys fall into buckets by their hash. Each task sums the hashes of its rows per bucket, so what is shuffled is one
+    small row per bucket and task. Buckets whose sums agree hold the same rows on both sides. The rows of the others are
+    summed once more in finer buckets, and only those of finer buckets that still differ are compared key by key. Two
+    equal tables shuffle nothing but checksums; a thousand changes among ten billion rows shuffle some thousand rows.
+
+    ``keys`` has the keys whose status is not ``same``; ``summary`` and ``examples`` are those of :func:`diff_tables`,
+    but a key that is repeated alike on both sides, in a bucket without any difference, counts in ``in_both`` with each
+    of its rows instead of as one duplicate. Sums are compared by their count and two of 64 bits. Both tables are read
+    three times; the checksums are written.
+    """
+    names, compared, by_value = _comparison(a, b, keys, compare_cols)
+    if buckets < 1:
+        raise ToolkitError("buckets must be positive")
+    key_types = a.select(*[col(k) for k in names]).unionByName(b.select(*[col(k) for k in names])).schema
+
+    def plain(value: Column, dtype: T.DataType) -> Column:
+        if is_floating(dtype):
+            return value + F.lit(0.0).cast(dtype)  # one zero
+        return value if not any(t in dtype.simpleString() for t in ("map<", "variant")) else value.cast("string")
+
+    def hashed(df: DataFrame) -> DataFrame:
+        own = [plain(col(k).cast(key_types[k].dataType), key_types[k].dataType) for k in names]
+        placed = df.withColumn("__key", _digest(own, 1))
+        values = placed.select(*[by_value(df, c).alias(f"v{i}") for i, c in enumerate(compared)]).schema
+        cells = [plain(by_value(df, c), f.dataType) for c, f in zip(compared, values, strict=True)]
+        first, second = _digest([*own, *cells], 2), _digest([*own, *cells], 3)
+        placed = placed.withColumn("__coarse", F.pmod("__key", F.lit(buckets)))
+        placed = placed.withColumn("__fine", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
+        return placed.withColumns({"__x": first, "__y": second})
+
+    def checksums(x: DataFrame, y: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        """Rows of each bucket on both sides, and whether they differ; hashes are summed in halves, which cannot overflow."""
+
+        def side(df: DataFrame, sign: int) -> DataFrame:
+            halves = [
+                (F.shiftright("__x", 32), "x1"), (F.col("__x").bitwiseAND(0xFFFFFFFF), "x2"),
+                (F.shiftright("__y", 32), "y1"), (F.col("__y").bitwiseAND(0xFFFFFFFF), "y2"),
+            ]
+            counts = [F.lit(int(sign > 0)).cast("bigint").alias("n_a"), F.lit(int(sign < 0)).cast("bigint").alias("n_b")]
+            return df.select(*by, *counts, *[(value * sign).alias(out) for value, out in halves])
+
+        sums = side(x, 1).unionByName(side(y, -1)).groupBy(*by)
+        total = sums.agg(*[F.sum(c).alias(c) for c in ("n_a", "n_b", "x1", "x2", "y1", "y2")])
+        equal = (F.col("n_a") == F.col("n_b")) & F.greatest(*[F.abs(c) for c in ("x1", "x2", "y1", "y2")]).eqNullSafe(0)
+        return materialize(total.select(*by, "n_a", "n_b", equal.alias("equal")), name)
+
+    def differing(df: DataFrame, sums: DataFrame, by: Sequence[str]) -> DataFrame:
+        # at most as many rows as there are buckets on the first level, and as there are differences on the second
+        return df.join(sums.where("NOT equal").select(*by), list(by), "left_semi")
+
+    left, right = hashed(a), hashed(b)
+    coarse = checksums(left, right, ["__coarse"], "checksums")
+    left, right = differing(left, coarse, ["__coarse"]), differing(right, coarse, ["__coarse"])
+    fine = checksums(left, right, ["__coarse", "__fine"], "fine-checksums")
+    left = differing(left, fine, ["__coarse", "__fine"]).select(*[col(c) for c in a.columns])
+    right = differing(right, fine, ["__coarse", "__fine"]).select(*[col(c) for c in b.columns])
+
+    rest = diff_tables(left, right, names, compared, max_changed)
+    whole = coarse.where("equal").select("n_a").unionByName(fine.where("equal").select("n_a"))
+    equal_rows = whole.agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("n")).scalar()
+    summary = rest.summary.withColumn("in_both", F.col("in_both") + equal_rows)
+    return Difference(rest.keys.where("status <> 'same'"), summary, rest.examples)
+
+
 @dataclass(frozen=True)
 class Reconciliation:
     """Counts per key, their totals, and the worst mismatches; each a lazy DataFrame."""

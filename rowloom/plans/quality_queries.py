@@ -196,6 +196,44 @@ def diff_examples(spark, folder):
     return examples.withColumn("changes", _change_text())
 
 
+# some orders dearer, some without a status, some gone, some new
+_ORDERS = """SELECT o_orderkey + CASE WHEN o_orderkey % 500 = 3 THEN 100000000 ELSE 0 END AS o_orderkey, o_custkey,
+                    CASE WHEN o_orderkey % 300 = 5 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+                    CASE WHEN o_orderkey % 200 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders"""
+_ORDER_DIFF = f"""
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+           CASE WHEN b.o_orderkey IS NULL THEN 'only_in_a' WHEN a.o_orderkey IS NULL THEN 'only_in_b'
+                WHEN a.o_custkey IS DISTINCT FROM b.o_custkey OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
+                  OR a.o_totalprice IS DISTINCT FROM b.o_totalprice THEN 'changed' ELSE 'same' END AS status
+    FROM (SELECT * FROM orders) a FULL JOIN ({_ORDERS}) b ON a.o_orderkey = b.o_orderkey"""
+
+
+def _order_versions(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    key = F.col("o_orderkey")
+    return orders, orders.select(
+        (key + F.when(key % 500 == 3, 100000000).otherwise(0)).alias("o_orderkey"),
+        "o_custkey",
+        F.when(key % 300 != 5, F.col("o_orderstatus")).alias("o_orderstatus"),
+        (F.col("o_totalprice") + F.when(key % 200 == 7, 1).otherwise(0)).alias("o_totalprice"),
+    )
+
+
+@query("diff_by_checksum", f"SELECT * FROM ({_ORDER_DIFF}) WHERE status <> 'same'")
+def diff_by_checksum(spark, folder):
+    return compare.diff_by_checksum(*_order_versions(spark, folder), "o_orderkey").keys.select("o_orderkey", "status")
+
+
+@query(
+    "diff_by_checksum_summary",
+    f"""SELECT count(*) FILTER (WHERE status = 'only_in_a') AS only_in_a, count(*) FILTER (WHERE status = 'only_in_b') AS only_in_b,
+               count(*) FILTER (WHERE status IN ('same', 'changed')) AS in_both,
+               count(*) FILTER (WHERE status = 'changed') AS changed, CAST(0 AS BIGINT) AS duplicate_keys FROM ({_ORDER_DIFF})""",
+)
+def diff_by_checksum_summary(spark, folder):
+    return compare.diff_by_checksum(*_order_versions(spark, folder), "o_orderkey").summary
+
+
 # repeated keys: the same order and line number occurs several times in lineitem
 @query(
     "diff_repeated_keys",

@@ -55,6 +55,39 @@ def test_comparison_shuffles_once(spark, folder):
     assert plan_facts(joins.key_presence(orders, orders, "o_custkey")).exchanges == 1
 
 
+def shuffled_records(spark, action) -> int:
+    """Records that all stages of an action wrote for shuffles."""
+
+    def total():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        none = spark._jvm.java.util.ArrayList()
+        quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = store.stageList(none, False, False, quantiles, none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_equal_tables_shuffle_only_checksums(spark, folder):
+    orders = table(spark, folder, "orders")
+
+    def compared(other, by_checksum):
+        use = compare.diff_by_checksum if by_checksum else compare.diff_tables
+        parts = {"buckets": 16} if by_checksum else {}
+        return lambda: use(orders, other, "o_orderkey", **parts).summary.collect()
+
+    rows = orders.count()
+    assert shuffled_records(spark, compared(orders, False)) >= 2 * rows
+    # 16 checksums for each side and task, and one row for each of a few totals
+    assert shuffled_records(spark, compared(orders, True)) < 100
+    dearer = orders.o_totalprice + (orders.o_orderkey == orders.agg({"o_orderkey": "min"}).first()[0]).cast("int")
+    changed = orders.withColumn("o_totalprice", dearer)
+    assert shuffled_records(spark, compared(changed, True)) < rows / 4
+
+
 def test_null_safe_join_is_an_equi_join(spark, folder):
     orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
     left, right = orders.selectExpr("o_custkey AS k", "o_orderkey"), customer.selectExpr("c_custkey AS k", "c_name")

@@ -40,6 +40,41 @@ def test_diff_count_is_exact_beyond_the_examples(spark, rows):
     assert rows(found.summary) == [(0, 0, 100, 100, 0)]
 
 
+def _not_same(found):
+    return sorted((tuple(r) for r in found.keys.where("status <> 'same'").collect()), key=repr)
+
+
+@pytest.mark.parametrize("buckets", [1, 7, compare.BUCKETS])
+def test_diff_by_checksum_gives_the_same_answer(spark, buckets):
+    schema = "k int, j string, x double, s string, t string, l array<int>, m map<string,int>"
+    base = [(i, None if i % 7 == 0 else f"j{i}", i / 3, None, f"t{i % 5}", [i, None], {"a": i}) for i in range(400)]
+    base += [(None, None, 0.0, "a", None, None, None), (None, "q", float("nan"), "", "", [], {})]
+    other = [(r[0], r[1], -0.0 if r[2] == 0 else r[2], *r[3:]) for r in base]
+    for i, change in enumerate(({3: "x"}, {3: "t5", 4: None}, {5: [1]}, {6: {"a": 1}}, {2: None}, {2: float("nan")}, {1: "new"}, {0: 9000})):
+        row = list(other[20 + i])
+        for at, value in change.items():
+            row[at] = value
+        other[20 + i] = tuple(row)
+    # a value that moves to the next column
+    other[50] = (*other[50][:3], other[50][4], other[50][3], *other[50][5:])
+    other = other[:-5] + [(5000, "only", 1.0, None, None, None, None), other[60], (7001, "twice", 1.0, *[None] * 4), (7001, "twice", 2.0, *[None] * 4)]
+    a, b = spark.createDataFrame(base, schema), spark.createDataFrame(other, schema.replace("k int", "k bigint"))
+    plain, quick = compare.diff_tables(a, b, ["k", "j"]), compare.diff_by_checksum(a, b, ["k", "j"], buckets=buckets)
+    assert _not_same(quick) == _not_same(plain) and quick.keys.where("status = 'same'").isEmpty()
+    assert quick.summary.collect() == plain.summary.collect() and quick.examples.collect() == plain.examples.collect()
+    for x, y in ((a.limit(0), b), (a, b.limit(0)), (a.limit(0), b.limit(0)), (a, a)):
+        plain, quick = compare.diff_tables(x, y, ["k", "j"], ["x"]), compare.diff_by_checksum(x, y, ["k", "j"], ["x"], buckets=buckets)
+        assert _not_same(quick) == _not_same(plain) and quick.summary.collect() == plain.summary.collect()
+
+
+def test_diff_by_checksum_counts_rows_of_alike_repeated_keys(spark):
+    a = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "k int, v int")
+    assert tuple(compare.diff_by_checksum(a, a, "k").summary.first()) == (0, 0, 3, 0, 0)
+    assert tuple(compare.diff_by_checksum(a, a.limit(0), "k").summary.first()) == tuple(compare.diff_tables(a, a.limit(0), "k").summary.first())
+    with pytest.raises(ToolkitError):
+        compare.diff_by_checksum(a, a, "k", buckets=0)
+
+
 def test_diff_duplicates_and_null_keys(spark, rows):
     a, b = _pair(spark, [(1, 1), (1, 2), (None, 5)], [(1, 1), (None, 6)])
     found = compare.diff_tables(a, b, "id")
