@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowloom.operators import asof as asof_joins
 from rowloom.operators import sql
 from rowloom.plans.catalog import query, table
 
@@ -166,6 +167,48 @@ def asof(spark, folder):
     return sql.sql_query(spark, text, {"events": table(spark, folder, "events")})
 
 
+_EARLIER = """SELECT e.event_id, p.event_id AS earlier_id, p.ts AS earlier_ts, p.event_type AS earlier_type
+              FROM events e ASOF LEFT JOIN events p ON e.user_id = p.user_id AND e.ts > p.ts"""
+
+
+def _earlier(spark, folder, **options):
+    events = table(spark, folder, "events")
+    found = asof_joins.asof_join(events, events, "user_id", "ts", allow_equal=False, tie="event_id", **options)
+    names = {"event_id": "event_id_x", "earlier_id": "event_id_y", "earlier_ts": "ts_y", "earlier_type": "event_type_y"}
+    return found.select(*[F.col(c).alias(name) for name, c in names.items()])
+
+
+@query("asof_join", _EARLIER)
+def asof_join(spark, folder):
+    """Each event with the user's event before it, over all events."""
+    return _earlier(spark, folder)
+
+
+@query(
+    "asof_join_within",
+    f"""SELECT event_id, earlier_id, earlier_ts, earlier_type FROM ({_EARLIER})
+        JOIN (SELECT event_id, ts FROM events) USING (event_id) WHERE earlier_ts >= ts - INTERVAL 6 HOUR""",
+)
+def asof_within(spark, folder):
+    """The same where the event before is at most six hours away."""
+    return _earlier(spark, folder, tolerance="6 hours", how="inner")
+
+
+@query(
+    "asof_join_forward",
+    """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice, o.o_orderdate AS next_order
+       FROM lineitem l ASOF LEFT JOIN (SELECT DISTINCT o_orderdate, o_orderstatus FROM orders) o
+       ON l.l_linestatus = o.o_orderstatus AND l.l_shipdate <= o.o_orderdate""",
+)
+def asof_forward(spark, folder):
+    """Each order line with the date of the first order of its status from its shipping on: two keys own all rows."""
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_linestatus", "status")
+    orders = table(spark, folder, "orders").selectExpr("o_orderstatus AS status", "o_orderdate")
+    found = asof_joins.asof_join(lines, orders, "status", "l_shipdate", "o_orderdate", direction="forward")
+    kept = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return found.select(*kept, F.col("o_orderdate").alias("next_order"))
+
+
 @query(
     "sql_with_parameters",
     "SELECT event_type, count(*) AS n FROM events WHERE value > 25 AND user_id <= 100 GROUP BY event_type",
