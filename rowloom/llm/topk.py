@@ -12,6 +12,7 @@ a bounded number of rows; each pair of them is one row of work. So nothing is br
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -28,12 +29,18 @@ SCALE = 256
 K = 5
 SHARD_ROWS = 4096
 QUERY_ROWS = 1024
-# Values beyond this many bits can't be summed exactly in 64 bits; they are refused.
-VALUE_BITS = 28
+# Components that fit in 32 bits are stored so; blocks with larger ones keep their numbers as doubles.
+NARROW = 1 << 31
+# Scores that may leave 64 bits are summed in Python's integers.
+EXACT = 1 << 62
+LONG = (1 << 63) - 1
 # Documents that are scored between two looks at the threshold.
 STRIDE = 1024
 
-_PACKED = "block string, rows int, dims int, ids binary, places binary, data binary"
+# Each join partner of a query block is named under one of so many salts.
+SALTS = 64
+
+_PACKED = "block string, rows int, dims int, ids binary, places binary, data binary, wide boolean"
 
 
 def usable(vector: Column) -> Column:
@@ -42,16 +49,38 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def whole(vectors: list[list[float]]) -> np.ndarray:
-    """floor(256 * x) of every component, shorter vectors filled with zeros."""
+def whole(numbers: np.ndarray) -> np.ndarray:
+    """floor(256 * x) of every component: 64-bit integers, or Python's where one is too large for them."""
+    if not numbers.size or np.abs(numbers).max() < EXACT / SCALE:
+        return np.floor(SCALE * numbers).astype(np.int64)
+    # beyond 2**53 a double is an integer itself
+    exact = [int(x) * SCALE if abs(x) >= 1 << 53 else math.floor(SCALE * x) for x in numbers.ravel().tolist()]
+    return np.array(exact, object).reshape(numbers.shape)
+
+
+def packed(vectors: list[list[float]]) -> tuple[bytes, int, bool]:
+    """Components as 32-bit integers, or as doubles where one does not fit; shorter vectors are filled with zeros."""
     dims = max((len(v) for v in vectors), default=0)
     found = np.zeros((len(vectors), dims))
     for row, v in zip(found, vectors, strict=True):
         row[: len(v)] = v
-    found = np.floor(SCALE * found)
-    if found.size and np.abs(found).max() >= 1 << VALUE_BITS:
-        raise ValueError(f"components of more than {VALUE_BITS} bits have no exact 64-bit score")
-    return found.astype(np.int64)
+    wide = bool(found.size and np.abs(found).max() >= NARROW / SCALE)
+    return (found.astype("<f8") if wide else whole(found).astype("<i4")).tobytes(), dims, wide
+
+
+def unpacked(data: bytes, rows: int, dims: int, wide: bool) -> np.ndarray:
+    if wide:
+        return whole(np.frombuffer(data, "<f8").reshape(rows, dims))
+    return np.frombuffer(data, "<i4").reshape(rows, dims).astype(np.int64)
+
+
+def sortable(score: int) -> bytes:
+    """Bytes that are in the order of the integers: sign and length first, then the digits."""
+    size = (abs(score).bit_length() + 7) // 8
+    digits = abs(score).to_bytes(size, "big")
+    if score < 0:
+        return (0x8000 - size).to_bytes(2, "big") + bytes(255 - d for d in digits)
+    return (0x8000 + size).to_bytes(2, "big") + digits
 
 
 def _pack(df: DataFrame, rows: int) -> DataFrame:
@@ -63,10 +92,10 @@ def _pack(df: DataFrame, rows: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                data = whole(part.column("vector").to_pylist())
+                data, dims, wide = packed(part.column("vector").to_pylist())
                 # Null ids come after all others; the mark is the largest long.
-                ids = np.array([(1 << 63) - 1 if x is None else x for x in part.column("id").to_pylist()], np.int64)
-                row = [uuid.uuid4().hex, len(ids), data.shape[1], ids.tobytes(), b"", data.astype("<i4").tobytes()]
+                ids = np.array([LONG if x is None else x for x in part.column("id").to_pylist()], np.int64)
+                row = [uuid.uuid4().hex, len(ids), dims, ids.tobytes(), b"", data, wide]
                 yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, target, strict=True)], schema=target)
 
     return df.mapInArrow(run, kind)
@@ -80,19 +109,27 @@ def _queries(shards: DataFrame, every: int, rows: int) -> DataFrame:
         target = to_arrow_schema(kind)
         for batch in batches:
             for r in batch.to_pylist():
-                ids, data = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], "<i4").reshape(r["rows"], r["dims"])
-                asked = np.flatnonzero((ids % every == 0) & (ids != (1 << 63) - 1))
+                ids = np.frombuffer(r["ids"], np.int64)
+                data = np.frombuffer(r["data"], "<f8" if r["wide"] else "<i4").reshape(r["rows"], r["dims"])
+                asked = np.flatnonzero((ids % every == 0) & (ids != LONG))
                 for at in range(0, len(asked), rows):
                     some = asked[at : at + rows]
                     row = [
                         f"{r['block']}-{at}", len(some), r["dims"], ids[some].tobytes(),
-                        some.astype(np.int64).tobytes(), data[some].tobytes(), r["block"],
+                        some.astype(np.int64).tobytes(), data[some].tobytes(), r["wide"], r["block"],
                     ]
                     yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, target, strict=True)], schema=target)
 
     return shards.mapInArrow(run, kind)
 
 
+def ranked(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray | list[int]:
+    """Places of the ``k`` best scores, smaller id first among equals."""
+    if scores.dtype != object:
+        return np.lexsort((ids, -scores))[:k]
+    return sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+
+
 class Shard:
     """Posting lists of a block of vectors, by dimension."""
 
@@ -101,11 +138,18 @@ class Shard:
         self.lists = np.ascontiguousarray(data.T)
         self.most = self.lists.max(axis=1) if data.size else np.zeros(data.shape[1], np.int64)
         self.least = self.lists.min(axis=1) if data.size else np.zeros(data.shape[1], np.int64)
+        self.largest = max(map(abs, [*self.most.tolist(), *self.least.tolist()]), default=0)
+
+    def exact(self) -> Shard:
+        """The same lists in Python's integers."""
+        return Shard(self.ids, self.lists.T.astype(object))
 
     def top(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the ``k`` best, smaller id first among equals; the row ``own`` takes no part."""
         dims = min(len(query), len(self.lists))
         query = query[:dims]
+        if self.lists.dtype != object and dims * self.largest * max(map(abs, query.tolist()), default=0) >= EXACT:
+            return self.exact().top(query, k, own)
         bound = np.maximum(query * self.most[:dims], query * self.least[:dims])
         terms = np.argsort(bound, kind="stable")  # weakest first
         together = np.cumsum(bound[terms])  # most that the weakest terms can add
@@ -123,7 +167,7 @@ class Shard:
             part = part[places - first]
             while split:
                 if threshold is not None:
-                    open_ = part + together[split - 1] >= threshold
+                    open_ = (part + together[split - 1] >= threshold).astype(bool)
                     places, part = places[open_], part[open_]
                 if not len(places):
                     break
@@ -134,13 +178,13 @@ class Shard:
             if not len(places):
                 continue
             places, part = np.concatenate([best, places]), np.concatenate([scores, part])
-            order = np.lexsort((self.ids[places], -part))[:k]
+            order = np.array(ranked(part, self.ids[places], k))
             best, scores = places[order], part[order]
         return best, scores
 
 
 def _search(pairs: DataFrame, k: int) -> DataFrame:
-    kind = StructType.fromDDL("asked string, query_id long, vec_id long, score long")
+    kind = StructType.fromDDL("asked string, query_id long, vec_id long, score long, place binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, opened, shard = to_arrow_schema(kind), None, None
@@ -148,20 +192,21 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
             for i in range(batch.num_rows):
                 r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 if opened != r["block"]:
-                    ids, data = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], "<i4")
-                    shard, opened = Shard(ids, data.reshape(r["rows"], r["dims"]).astype(np.int64)), r["block"]
-                asked = np.frombuffer(r["q_data"], "<i4").reshape(r["q_rows"], r["q_dims"]).astype(np.int64)
+                    data = unpacked(r["data"], r["rows"], r["dims"], r["wide"])
+                    shard, opened = Shard(np.frombuffer(r["ids"], np.int64), data), r["block"]
+                asked = unpacked(r["q_data"], r["q_rows"], r["q_dims"], r["q_wide"])
                 places, names = np.frombuffer(r["q_places"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 of, vecs, scores = [], [], []
                 for n, query in enumerate(asked):
                     best, found = shard.top(query, k, int(places[n]) if r["q_shard"] == r["block"] else -1)
                     of += [n] * len(best)
                     vecs.append(shard.ids[best])
-                    scores.append(found)
+                    scores += [int(x) for x in found]
                 if of:
                     columns = [
                         pa.array([f"{r['q_shard']}/{places[n]}" for n in of]), pa.array(names[of]),
-                        pa.array(np.concatenate(vecs)), pa.array(np.concatenate(scores)),
+                        pa.array(np.concatenate(vecs)), pa.array([max(-LONG - 1, min(LONG, x)) for x in scores], pa.int64()),
+                        pa.array([sortable(x) for x in scores], pa.binary()),
                     ]
                     yield pa.record_batch(columns, schema=target)
 
@@ -174,19 +219,22 @@ def nearest(df: DataFrame, key: str, vector: str, every: int, k: int = K, shard_
     Queries are the rows whose key ``every`` divides; candidates are all rows but the query's own (a repeated row is a
     candidate of its twin). Fewer than ``k`` candidates give fewer rows. Null vectors and vectors with a component
     that is null or not finite take no part; a vector without components scores 0, a shorter one as if filled with
-    zeros. Rows with a null key are candidates, after all others among equals, and never queries.
+    zeros. Rows with a null key are candidates, after all others among equals, and never queries. Finite components of
+    any size take part, and scores are exact when ranked; a score beyond 64 bits is shown as the nearest 64-bit number.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     shards = materialize(_pack(rows.where(usable(F.col("vector"))), shard_rows), "shards")
     asked = materialize(_queries(shards, every, QUERY_ROWS), "queries").select(
-        "shard", *(F.col(c).alias(f"q_{c}") for c in ("block", "rows", "dims", "ids", "places", "data"))
+        "shard", *(F.col(c).alias(f"q_{c}") for c in ("block", "rows", "dims", "ids", "places", "data", "wide"))
     )
-    # Every shard meets every block of queries: each side is repeated under the names of the other side's blocks.
-    names = shards.select(F.col("block").alias("to"))
-    to_shards = asked.withColumn("n", F.lit(1)).join(names.withColumn("n", F.lit(1)), "n").drop("n")
-    pairs = to_shards.withColumnRenamed("shard", "q_shard").join(shards, F.col("to") == F.col("block"))
-    found = _search(pairs.select("block", "rows", "dims", "ids", "data", "q_shard", "q_rows", "q_dims", "q_ids", "q_places", "q_data"), k)
-    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    # Every shard meets every block of queries. Only names are paired, under salts, so no task pairs them all.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    names = shards.select(F.col("block").alias("to"), F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt"))
+    named = asked.select("q_block", salts).join(names, "salt").drop("salt")
+    pairs = named.join(asked.withColumnRenamed("shard", "q_shard"), "q_block").join(shards, F.col("to") == F.col("block"))
+    sides = ["rows", "dims", "ids", "data", "wide"]
+    found = _search(pairs.select("block", *sides, "q_shard", "q_places", *(f"q_{c}" for c in sides)), k)
+    order = Window.partitionBy("asked").orderBy(F.desc("place"), "vec_id")
     merged = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    absent = F.lit((1 << 63) - 1)
+    absent = F.lit(LONG)
     return merged.select("query_id", "rank", F.nullif("vec_id", absent).alias("vec_id"), "score")
