@@ -180,16 +180,22 @@ def fit_chain(
 ) -> ToxicityChain:
     """Learn from about ``rows`` labelled rows at most, drawn by a hash of the key.
 
-    ``labels`` has the key and a 0/1 column per category; rows without text or with a null label teach nothing. Rows
-    are reduced to their features before they reach the driver.
+    ``labels`` has the key and a 0/1 column per category; rows without text or with a null label teach nothing. Labels
+    that contradict each other count as 1, and of several texts of a key one is learned from, so that at most ``rows``
+    or so reach the driver, reduced to their features. Other columns of ``docs`` may have any names.
     """
     complete = labels.dropna(subset=[key, *categories])
     share = min(1.0, rows / max(1, complete.count()))
     steps = 1 << 30
     drawn = complete.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(steps)) < F.lit(int(share * steps) + 1))
-    drawn = drawn.dropDuplicates([key]).select(F.col(key).alias("__key"), *categories)
-    joined = docs.where(F.col(text).isNotNull()).join(drawn, F.col(key) == F.col("__key"))
-    joined = joined.select("__key", *(F.col(c).cast("int") for c in categories), F.col(text).alias("__text"))
+    # a category that any of a key's labels gives counts
+    drawn = drawn.groupBy(F.col(key).alias("__key")).agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__doc"), F.col(text).alias("__text"))
+    met = texts.join(drawn, F.col("__doc") == F.col("__key"))
+    # of a key's texts the one with the smallest hash; copies are reduced where they are read
+    least = F.min(F.struct(F.xxhash64("__text").alias("hash"), F.col("__text").alias("text")))
+    joined = met.groupBy("__key", *categories).agg(least.alias("__text"))
+    joined = joined.select("__key", *categories, F.col("__text.text").alias("__text"))
     kind = StructType(joined.schema.fields[:-1]).add("features", ArrayType(IntegerType()))
     names = joined.columns[:-1]
 
