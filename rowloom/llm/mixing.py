@@ -27,6 +27,8 @@ SEED = 20240607
 RANKED = 4096
 
 _WORD = r"[^\x20\x09-\x0D]+"
+# Documents of more words are settled in units of several words.
+DP_WORDS = 1 << 15
 
 
 def n_words(text: Column) -> Column:
@@ -70,7 +72,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
     Never more than there are. The proportional part leaves a stretch of several of the longest documents, and less
     than one document of each length besides; what is beyond the stretch goes in from the longest on, and the dynamic
-    program settles the rest.
+    program settles the rest. Its tables have 16 entries for each word of the longest document, up to ``DP_WORDS`` words:
+    with longer documents it runs in units of several words first, then in words over those of at most that length.
     """
     counts = counts.astype(np.int64)
     lengths = lengths.astype(np.int64)
@@ -90,7 +93,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         more = min(int(counts[i] - taken[i]), (left - 2 * reach) // int(lengths[i]) + 1) if lengths[i] else 0
         taken[i] += more
         left -= more * int(lengths[i])
-    return taken + knapsack(lengths, counts - taken, left)
+    unit = -(-int(lengths.max()) // DP_WORDS)
+    if unit > 1:
+        # Very long documents are settled in coarser units, rounded up, so that the sum stays within the budget.
+        coarse = knapsack(-(-lengths // unit), counts - taken, left // unit)
+        taken += coarse
+        left -= int((lengths * coarse).sum())
+    short = lengths <= DP_WORDS
+    taken[short] += knapsack(lengths[short], (counts - taken)[short], min(left, 2 * (8 * DP_WORDS + 256)))
+    return taken
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
