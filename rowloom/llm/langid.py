@@ -2,8 +2,10 @@
 
 A text becomes the mean of the embeddings of its byte 3- and 4-grams inside words (a word's edge counts as a
 byte), found by hashing; a linear layer with softmax turns the mean into probabilities. Both layers are trained
-together by stochastic gradient descent in numpy, on a bounded sample of labelled rows. A temperature and a
-rejection threshold are fitted on a part of the sample that training does not see.
+together by stochastic gradient descent in numpy, on a bounded sample of labelled rows. On a part of the sample that
+training does not see, a temperature and two limits for rejection are fitted: one for the probability, one for how
+familiar a text is. A softmax knows only the learned languages and may be sure about any other; so the table also holds
+how common each bucket's n-grams are in the sample, and a text whose n-grams are much rarer than usual is rejected.
 
 After training, embeddings and linear layer are multiplied into one table with a row per bucket, so a text costs
 one table look-up per n-gram. Prediction reads every text whole, in one pass without a shuffle.
@@ -28,6 +30,10 @@ SAMPLE_ROWS = 4096
 SAMPLE_CHARS = 2000
 # Training takes at least so many steps.
 STEPS = 800
+# Beyond so many n-grams a longer text is not known any better.
+MOST_GRAMS = 64
+# Held-out excerpts are also judged by so many characters from their start.
+CUTS = (20, 60, 200)
 # A text longer than this is summed up in pieces.
 PIECE_BYTES = 1 << 20
 
@@ -112,27 +118,46 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``table`` has a row per bucket and a column per language; a score below ``threshold`` is a rejection."""
+    """``table`` has a row per bucket and a column per language, then one for how common the bucket is (log, standardized).
+
+    A score below ``threshold`` is a rejection, and so is a familiarity below ``strangest``.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    strangest: float = -np.inf
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and calibrated probability of each text."""
-        names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and calibrated probability of each text, and whether it is accepted."""
+        names, scores, kept = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
         asked = [i for i, x in enumerate(texts) if x is not None and any(map(str.isalpha, x))]
         if asked and self.languages:
             sums, counts = text_sums([prepare(texts[i]) for i in asked], self.table)
-            logits = sums / np.maximum(counts, 1)[:, None] + self.bias
+            logits = sums[:, :-1] / np.maximum(counts, 1)[:, None] + self.bias
             chance = softmax(logits / self.temperature)
-            for i, k, p in zip(asked, chance.argmax(axis=1), chance.max(axis=1), strict=True):
+            common = familiarity(sums[:, -1], counts)
+            for i, k, p, f in zip(asked, chance.argmax(axis=1), chance.max(axis=1), common, strict=True):
                 names[i], scores[i] = self.languages[k], float(p)
+                kept[i] = bool(p >= self.threshold and f >= self.strangest)
+        return names, scores, kept
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and calibrated probability of each text."""
+        names, scores, _ = self.judge(texts)
         return names, scores
 
 
+def familiarity(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How far the mean commonness of a text's n-grams is from the usual one, in standard errors; 0 without n-grams.
+
+    Errors shrink with the number of n-grams up to a point: texts of one language differ among themselves.
+    """
+    return sums / np.maximum(counts, 1) * np.sqrt(np.minimum(counts, MOST_GRAMS))
+
+
 def labelled_sample(df: DataFrame, key: str, text: str, label: str, rows: int, seed: int) -> list[tuple[str, str]]:
     """(label, excerpt) of about ``rows`` labelled rows at most, spread evenly over the labels.
 
@@ -160,7 +185,7 @@ def train(sample: list[tuple[str, str]], seed: int = 7, epochs: int = 6, rate: f
     """Stochastic gradient descent over both layers; every fifth example only calibrates."""
     languages = tuple(sorted({name for name, _ in sample}))
     if not languages:
-        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return LanguageModel((), np.zeros((BUCKETS, 1), np.float32), np.zeros(0), 1.0, 0.0)
     place = {name: k for k, name in enumerate(languages)}
     grams = []
     for _, excerpt in sample:
@@ -197,22 +222,48 @@ def train(sample: list[tuple[str, str]], seed: int = 7, epochs: int = 6, rate: f
             embed -= pace * (x.T @ back) * 10
             step += 1
     table = (embed @ linear).astype(np.float32)
-    checked = np.flatnonzero(held) if held.any() else learned
-    logits = np.concatenate([means(checked[i : i + 64]) @ table for i in range(0, len(checked), 64)]) + bias
-    temperature, threshold = calibrate(logits, labels[checked])
-    return LanguageModel(languages, table, bias, temperature, threshold)
+    table = np.column_stack([table, commonness([grams[i] for i in learned])]).astype(np.float32)
+    # what training did not see, whole and in short cuts, whose scores are those of short texts
+    checked = np.repeat(np.flatnonzero(held) if held.any() else learned, len(CUTS) + 1)
+    cuts = [prepare(sample[i][1][:cut]) for i, cut in zip(checked, (*CUTS, None) * len(checked), strict=False)]
+    sums, counts = text_sums(cuts, table)
+    some = counts > 0
+    logits = sums[some, :-1] / counts[some, None] + bias
+    temperature, threshold = calibrate(logits, labels[checked[some]])
+    return LanguageModel(
+        languages, table, bias, temperature, threshold, lower_limit(familiarity(sums[some, -1], counts[some]))
+    )
+
+
+def commonness(grams: list[np.ndarray]) -> np.ndarray:
+    """The logarithm of how often each bucket is met, with mean 0 and deviation 1 over what is met."""
+    seen = np.bincount(np.concatenate(grams), minlength=BUCKETS) if grams else np.zeros(BUCKETS, np.int64)
+    logs = np.log(seen + 0.5)
+    total = max(1, seen.sum())
+    mean = (seen * logs).sum() / total
+    return (logs - mean) / max(1e-6, np.sqrt((seen * (logs - mean) ** 2).sum() / total))
 
 
-def calibrate(logits: np.ndarray, labels: np.ndarray, wrongly_rejected: float = 0.001) -> tuple[float, float]:
-    """The temperature with the highest likelihood, and the score that so few right predictions stay below."""
+def lower_limit(values: np.ndarray, tail: float = 0.001, edge: float = 0.05) -> float:
+    """As far below the ``tail`` quantile as that is below the ``edge`` quantile: few usual values lie beyond."""
+    if not len(values):
+        return -np.inf
+    low, near = np.quantile(values, [tail, edge])
+    return float(low - (near - low))
+
+
+def calibrate(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """The temperature with the highest likelihood, and the score that next to no right prediction stays below.
+
+    The limit is found on the scale of log odds.
+    """
     rows = np.arange(len(labels))
     grid = np.geomspace(0.05, 20, 60)
     losses = [-np.log(np.maximum(softmax(logits / t)[rows, labels], 1e-12)).mean() for t in grid]
     best = float(grid[int(np.argmin(losses))])
     chance = softmax(logits / best)
-    right = chance[rows, labels][chance.argmax(axis=1) == labels]
-    limit = float(np.quantile(right, wrongly_rejected)) if len(right) else 0.0
-    return best, min(limit, 1.5 / max(2, logits.shape[1]))
+    right = np.clip(chance[rows, labels][chance.argmax(axis=1) == labels].astype(np.float64), 1e-9, 1 - 1e-9)
+    return best, float(1 / (1 + np.exp(-lower_limit(np.log(right / (1 - right))))))
 
 
 def fit_languages(
@@ -241,7 +292,7 @@ def predict_languages(df: DataFrame, model: LanguageModel, text: str, keep: list
 
 
 def accepted(df: DataFrame, model: LanguageModel, text: str) -> DataFrame:
-    """The rows whose language is predicted with at least the model's threshold, all columns unchanged."""
+    """The rows whose language is predicted with at least the model's threshold and that look familiar; columns unchanged."""
     import pyarrow as pa
 
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -249,11 +300,7 @@ def accepted(df: DataFrame, model: LanguageModel, text: str) -> DataFrame:
 
     def start():
         def work(part):
-            names, scores = shared.value.predict(part.column(at).to_pylist())
-            limit = shared.value.threshold
-            return part.filter(
-                pa.array([n != UNDETERMINED and s >= limit for n, s in zip(names, scores, strict=True)], pa.bool_())
-            )
+            return part.filter(pa.array(shared.value.judge(part.column(at).to_pylist())[2], pa.bool_()))
 
         return work
 
