@@ -11,13 +11,15 @@ import json
 import re
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.slices import map_slices
+from rowloom.llm.slices import map_slices, slices
 
 # Runs that a worker keeps, at most; a full cache starts again.
 KEPT_RUNS = 400_000
@@ -226,33 +228,37 @@ def counter(path: str) -> RunCounter:
 def frequent_lengths(df: DataFrame, text: str, path: str, rows: int = FREQUENT_ROWS, runs: int = FREQUENT_RUNS) -> dict[str, int]:
     """Token numbers of the commonest words after a blank, counted in about ``rows`` rows.
 
-    The table steers speed alone: a word outside it is encoded. Each task sends its own commonest words only.
+    The table steers speed alone: a word outside it is encoded. Words are counted in the tasks that read the drawn rows,
+    and the counters are added up on the driver without any shuffle; there are no more of them than drawn rows. Rows are
+    drawn one by one, so copies of a text are drawn like others.
     """
     total = df.count()
-    share = min(1.0, rows / max(1, total))
-    drawn = df.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.col(text).alias("__text"))
-
-    def start():
-        def work(part):
-            seen: Counter[str] = Counter()
-            for body in part.column(0).to_pylist():
-                for line in (body or "").split("\n"):
-                    seen.update(w for w in line.split(" ")[1:] if 0 < len(w) <= 32 and not any(map(w.__contains__, _BLANKS + _UNSURE)))
-            common = seen.most_common(runs)
-            return {"word": [w for w, _ in common], "n": [n for _, n in common]}
-
-        return work
-
-    counted = map_slices(drawn, "word string, n long", start, "__text").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "word").limit(runs).collect()
+    drawn = df.select(F.col(text).alias("__text")).where(F.rand(5) < min(1.0, rows / max(1, total)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                for body in part.column(0).to_pylist():
+                    for line in (body or "").split("\n"):
+                        seen.update(w for w in line.split(" ")[1:] if 0 < len(w) <= 32 and not any(map(w.__contains__, _BLANKS + _UNSURE)))
+        common = seen.most_common(runs)
+        if common:
+            words, counts = zip(*common, strict=True)
+            yield pa.record_batch([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+
+    seen: Counter[str] = Counter()
+    for r in drawn.mapInArrow(run, "word string, n long").toLocalIterator():
+        seen[r["word"]] += r["n"]
+    found = sorted(seen, key=lambda w: (-seen[w], w))[:runs]
     own = RunCoder(path)
     if not own.splits:
         return {}
-    return {r["word"]: len(own.run(" " + r["word"])) // own.dtype.itemsize for r in found}
+    return {w: len(own.run(" " + w)) // own.dtype.itemsize for w in found}
 
 
 def count_tokens(df: DataFrame, text: str, path: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``n_tokens`` for every row, without any shuffle of texts or of their parts.
+    """The columns ``keep`` and ``n_tokens`` for every row, without any shuffle of texts or of their words.
 
     Null and empty texts have no tokens.
     """
