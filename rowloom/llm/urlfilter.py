@@ -176,11 +176,14 @@ def url_tokens(urls: DataFrame, words: DataFrame, keep: list[str], host: str, pa
 
 def log_odds(labelled: DataFrame, verdict: str) -> tuple[float, np.ndarray]:
     """Multinomial naive Bayes as the prior and per-bucket log odds of ``block`` against ``allow``, over all rows."""
-    priors = {r[verdict]: r["count"] for r in labelled.groupBy(verdict).count().collect()}
-    counts = np.zeros((2, BUCKETS))
-    grouped = labelled.select(verdict, F.explode("buckets").alias("bucket")).groupBy(verdict, "bucket").count()
-    for r in grouped.collect():
-        counts[int(r[verdict] == BLOCK), r["bucket"]] = r["count"]
+    priors, counts = {}, np.zeros((2, BUCKETS))
+    # a null bucket per row counts the rows of each verdict
+    marked = F.concat("buckets", F.array(F.lit(None).cast("int")))
+    for r in labelled.select(verdict, F.explode(marked).alias("bucket")).groupBy(verdict, "bucket").count().collect():
+        if r["bucket"] is None:
+            priors[r[verdict]] = r["count"]
+        else:
+            counts[int(r[verdict] == BLOCK), r["bucket"]] = r["count"]
     seen = max(1, int((counts.sum(axis=0) > 0).sum()))
     share = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * seen))
     odds = np.where(counts.sum(axis=0) > 0, share[1] - share[0], 0.0)
@@ -199,7 +202,8 @@ def judge_urls(pages: DataFrame, key: str, url: str, html: str, rules: list[tupl
     parsed = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, decision = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "decision": decision})
-    found = url_tokens(ruled, words, ["key", "host", "path", "rule", "decision"], "host", "path")
+    # written once: counts of the model and the verdicts read the same tokens
+    found = materialize(url_tokens(ruled, words, ["key", "host", "path", "rule", "decision"], "host", "path"), "url-tokens")
     prior, odds = log_odds(found.where(F.col("decision").isNotNull()), "decision")
     table = shared.broadcast(odds)
     kind = found.drop("buckets").schema.add("block_odds", "double")
