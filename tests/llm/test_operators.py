@@ -325,6 +325,25 @@ def test_fit_is_exact_where_a_sum_is():
         assert (lengths * mixing.knapsack(lengths, counts, budget)).sum() == best
 
 
+def test_fit_with_very_long_documents():
+    import time
+
+    rng = random.Random(2)
+    for lengths in ([1_000_000, 700_001, 3, 1], [*rng.sample(range(1, 2_000_000), 1500)], [3_000_000] * 2, [50_000, 49_999, 33_000]):
+        lengths = np.array(sorted(set(lengths)))
+        counts = np.array([rng.randrange(1, 6) for _ in lengths])
+        have = int((lengths * counts).sum())
+        for share in (0.1, 0.5, 0.97):
+            begin = time.perf_counter()
+            taken = mixing.fit(lengths, counts, int(have * share))
+            assert time.perf_counter() - begin < 30 and (0 <= taken).all() and (taken <= counts).all()
+            got = int((lengths * taken).sum())
+            assert got <= have * share and have * share - got < max(lengths.min() * 2, lengths.max() * 0.6)
+    # with short documents at hand the words come out exactly
+    taken = mixing.fit(np.array([1, 2, 100_000]), np.array([60_000, 50_000, 30]), 1_234_567)
+    assert (taken * np.array([1, 2, 100_000])).sum() == 1_234_567
+
+
 def test_mixed_rows_are_repeated(docs):
     light = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"))
     expected = Counter()
@@ -358,6 +377,28 @@ def test_top_k_equals_brute_force(spark, shard_rows):
     assert topk.nearest(df.limit(0), "vec_id", "embedding", every=5).count() == 0
 
 
+def test_top_k_of_components_of_any_size(spark):
+    """Scores beyond 64 bits are ranked exactly and shown as the nearest long."""
+    rng = random.Random(6)
+    large = [0.0, 1.0, -3.5, 1e9, -1e9, 2.0**40, 3.7e15, -1e30, 1e300, -1.7e308, 5e-324]
+    rows = [(i, [rng.choice(large) for _ in range(3)]) for i in range(40)] + [(50, [1e9, 1.0]), (51, [1e9, 1.0]), (60, [0.25] * 3)]
+    wide = [(100 + i, [rng.choice([900_000.0, -900_000.0, 0.5]) for _ in range(200)]) for i in range(20)]
+    for given, size in ((rows, 4), (rows, 4096), (wide, 7)):
+        df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+        found = topk.nearest(df, "vec_id", "embedding", every=5, shard_rows=size).collect()
+        exact = {i: [int(x) * 256 if abs(x) > 2**60 else math.floor(256 * x) for x in v] for i, v in given}
+        expected = []
+        for q in exact:
+            scored = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=False)), i) for i, v in exact.items() if i != q)
+            expected += [(q, n, i, max(-(2**63), min(2**63 - 1, -x))) for n, (x, i) in enumerate(scored[:5], 1) if q % 5 == 0]
+        assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_sortable_scores():
+    values = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 10**40, -(10**40)]
+    assert sorted(values, key=topk.sortable) == sorted(values)
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 
@@ -441,6 +482,101 @@ def test_pieces_of_long_texts_add_up(monkeypatch):
     assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
 
 
+def test_rejection_of_texts_in_no_learned_language():
+    import pyarrow.parquet as pq
+
+    strange = [
+        "这是一个用中文写的句子，它应该被拒绝。我们不认识这种语言。", "Это предложение написано по-русски и должно быть отклонено.",
+        "Το ελληνικό κείμενο εδώ είναι άγνωστο σε εμάς", "これは日本語の文章です、知らない言葉です", "zxcvbnm qwrtpsdfg hjklmn bvcxz wrtplk qqqq xxxx",
+        "הטקסט הזה כתוב בעברית ולא באחת השפות", "x̶̷̸" * 30,
+    ]
+    for sf in ("sf0.001", "sf0.01"):
+        rows = pq.read_table(f"/root/testdata/{sf}/documents.parquet").to_pylist()
+        model = langid.train([(r["lang"], r["text"][:2000]) for r in rows if r["doc_id"] % 4])
+        held = [r["text"] for r in rows if not r["doc_id"] % 4]
+        assert sum(model.judge(held)[2]) >= 0.995 * len(held), sf
+        assert not any(model.judge(strange)[2]), sf
+
+
+def test_softmax_training_against_plain_gradients():
+    """The means, logits and probabilities of a model are those of counting n-grams one by one."""
+    model = langid.train([("a", "xyz xyzz"), ("b", "ubu bubu")] * 10)
+    text = "xyz bubu"
+    grams = [g for n in (3, 4) for w in f" {text} ".split(" ")[1:-1] for g in [f" {w} ".encode()[i : i + n] for i in range(len(w) + 3 - n)]]
+    rows = []
+    for g in grams:
+        data = np.frombuffer(g, np.uint8)
+        found = [b for _, b in langid.gram_buckets(data, (len(g),))][0]
+        rows.append(model.table[found[0]])
+    logits = np.mean([r[:-1] for r in rows], axis=0) + model.bias
+    chance = np.exp(logits / model.temperature - (logits / model.temperature).max())
+    name, score = model.predict([text])
+    assert score[0] == pytest.approx((chance / chance.sum()).max(), rel=1e-4) and name[0] == model.languages[int(chance.argmax())]
+
+
+def test_toxicity_with_clashing_columns_and_contradicting_labels(spark):
+    schema = "doc_id long, text string, toxic string, low_quality int, flagged double, p_toxic string, __key string"
+    rows = [(i, f"bad{i % 5} words here" if i % 3 == 0 else f"good{i} words there", "x", 1, 0.5, None, "k") for i in range(90)]
+    rows += [(3, "another text", None, None, None, None, None)] * 400 + [(None, "no key", None, None, None, None, None), (5, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    labels = [(i, 0, int(i % 3 == 0)) for i in range(90)] + [(0, 0, 0), (1, 1, 1), (None, 1, 1), (2, None, 1)]
+    marked = spark.createDataFrame(labels, "doc_id long, low_quality int, toxic int")
+    first = toxicity.fit_chain(docs, marked, "doc_id", "text", ["low_quality", "toxic"])
+    again = toxicity.fit_chain(docs.repartition(7), marked.orderBy("toxic"), "doc_id", "text", ["low_quality", "toxic"])
+    assert all(np.array_equal(a.weights, b.weights) and a.bias == b.bias for a, b in zip(first.models, again.models, strict=True))
+    found = toxicity.score_toxicity(docs, first, "text", ["doc_id"])
+    assert found.columns == ["doc_id", "p_low_quality", "p_toxic", "flagged"] and found.count() == len(rows)
+
+
+def test_chain_equals_plain_arithmetic(spark):
+    """Probabilities of a chain, summed feature by feature in plain Python."""
+    texts = [f"alpha beta {w}" for w in ("nasty", "kind", "rude", "calm")] * 15
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 2), int(i % 2 == 0)) for i in range(60)], "doc_id long, a int, b int")
+    chain = toxicity.fit_chain(docs, labels, "doc_id", "text", ["a", "b"])
+    for r in toxicity.score_toxicity(docs, chain, "text", ["text"]).distinct().collect():
+        earlier = []
+        for model in chain.models:
+            total = model.bias + sum(float(model.weights[f]) for f in toxicity.features(r["text"])) + sum(x * w for x, w in zip(earlier, model.earlier, strict=True))
+            earlier.append(1 / (1 + math.exp(-max(-30, min(30, total)))))
+        assert [r["p_a"], r["p_b"]] == pytest.approx(earlier, rel=1e-9)
+
+
+def test_naive_bayes_of_urls_equals_counting(spark):
+    urls = [f"http://{'shop' if i % 3 else 'news'}{i % 4}.example.com/{'en' if i % 2 else 'de'}/{i % 7}" for i in range(60)]
+    urls += [f"https://news.site.org/{w}" for w in ("en/1", "de/2", "shop")] + [None, "none", urls[0]]
+    pages = spark.createDataFrame([(i, u, "<p>shop news example site</p>", "x") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
+    rules = [("com/", urlfilter.ALLOW), ("example.com/en/", urlfilter.BLOCK)]
+    found = {r["page_id"]: r for r in urlfilter.judge_urls(pages, "page_id", "url", "html", rules).collect()}
+    words = Counter(w for _ in urls for w in ("shop", "news", "example", "site"))
+    split = urlfilter.Segmenter(dict(words)).split
+    bags = {}
+    for i, r in found.items():
+        splits = {run: list(split(run)) for run in re.findall("[a-z]+", r["host"] or "")}
+        bags[i] = [urlfilter.bucket(t) for t in urlfilter.tokens(r["host"] or "", r["path"] or "", splits)]
+    ruled = {i: r["verdict"] for i, r in found.items() if r["rule"]}
+    counts = {v: Counter(t for i, x in ruled.items() if x == v for t in bags[i]) for v in (urlfilter.ALLOW, urlfilter.BLOCK)}
+    seen = len({*counts["allow"], *counts["block"]})
+    number = Counter(ruled.values())
+    for i, r in found.items():
+        odds = math.log((number["block"] + 1) / (number["allow"] + 1))
+        for t in bags[i]:
+            if counts["allow"][t] + counts["block"][t]:
+                share = [(counts[v][t] + urlfilter.SMOOTHING) / (sum(counts[v].values()) + urlfilter.SMOOTHING * seen) for v in ("block", "allow")]
+                odds += math.log(share[0] / share[1])
+        assert r["block_odds"] == pytest.approx(odds), r
+        if not r["rule"]:
+            assert r["verdict"] == ("block" if odds > 0 else "allow")
+
+
+def test_frequent_words_are_counted_without_a_shuffle(spark, docs, vocabulary):
+    table = tokens.frequent_lengths(docs, "text", vocabulary)
+    plain = Counter(w for r in docs.collect() for line in (r["text"] or "").split("\n") for w in line.split(" ")[1:] if 0 < len(w) <= 32)
+    assert set(table) <= set(plain) and {"the", "x"} <= set(table)
+    plan = tokens.count_tokens(docs, "text", vocabulary, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_toxicity_chain_on_planted_words(spark):
     rng = random.Random(6)
     bad = ["wretchedfool", "vileskunk"]
