@@ -53,27 +53,26 @@ def extract_nested(spark, folder):
     return found.select("key", "offset", "detail_k", "kind", "amount")
 
 
-# orders as JSON documents: an object with an array of objects, some of the texts with a sign too many
+# orders as JSON documents: an object with an array of objects
 _LINE = """concat('{"line":', l_linenumber, ',"qty":', CAST(l_quantity AS INT), ',"flag":"', l_returnflag, '"}')"""
 
 
-def order_documents(spark, folder):
+def order_documents(spark, folder, broken=False):
+    """Every order as JSON text; ``broken`` puts a sign too many before some."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", F.expr(_LINE).alias("line"))
     arrays = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("line")), ",").alias("items"))
     # both sides by order key: the documents then lie in many partitions, however few files the orders have
     orders = table(spark, folder, "orders").repartition("o_orderkey").join(arrays, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     text = """concat('{"id":', o_orderkey, ',"buyer":{"key":', o_custkey, ',"segment":{"status":"', o_orderstatus, '"}},',
               '"total":', CAST(CAST(o_totalprice AS INT) AS STRING), ',"items":[', coalesce(items, ''), ']}')"""
-    broken = f"concat(CASE WHEN o_orderpriority = '1-URGENT' THEN ']' ELSE '' END, {text})"
-    return orders.select("o_orderkey", F.expr(broken).alias("doc"))
+    if broken:
+        text = f"concat(CASE WHEN o_orderpriority = '1-URGENT' THEN ']' ELSE '' END, {text})"
+    return orders.select("o_orderkey", F.expr(text).alias("doc"))
 
 
 @query(
     "json_extract_projection",
-    """SELECT o_orderkey,
-              CASE WHEN o_orderpriority <> '1-URGENT' THEN coalesce(big, '') END AS big_flags,
-              CASE WHEN o_orderpriority <> '1-URGENT' THEN coalesce(n, 0) END AS n_items,
-              CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderstatus END AS status
+    """SELECT o_orderkey, coalesce(big, '') AS big_flags, coalesce(n, 0) AS n_items, o_orderstatus AS status
        FROM orders LEFT JOIN (SELECT l_orderkey,
               string_agg(l_returnflag, ',' ORDER BY '{"line":' || l_linenumber || ',"qty":' || CAST(l_quantity AS INT) || ',"flag":"' || l_returnflag)
                 FILTER (WHERE l_quantity > 30) AS big, CAST(count(*) AS INT) AS n
@@ -96,8 +95,7 @@ def extract_projection(spark, folder):
 
 @query(
     "json_extract_object",
-    """SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT'
-              THEN concat('{"buyer":', o_custkey, ',"no":', o_orderkey, '}') END AS picked FROM orders""",
+    """SELECT o_orderkey, concat('{"buyer":', o_custkey, ',"no":', o_orderkey, '}') AS picked FROM orders""",
 )
 def extract_object(spark, folder):
     return json_ops.json_extract(
@@ -112,8 +110,7 @@ def filter_by_path(spark, folder):
 
 @query(
     "filter_by_path_truthy",
-    """SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT'
-       AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)""",
+    "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)",
 )
 def filter_truthy(spark, folder):
     return json_ops.filter_by_path(order_documents(spark, folder), "doc", "items[?qty > `40`]").select("o_orderkey")
@@ -149,13 +146,10 @@ def group_by_path_all(spark, folder):
 
 # --- F4, F5 --------------------------------------------------------------------------------------
 
-_WHOLE = "FROM orders WHERE o_orderpriority <> '1-URGENT'"
-
-
 @query(
     "parse_json_targets",
     f"""SELECT o_orderkey, o_orderkey AS id, o_custkey AS "buyer.key", o_orderstatus AS "buyer.segment.status",
-               CAST(NULL AS VARCHAR) AS absent {_WHOLE}""",
+               CAST(NULL AS VARCHAR) AS absent FROM orders""",
 )
 def parse_targets(spark, folder):
     targets = {"id": "bigint", "buyer.key": "bigint", "buyer.segment.status": "string", "absent": "string"}
@@ -166,7 +160,7 @@ def parse_targets(spark, folder):
     "parse_json_discovered",
     f"""SELECT o_orderkey, o_orderkey AS id, o_custkey AS "buyer.key", '{{"status":"' || o_orderstatus || '"}}' AS "buyer.segment",
                CAST(trunc(o_totalprice) AS BIGINT) AS total, items
-        FROM (SELECT * {_WHOLE}) LEFT JOIN (
+        FROM orders LEFT JOIN (
           SELECT l_orderkey, '[' || string_agg(t, ',' ORDER BY s) || ']' AS items FROM (
             SELECT l_orderkey, '{{"line":' || l_linenumber || ',"qty":' || CAST(l_quantity AS INT) || ',"flag":"' || l_returnflag || '"}}' AS s,
                    '{{"flag":"' || l_returnflag || '","line":' || l_linenumber || ',"qty":' || CAST(l_quantity AS INT) || '}}' AS t
@@ -197,7 +191,7 @@ def parse_expanded(spark, folder):
               count(*) FILTER (WHERE o_orderpriority <> '1-URGENT') AS valid FROM orders""",
 )
 def json_defects(spark, folder):
-    return flatten.json_defects(order_documents(spark, folder), "doc")
+    return flatten.json_defects(order_documents(spark, folder, broken=True), "doc")
 
 
 @query(
@@ -259,7 +253,7 @@ def dedupe_columns(spark, folder):
 @query(
     "dedupe_by_path",
     """SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS rn
-       FROM orders WHERE o_orderpriority <> '1-URGENT') WHERE rn = 1""",
+       FROM orders) WHERE rn = 1""",
 )
 def dedupe_path(spark, folder):
     # the id is an object: {"key": ..., "segment": {...}}
@@ -270,8 +264,7 @@ def dedupe_path(spark, folder):
 @query(
     "dedupe_counts",
     """SELECT (SELECT count(*) FROM orders) AS original_count,
-              (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE o_orderpriority <> '1-URGENT')) AS unique_count,
-              (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS skipped_count""",
+              (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) AS unique_count, CAST(0 AS BIGINT) AS skipped_count""",
 )
 def dedupe_counts(spark, folder):
     return event_ops.dedupe_counts(order_documents(spark, folder), column="doc", path="buyer")
@@ -281,13 +274,14 @@ _CORRELATED = """
     SELECT * FROM (
       SELECT user_id AS join_key, count(*) OVER (PARTITION BY user_id) AS event_count,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, batch, event_id) AS event_index, batch, ts AS event_time, event_id
-      FROM (SELECT *, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS batch FROM events WHERE event_type IN ('view', 'purchase')))
+      FROM (SELECT *, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS batch FROM events))
     WHERE event_count > 1"""
 
 
 def _batches(spark, folder):
+    """All events, one batch for each of the types."""
     events = table(spark, folder, "events")
-    return [events.filter("event_type = 'view'"), events.filter("event_type = 'purchase'")]
+    return [events.filter(F.col("event_type") == kind) for kind in ("click", "error", "purchase", "signup", "view")]
 
 
 @query("correlate", _CORRELATED)
@@ -312,21 +306,20 @@ def correlate_nested(spark, folder):
 
 
 def payloads(spark, folder):
-    """Documents as log payloads: framed, text, control-heavy, invalid UTF-8 and empty ones."""
+    """Documents as log payloads: framed, text, control-heavy and invalid UTF-8; whole texts in each."""
     raw = """CASE lang WHEN 'en' THEN encode(text, 'UTF-8')
                        WHEN 'de' THEN unhex(concat('00', lpad(hex(n_chars), 8, '0'), hex(encode(text, 'UTF-8'))))
                        WHEN 'fr' THEN unhex(concat('FF', hex(encode(text, 'UTF-8'))))
-                       ELSE CASE WHEN n_chars > 500 THEN CAST('' AS BINARY) ELSE unhex(repeat('0102', CAST(n_chars AS INT))) END END"""
+                       ELSE unhex(concat(repeat('0102', CAST(n_chars AS INT)), hex(encode(text, 'UTF-8')))) END"""
     return table(spark, folder, "documents").select("doc_id", F.expr(raw).alias("payload"))
 
 
 @query(
     "triage_payload",
-    """SELECT doc_id, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'framed' WHEN 'fr' THEN 'binary'
-                      ELSE CASE WHEN n_chars > 500 THEN 'empty' ELSE 'binary' END END AS payload_class,
+    """SELECT doc_id, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'framed' ELSE 'binary' END AS payload_class,
               CASE WHEN lang = 'de' THEN n_chars END AS schema_id,
               CASE lang WHEN 'en' THEN md5(text) WHEN 'fr' THEN md5(base64(from_hex('FF' || hex(encode(text)))))
-                   WHEN 'es' THEN CASE WHEN n_chars <= 500 THEN md5(base64(from_hex(repeat('0102', n_chars)))) END END AS text_md5,
+                   WHEN 'es' THEN md5(base64(from_hex(repeat('0102', n_chars) || hex(encode(text))))) END AS text_md5,
               CASE WHEN lang = 'de' THEN md5(text) END AS body_md5
        FROM documents""",
 )
@@ -343,8 +336,7 @@ def triage(spark, folder):
 
 @query(
     "triage_counts",
-    """SELECT CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'framed' WHEN 'fr' THEN 'binary'
-                   ELSE CASE WHEN n_chars > 500 THEN 'empty' ELSE 'binary' END END AS payload_class,
+    """SELECT CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'framed' ELSE 'binary' END AS payload_class,
               CASE WHEN lang = 'de' THEN n_chars END AS schema_id, count(*) AS n FROM documents GROUP BY ALL""",
 )
 def triage_counts(spark, folder):

@@ -62,10 +62,9 @@ def _resample_sql(step, where):
     SELECT a.ts::TIMESTAMP AS ts, round(m.value, 4) AS value FROM a LEFT JOIN m USING (ts)"""
 
 
-@query("resample_hourly_with_gaps", _resample_sql("hour", "event_type = 'purchase'"))
+@query("resample_hourly_with_gaps", _resample_sql("hour", "user_id >= 0"))
 def resample_hour(spark, folder):
-    purchases = table(spark, folder, "events").filter("event_type = 'purchase'")
-    return charts.resample(purchases, "ts", "value", "hour").withColumn("value", F.round("value", 4))
+    return charts.resample(table(spark, folder, "events"), "ts", "value", "hour").withColumn("value", F.round("value", 4))
 
 
 @query("resample_auto", _resample_sql("day", "user_id >= 0"))
@@ -101,17 +100,19 @@ def scatter(spark, folder):
 
 # --- E1, E3: two versions of the events table -----------------------------------------------------
 
-_A = "SELECT event_id, event_type, value FROM events WHERE event_type <> 'signup'"
-_B = """SELECT event_id, CASE WHEN event_type <> 'click' THEN event_type END AS event_type,
+# views have other ids on the second side, so that each side has events of its own
+_OTHER_ID = "CASE WHEN event_type = 'view' THEN event_id + 1000000000000 ELSE event_id END"
+_A = "SELECT event_id, event_type, value FROM events"
+_B = f"""SELECT {_OTHER_ID} AS event_id, CASE WHEN event_type <> 'click' THEN event_type END AS event_type,
                CASE WHEN event_type = 'error' AND value > 20 THEN value + 1 ELSE value END AS value
-        FROM events WHERE event_type <> 'view'"""
+        FROM events"""
 
 
 def _versions(spark, folder):
     events = table(spark, folder, "events")
-    a = events.filter("event_type <> 'signup'").select("event_id", "event_type", "value")
-    b = events.filter("event_type <> 'view'").select(
-        "event_id",
+    a = events.select("event_id", "event_type", "value")
+    b = events.select(
+        F.expr(_OTHER_ID).alias("event_id"),
         F.expr("CASE WHEN event_type <> 'click' THEN event_type END").alias("event_type"),
         F.expr("CASE WHEN event_type = 'error' AND value > 20 THEN value + 1 ELSE value END").alias("value"),
     )
@@ -235,38 +236,43 @@ def diff_by_checksum_summary(spark, folder):
 
 
 # repeated keys: the same order and line number occurs several times in lineitem
+_LINE_KEY = "CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * (l_orderkey * 10 + l_linenumber)"
+_LINE_STATUS = "CASE WHEN l_tax > 0.05 THEN 'X' ELSE l_linestatus END"
+
+
 @query(
     "diff_repeated_keys",
-    """
-    WITH a AS (SELECT l_orderkey AS k, count(*) AS n, min(l_linestatus) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
-         b AS (SELECT l_orderkey AS k, count(*) AS n, min(l_linestatus) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    f"""
+    WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS k, count(*) AS n, min(l_linestatus) AS s FROM lineitem GROUP BY 1),
+         b AS (SELECT {_LINE_KEY} AS k, count(*) AS n, min({_LINE_STATUS}) AS s FROM lineitem GROUP BY 1)
     SELECT CASE WHEN a.n > 1 OR b.n > 1 THEN 'duplicate' WHEN b.n IS NULL THEN 'only_in_a' WHEN a.n IS NULL THEN 'only_in_b'
                 WHEN a.s = b.s THEN 'same' ELSE 'changed' END AS status, count(*) AS n
     FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""",
 )
 def diff_repeated(spark, folder):
     lines = table(spark, folder, "lineitem")
-    a = lines.filter("l_returnflag = 'A'").select("l_orderkey", "l_linestatus")
-    b = lines.filter("l_returnflag = 'R'").select("l_orderkey", "l_linestatus")
-    keys = compare.diff_tables(a, b, "l_orderkey", ["l_linestatus"]).keys
+    a = lines.selectExpr("l_orderkey * 10 + l_linenumber AS line", "l_linestatus AS status")
+    b = lines.selectExpr(f"{_LINE_KEY} AS line", f"{_LINE_STATUS} AS status")
+    keys = compare.diff_tables(a, b, "line", ["status"]).keys
     return keys.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-_COUNTS = """
-    SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS left_count,
-           count(*) FILTER (WHERE event_type = 'click') AS right_count,
-           count(*) FILTER (WHERE event_type = 'view') - count(*) FILTER (WHERE event_type = 'click') AS diff
-    FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id"""
+# the second side has each click under another user
+_OTHER_USER = "CASE event_type WHEN 'click' THEN user_id + 1 WHEN 'error' THEN -user_id ELSE user_id END"
+_COUNTS = f"""
+    SELECT user_id, CAST(sum(l) AS BIGINT) AS left_count, CAST(sum(r) AS BIGINT) AS right_count, CAST(sum(l) - sum(r) AS BIGINT) AS diff
+    FROM (SELECT user_id, CAST(1 AS BIGINT) AS l, CAST(0 AS BIGINT) AS r FROM events UNION ALL SELECT {_OTHER_USER}, 0, 1 FROM events)
+    GROUP BY user_id"""
 
 
-def _views_clicks(spark, folder):
+def _users(spark, folder):
     events = table(spark, folder, "events")
-    return events.filter("event_type = 'view'"), events.filter("event_type = 'click'")
+    return events.select("user_id"), events.select(F.expr(_OTHER_USER).alias("user_id"))
 
 
 @query("reconcile_counts", _COUNTS)
 def reconcile(spark, folder):
-    return compare.reconcile_counts(*_views_clicks(spark, folder), "user_id").counts
+    return compare.reconcile_counts(*_users(spark, folder), "user_id").counts
 
 
 @query(
@@ -277,7 +283,7 @@ def reconcile(spark, folder):
         FROM ({_COUNTS})""",
 )
 def reconcile_summary(spark, folder):
-    return compare.reconcile_counts(*_views_clicks(spark, folder), "user_id").summary
+    return compare.reconcile_counts(*_users(spark, folder), "user_id").summary
 
 
 @query(
@@ -285,7 +291,7 @@ def reconcile_summary(spark, folder):
     f"SELECT * FROM ({_COUNTS}) WHERE diff <> 0 ORDER BY abs(diff) DESC, user_id LIMIT 200",
 )
 def reconcile_examples(spark, folder):
-    return compare.reconcile_counts(*_views_clicks(spark, folder), "user_id").examples
+    return compare.reconcile_counts(*_users(spark, folder), "user_id").examples
 
 
 # --- E2, E4, E5, E6 ------------------------------------------------------------------------------

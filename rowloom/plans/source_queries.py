@@ -113,14 +113,14 @@ def _table_name(prefix):
 
 @query(
     "ctas_export_partitioned",
-    "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 100000",
+    "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
 )
 def ctas(spark, folder):
     table(spark, folder, "orders").createOrReplaceTempView("rowloom_ctas_orders")
     name, where = _table_name("orders"), _new(spark, "ctas")
     made = warehouse.ctas_export(
         spark,
-        "SELECT o_orderkey, o_totalprice, o_orderpriority FROM rowloom_ctas_orders WHERE o_totalprice > 100000",
+        "SELECT o_orderkey, o_totalprice, o_orderpriority FROM rowloom_ctas_orders",
         name,
         "PARQUET",
         where,

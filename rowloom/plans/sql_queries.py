@@ -143,18 +143,18 @@ for _entry in _TEXTS:
 @query(
     "sql_asof_join",
     """SELECT p.event_id, v.event_id AS view_id
-       FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+       FROM (SELECT * FROM events WHERE event_type <> 'view') p
        ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
 )
 def asof(spark, folder):
-    """Last view before each purchase.
+    """Last view before each other event.
 
     Both kinds are stacked per user and day; a running last-value fills in views of the same day,
     and the last view of the nearest earlier day fills the rest. No pairs of events are built, and
     a busy user is spread over as many tasks as there are days.
     """
     text = """
-      WITH e AS (SELECT user_id, ts, event_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('purchase', 'view')),
+      WITH e AS (SELECT user_id, ts, event_id, event_type, CAST(ts AS DATE) AS day FROM events),
            inside AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END) IGNORE NULLS
                         OVER (PARTITION BY user_id, day ORDER BY ts, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END
                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS view_id FROM e),
@@ -163,7 +163,7 @@ def asof(spark, folder):
            earlier AS (SELECT user_id, day, last_value(last_view) IGNORE NULLS
                         OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM days)
       SELECT i.event_id, coalesce(i.view_id, d.before) AS view_id
-      FROM inside i JOIN earlier d ON i.user_id = d.user_id AND i.day = d.day WHERE i.event_type = 'purchase'"""
+      FROM inside i JOIN earlier d ON i.user_id = d.user_id AND i.day = d.day WHERE i.event_type <> 'view'"""
     return sql.sql_query(spark, text, {"events": table(spark, folder, "events")})
 
 

@@ -61,8 +61,7 @@ def filter_extract(spark, folder):
 
 @query(
     "stream_triage",
-    """SELECT doc_id, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'framed' WHEN 'fr' THEN 'binary'
-                      ELSE CASE WHEN n_chars > 500 THEN 'empty' ELSE 'binary' END END AS payload_class,
+    """SELECT doc_id, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'framed' ELSE 'binary' END AS payload_class,
               CASE WHEN lang = 'de' THEN n_chars END AS schema_id FROM documents""",
 )
 def triage(spark, folder):

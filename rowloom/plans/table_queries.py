@@ -170,17 +170,15 @@ def join_inner(spark, folder):
 
 # Events with a nullable kind against one row per nullable kind: every key of the left is hot, both
 # sides have a missing key and keys of their own, and no row has more than one partner.
-_EVENTS = f"SELECT {_NULLED} AS kind, event_id FROM events WHERE event_type <> 'purchase'"
-_KINDS = """SELECT CASE WHEN event_type <> 'click' THEN event_type END AS kind, count(*) AS n
-            FROM events WHERE event_type <> 'view' GROUP BY 1"""
+_EVENTS = f"SELECT {_NULLED} AS kind, event_id FROM events"
+_RENAMED = "CASE event_type WHEN 'click' THEN NULL WHEN 'view' THEN 'seen' ELSE event_type END"
+_KINDS = f"SELECT {_RENAMED} AS kind, count(*) AS n FROM events GROUP BY 1"
 
 
 def _kinds(spark, folder):
     events = table(spark, folder, "events")
-    left = events.filter("event_type <> 'purchase'").select(F.expr(_NULLED).alias("kind"), "event_id")
-    right = events.filter("event_type <> 'view'").groupBy(
-        F.expr("CASE WHEN event_type <> 'click' THEN event_type END").alias("kind")
-    )
+    left = events.select(F.expr(_NULLED).alias("kind"), "event_id")
+    right = events.groupBy(F.expr(_RENAMED).alias("kind"))
     return left, right.agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -206,8 +204,11 @@ def join_outer_plain(spark, folder):
     return joins.join(*_kinds(spark, folder), "kind", "outer", null_safe=False)
 
 
-_L = "SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS key FROM orders WHERE o_totalprice > 300000"
-_R = "SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS key FROM customer WHERE c_acctbal > 9000"
+# keys of one side only are negative or beyond all others
+_ORDER_KEY = "CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_totalprice > 400000 THEN -o_custkey ELSE o_custkey END END"
+_CUSTOMER_KEY = "CASE WHEN c_mktsegment <> 'BUILDING' THEN CASE WHEN c_acctbal > 5000 THEN c_custkey + 1000000000 ELSE c_custkey END END"
+_L = f"SELECT {_ORDER_KEY} AS key FROM orders"
+_R = f"SELECT {_CUSTOMER_KEY} AS key FROM customer"
 
 
 @query(
@@ -216,13 +217,9 @@ _R = "SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS key FROM
           SELECT key, TRUE AS l, FALSE AS r FROM ({_L}) UNION ALL SELECT key, FALSE, TRUE FROM ({_R})) GROUP BY key""",
 )
 def key_presence(spark, folder):
-    orders = table(spark, folder, "orders").filter("o_totalprice > 300000")
-    customer = table(spark, folder, "customer").filter("c_acctbal > 9000")
-    return joins.key_presence(
-        orders.select(F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_custkey END").alias("key")),
-        customer.select(F.expr("CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END").alias("key")),
-        "key",
-    )
+    orders = table(spark, folder, "orders").select(F.expr(_ORDER_KEY).alias("key"))
+    customer = table(spark, folder, "customer").select(F.expr(_CUSTOMER_KEY).alias("key"))
+    return joins.key_presence(orders, customer, "key")
 
 
 # --- D1 - D4 -------------------------------------------------------------------------------------
