@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.operators import aggregate, joins, select
+from rowloom.operators import aggregate, joins, select, skew
 from rowloom.plans.catalog import query, table
 
 # Text order is by bytes on both engines; money columns are summed as decimals so that the
@@ -204,6 +204,31 @@ def join_outer_plain(spark, folder):
     return joins.join(*_kinds(spark, folder), "kind", "outer", null_safe=False)
 
 
+# a third of the events and a fiftieth of the customers share one key
+_HOT_EVENT = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END"
+_HOT_CUSTOMER = "CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE c_custkey END"
+
+
+@query(
+    "join_outer_skewed",
+    f"""SELECT coalesce(l.key, r.key) AS key, count(*) AS n, count(event_id) AS events, count(c_custkey) AS customers,
+               CAST(sum(event_id) AS BIGINT) AS event_sum, CAST(sum(c_custkey) AS BIGINT) AS customer_sum
+        FROM (SELECT {_HOT_EVENT} AS key, event_id FROM events) l
+        FULL JOIN (SELECT {_HOT_CUSTOMER} AS key, c_custkey FROM customer) r ON l.key = r.key GROUP BY ALL""",
+)
+def join_outer_skewed(spark, folder):
+    left = table(spark, folder, "events").select(F.expr(_HOT_EVENT).alias("key"), "event_id")
+    right = table(spark, folder, "customer").select(F.expr(_HOT_CUSTOMER).alias("key"), "c_custkey")
+    pairs = skew.join_skewed(left, right, "key", "outer")
+    return pairs.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("event_id").alias("events"),
+        F.count("c_custkey").alias("customers"),
+        F.sum("event_id").alias("event_sum"),
+        F.sum("c_custkey").alias("customer_sum"),
+    )
+
+
 # keys of one side only are negative or beyond all others
 _ORDER_KEY = "CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_totalprice > 400000 THEN -o_custkey ELSE o_custkey END END"
 _CUSTOMER_KEY = "CASE WHEN c_mktsegment <> 'BUILDING' THEN CASE WHEN c_acctbal > 5000 THEN c_custkey + 1000000000 ELSE c_custkey END END"
