@@ -216,13 +216,21 @@ def exact_quantiles(
         for i in range(len(columns))
         for j, q in enumerate(quantiles)
     ]
-    bands = sketch.select(F.inline(F.array(*rows)))  # columns x quantiles rows, so broadcast is safe
+    return quantiles_in_bands(df, columns, sketch.select(F.inline(F.array(*rows))))
 
+
+def quantiles_in_bands(df: DataFrame, columns: Sequence[str], bands: DataFrame) -> DataFrame:
+    """(column, q, value) where ``bands`` says between which values each quantile lies; the second pass of the above.
+
+    ``bands`` has a row per column and quantile: ``at`` (place in ``columns``), ``q``, ``low``, ``high`` and the
+    ``position`` of the quantile among the present values, counted from 0.
+    """
+    values = [present(df, c).cast("double") for c in columns]
     cells = cell_rows(df, [{"at": F.lit(i), "value": v} for i, v in enumerate(values)])
     inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
     counted = (
         cells.filter(F.col("value").isNotNull())
-        .join(F.broadcast(bands), "at")
+        .join(F.broadcast(bands), "at")  # columns x quantiles rows
         .filter(F.col("value") <= F.col("high"))
         .groupBy("at", "q", "position", "low", "high", inside.alias("value"))  # null: all rows below the band
         .agg(F.count(F.lit(1)).alias("n"))

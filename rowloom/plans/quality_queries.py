@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.operators import charts, compare, profile, quality
+from rowloom.operators import charts, compare, profile, quality, sketches
 from rowloom.plans.catalog import query, table
 from rowloom.session import scratch_path
 
@@ -588,3 +588,35 @@ def evidence(spark, folder):
         rows.alias("parquet_rows"),
         csv_rows.alias("csv_rows"),
     )
+
+
+# --- E6, D3 from stored sketches ------------------------------------------------------------------
+
+_NUMBERS = ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_ONE_COLUMN = """SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS missing, CAST(min({c}) AS DOUBLE) AS minimum,
+    CAST(max({c}) AS DOUBLE) AS maximum, round(avg({c}), 4) AS mean, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS p25,
+    round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS p75 FROM lineitem"""
+
+
+@query("profile_from_sketches", " UNION ALL ".join(_ONE_COLUMN.format(c=c) for c in _NUMBERS))
+def profile_from_sketches(spark, folder):
+    """Order lines that arrive in two loads: each load's files are sketched once, quantiles are made exact in one pass."""
+    lines = table(spark, folder, "lineitem").select(*_NUMBERS, "l_orderkey")
+    data, store = scratch_path(spark, "sketched"), scratch_path(spark, "sketches")
+    for load in (0, 1):
+        lines.where(F.pmod("l_orderkey", F.lit(2)) == load).drop("l_orderkey").write.mode("append").parquet(data)
+        sketches.refresh_sketches(spark, data, store)
+    profile = sketches.sketched_profile(spark, data, store)
+    exact = sketches.exact_quantiles_from(spark, data, store, _NUMBERS)
+    wide = exact.groupBy("column").agg(
+        *[F.max(F.when(F.col("q") == q, F.round("value", 6))).alias(n) for n, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
+    )
+    shown = profile.select(
+        "column",
+        "n_rows",
+        "missing",
+        F.col("minimum").cast("double").alias("minimum"),
+        F.col("maximum").cast("double").alias("maximum"),
+        F.round("mean", 4).alias("mean"),
+    )
+    return shown.join(wide, "column")
