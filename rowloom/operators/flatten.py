@@ -13,11 +13,25 @@ from rowloom.functions.columns import col, require, type_of, with_once
 from rowloom.functions.json_values import is_array_text, is_object_text
 from rowloom.operators.json_ops import parsed
 from rowloom.operators.quality import variant_path
+from rowloom.session import materialize
 
 ENVELOPE = ("partition", "offset", "timestamp", "key", "value", "headers")
 _POSITION = ("partition", "offset", "timestamp", "key")
-# More distinct header names than this can't all be columns.
-MAX_HEADERS = 1000
+HEADERS = ("columns", "map")
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """The parsed rows, written with their variants shredded: what reads them next reads neither input nor text again."""
+    conf = rows.sparkSession.conf
+    wanted = {"spark.sql.variant.writeShredding.enabled": "true", "spark.sql.variant.inferShreddingSchema": "true"}
+    before = {name: conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            conf.set(name, value)
+        return materialize(rows, "parsed")
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def discover_schema(df: DataFrame, value: Column) -> T.StructType:
@@ -90,8 +104,8 @@ def parse_json_column(
     Rows with missing, blank or broken text are dropped; :func:`json_defects` counts them.
     ``target_columns`` are dotted paths, optionally with types; they always appear, null where
     absent. Otherwise all top-level fields appear, nested objects opened one level as ``a.b``,
-    arrays as JSON text (an empty one as null); their names come from ``schema`` or from one pass
-    over the data. With ``expand_arrays`` each array element becomes a row; elements that are
+    arrays as JSON text (an empty one as null); their names come from ``schema``, or the parsed rows
+    are written once and read twice, for the names and for the result. With ``expand_arrays`` each array element becomes a row; elements that are
     text are parsed again and dropped if broken; an empty array gives no row. New fields replace
     columns of the same name. A pass for the names that finds no valid JSON at all is an error.
     """
@@ -103,6 +117,7 @@ def parse_json_column(
         fields = {t: _target(value, t, dtype) for t, dtype in types.items()}
     else:
         if schema is None:
+            rows = _stored(rows.select(*[col(c) for c in df.columns if c != column], "__json"))
             schema, n_valid = discover_fields(rows, value)
             if not n_valid:
                 raise ToolkitError(f"no valid JSON in column {column!r}")
@@ -154,10 +169,22 @@ def json_defects(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _unprintable(text: Column) -> Column:
+    return text.rlike(r"[\p{C}\p{Z}&&[^ ]]")
+
+
+def _named_header(entry: Column) -> Column:
+    """A header under the name that its column would have."""
+    name, text = F.concat(F.lit("header_"), entry["key"]), entry["value"]
+    encoded = F.struct(F.concat(name, F.lit("_base64")).alias("key"), F.base64(F.encode(text, "UTF-8")).alias("value"))
+    return F.when(_unprintable(text), encoded).otherwise(F.struct(name.alias("key"), text.alias("value")))
+
+
 def flatten_envelope(
     df: DataFrame,
     schema: T.StructType | str | None = None,
     header_names: Sequence[str] | None = None,
+    headers: str = "columns",
 ) -> DataFrame:
     """Event envelopes to flat columns: position and key first, the rest in alphabetical order.
 
@@ -168,16 +195,23 @@ def flatten_envelope(
     Where two fields meet in one name, the first present value counts, as text if their types
     differ. Missing positions stay null.
 
-    ``schema`` and ``header_names`` save the passes that discover them; a stream needs both. More
-    than ``MAX_HEADERS`` header names are an error: a producer that writes ids into the names needs
-    ``header_names``, which then picks the columns.
+    ``schema`` and ``header_names`` say what to look for; a stream needs both. What is not given is
+    discovered: the parsed events are written once, then read for the names and for the result. With
+    ``headers="map"`` all headers come as one map column ``headers`` with the same names and values,
+    which suits producers that write ids into the names, and no names are looked for.
     """
     require(df, ENVELOPE)
-    headers = col("headers")
+    if headers not in HEADERS:
+        raise ToolkitError(f"headers must be one of {list(HEADERS)}, not {headers!r}")
+    given = col("headers")
     if not isinstance(type_of(df, "headers"), T.MapType):
-        headers = F.from_json(headers, "map<string,string>")
-    rows = with_once(df, "__json", parsed("value")).withColumn("__headers", headers)
+        given = F.from_json(given, "map<string,string>")
+    rows = with_once(df, "__json", parsed("value")).withColumn("__headers", given)
     variant = F.col("__json")
+    if headers == "map":
+        header_names = header_names or []
+    if schema is None or header_names is None:
+        rows = _stored(rows.select(*[col(c) for c in _POSITION], "value", "__json", "__headers"))
 
     if schema is None:
         schema = discover_schema(rows, variant)
@@ -185,12 +219,9 @@ def flatten_envelope(
         schema = T.StructType.fromDDL(schema)
     if header_names is None:
         names = rows.select(F.explode(F.map_keys("__headers")).alias("h")).distinct()
-        found = names.limit(MAX_HEADERS + 1).collect()
-        if len(found) > MAX_HEADERS:
-            raise ToolkitError(f"more than {MAX_HEADERS} header names; choose some by header_names")
-        header_names = sorted(r["h"] for r in found)
+        header_names = sorted(r["h"] for r in names.collect())
 
-    reserved = {*_POSITION, "value", *(f"header_{n}{end}" for n in header_names for end in ("", "_base64"))}
+    reserved = {*_POSITION, "value", *(["headers"] if headers == "map" else []), *(f"header_{n}{end}" for n in header_names for end in ("", "_base64"))}
     met: dict[str, list[tuple[tuple[str, ...], T.DataType]]] = {}
     for path, dtype in _leaves(schema, None):
         name = "_".join(path)
@@ -210,9 +241,11 @@ def flatten_envelope(
 
     for name in header_names:
         text = F.when(F.col("__headers")[name] != "", F.col("__headers")[name])
-        unprintable = text.rlike(r"[\p{C}\p{Z}&&[^ ]]")
-        outputs[f"header_{name}"] = F.when(~unprintable, text)
-        outputs[f"header_{name}_base64"] = F.when(unprintable, F.base64(F.encode(text, "UTF-8")))
+        outputs[f"header_{name}"] = F.when(~_unprintable(text), text)
+        outputs[f"header_{name}_base64"] = F.when(_unprintable(text), F.base64(F.encode(text, "UTF-8")))
+    if headers == "map":
+        filled = F.filter(F.map_entries("__headers"), lambda e: e["value"] != "")
+        outputs["headers"] = F.map_from_entries(F.transform(filled, _named_header))
 
     clash = set(outputs) & set(_POSITION)
     if clash:
