@@ -15,3 +15,7 @@ class UnknownDatasetError(ToolkitError):
 
 class ReadOnlyError(ToolkitError):
     """A SQL text is not a single read-only statement."""
+
+
+class ConflictError(ToolkitError):
+    """A dataset was replaced by another writer in the meantime."""

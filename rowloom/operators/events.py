@@ -111,7 +111,9 @@ def dedupe_by_id(
     row per id before the shuffle, so an id with millions of copies sends one per task.
     """
     keyed, there = _with_id(df, id_cols, column, path)
-    return first_per_group(keyed.filter(there), [F.col("__id")], ordering(df, order_by), 1, "__rank").drop("__id", "__rank")
+    # plain columns as keys: a table clustered by them needs no shuffle
+    keys = [F.col("__id")] if path is not None else [col(n) for n in as_list(id_cols)]
+    return first_per_group(keyed.filter(there), keys, ordering(df, order_by), 1, "__rank").drop("__id", "__rank")
 
 
 def dedupe_counts(

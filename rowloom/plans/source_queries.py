@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from rowloom.operators import sql
+from rowloom.operators import joins
 from rowloom.plans.catalog import TABLES, query, table
 from rowloom.plans.event_queries import _ENVELOPE_SQL, envelope
 from rowloom.session import scratch_path
@@ -52,6 +53,21 @@ def dataset_overwrite(spark, folder):
     return store.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
+@query(
+    "join_clustered_datasets",
+    """SELECT o_orderkey, o_totalprice, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice
+       FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+)
+def join_clustered(spark, folder):
+    """Two datasets clustered by the order key: their join needs no shuffle."""
+    store = datasets.Datasets(spark, _new(spark, "datasets"))
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    store.write(table(spark, folder, "orders"), "orders", cluster_by="o_orderkey", buckets=16)
+    store.write(lines, "lines", cluster_by="o_orderkey", buckets=16)
+    joined = joins.join(store.read("orders"), store.read("lines"), "o_orderkey")
+    return joined.select("o_orderkey", "o_totalprice", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
 @query(
     "list_and_describe_datasets",
     """SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS "rows", 6 AS n_columns

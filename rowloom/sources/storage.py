@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -40,3 +42,35 @@ def entries(spark: SparkSession, path: str) -> list[Entry]:
 def delete_folder(spark: SparkSession, path: str) -> bool:
     system, where = _open(spark, path)
     return system.delete(where, True)
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its whole content, or return False if there is one already; two callers never both succeed.
+
+    The content goes to a file of its own first. Hadoop's file systems do not replace a file by a rename; the local
+    one does, so there the file gets its name by a hard link.
+    """
+    system, where = _open(spark, path)
+    draft, name = _open(spark, f"{where.getParent().toString()}/_draft-{uuid.uuid4().hex}")
+    stream = draft.create(name, False)
+    stream.write(text.encode("utf-8"))
+    stream.close()
+    if system.getScheme() != "file":
+        made = not system.exists(where) and system.rename(name, where)
+    else:
+        try:
+            os.link(name.toUri().getPath(), where.toUri().getPath())
+            made = True
+        except FileExistsError:
+            made = False
+    draft.delete(name, False)
+    return made
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, where = _open(spark, path)
+    stream = system.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
