@@ -17,7 +17,6 @@ from rowloom.operators.select import PREVIEW_ROWS, sample_random
 # Fixed values of the "auto" time step and of histograms.
 HOURLY_UP_TO_DAYS = 3
 BINS = 30
-MAX_SERIES = 100
 STEPS = {"second": "1 second", "minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days"}
 
 
@@ -58,18 +57,19 @@ def pivot_data(
     y: str,
     agg: str = "mean",
     values: Sequence[Any] | None = None,
-    max_series: int = MAX_SERIES,
+    max_series: int | None = None,
 ) -> DataFrame:
     """One row per x, one column per value of ``series``.
 
-    Give ``values`` to save the pass that finds them. More than ``max_series`` values is an
-    error: such a table is too wide for a chart, and dropping series would falsify it.
+    Give ``values`` to save the pass that finds them. With ``max_series``, more values are an
+    error: such a table may be too wide for a chart, and dropping series would falsify it.
     """
     require(df, [x, series, y])
     kept = df.filter(present(df, x).isNotNull() & present(df, series).isNotNull())
     if values is None:
-        found = kept.select(col(series).alias("s")).distinct().limit(max_series + 1).collect()
-        if len(found) > max_series:
+        distinct = kept.select(col(series).alias("s")).distinct()
+        found = (distinct if max_series is None else distinct.limit(max_series + 1)).collect()
+        if max_series is not None and len(found) > max_series:
             raise ToolkitError(f"{series!r} has more than {max_series} values; choose another series column")
         values = sorted(r["s"] for r in found)
     return kept.groupBy(col(x)).pivot(series, list(values)).agg(aggregate_column(df, y, agg))

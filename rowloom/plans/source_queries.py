@@ -6,8 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rowloom.operators import sql
-from rowloom.operators import joins
+from rowloom.operators import joins, sql
 from rowloom.plans.catalog import TABLES, query, table
 from rowloom.plans.event_queries import _ENVELOPE_SQL, envelope
 from rowloom.session import scratch_path

@@ -35,8 +35,9 @@ def build_session(app_name: str = "rowloom", master: str | None = None, **conf:
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    A session without that setting uses the folder of its warehouse, which executors share as
-    well. There is no machine-local fallback.
+    A session without that setting uses the folder of its warehouse. On a cluster one of the two has
+    to be a folder that all executors share; Spark's own default for the warehouse is a folder of the
+    driver's machine, which suits local mode only.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
