@@ -89,10 +89,10 @@ class _Open:
     """An open element; ``own`` is the nearest block element, ``names`` has bits for the nearest class or id, both its own ones
     included."""
 
-    __slots__ = ("tag", "around", "names", "landmark", "number", "silent", "link", "outer", "own")
+    __slots__ = ("tag", "around", "names", "named", "landmark", "number", "silent", "link", "outer", "own")
 
     def __init__(self, tag: str, around: int, names: int, number: int, outer: _Open | None):
-        self.names = names or (outer.names if outer else 0)
+        self.names, self.named = names or (outer.names if outer else 0), bool(names)
         self.tag, self.around, self.number, self.outer = tag, around, number, outer
         self.own = self if outer is None or tag in BLOCKS else outer.own
         self.landmark = tag if tag in LANDMARKS or outer is None else outer.landmark
@@ -127,7 +127,8 @@ class Reader:
             if text.isspace():
                 return
             own = top.own
-            outer = own.outer.own if own.tag in LEAVES else own
+            # a paragraph with a known name of its own is a container of its own
+            outer = own.outer.own if own.tag in LEAVES and not own.named else own
             self.block = Block(own.tag, outer.tag, top.landmark, outer.number, top.around | top.names)
         self.block.pieces.append(text)
         if top.link:

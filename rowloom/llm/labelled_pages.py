@@ -48,14 +48,19 @@ PHRASES = {
 }
 TAGS = {
     "content": ("article", "main", "div", "section"), "menu": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"),
-    "sidebar": ("aside", "div", "section"), "notice": ("div", "section", "aside", "p"), "advert": ("div", "aside", "section"),
-    "comments": ("section", "div", "ol", "ul", "article"), "form": ("form",), "share": ("div", "ul"),
+    "sidebar": ("aside", "div", "section"), "notice": ("div", "div", "section", "aside", "p"), "advert": ("div", "div", "aside", "section", "p"),
+    "comments": ("section", "div", "div", "ol", "ul", "article"), "form": ("form",), "share": ("div", "ul", "p"),
+    "unseen": ("div", "p", "section"),
 }
 # Elements that tell by themselves what they hold.
 PLAIN = {"content": ("article", "main"), "menu": ("nav",), "header": ("header",), "footer": ("footer",), "sidebar": ("aside",), "form": ("form",)}
 SYLLABLES = "ba be bi co cu da de di fa fe ga go ha he in ja ka la le li ma me mi na ne no on pa re ri sa se si ta te ti un va ve wo za".split()
 
 
+def rng_join(rng: random.Random, parts: list[str]) -> str:
+    return rng.choice((" &gt; ", " / ", " » ")).join(parts)
+
+
 class PageMaker:
     """Makes one page; ``main`` collects the texts of its blocks that belong to the article."""
 
@@ -91,7 +96,11 @@ class PageMaker:
     def links(self, low: int, high: int) -> str:
         given = [self.phrase("menu") if self.rng.random() < 0.2 else self.words(1, 4) for _ in range(self.rng.randrange(low, high))]
         anchors = [f'<a href="/{self.word()}">{escape(g)}</a>' for g in given]
-        kind = self.rng.randrange(4)
+        kind = self.rng.randrange(6)
+        if kind == 4:  # a path to the page
+            return rng_join(self.rng, anchors) + escape(self.rng.choice(("", " > ", " / ")) + self.words(1, 6))
+        if kind == 5:
+            return self.words(1, 3).capitalize() + ": " + ", ".join(anchors)
         if kind < 2:
             return "<ul>" + "".join(f"<li>{a}</li>" for a in anchors) + "</ul>"
         return " | ".join(anchors) if kind == 2 else "".join(f"<div>{a}</div>" for a in anchors)
@@ -99,13 +108,14 @@ class PageMaker:
     def phrase(self, kind: str) -> str:
         return self.rng.choice(PHRASES[kind].split("|"))
 
-    def clutter(self, kind: str) -> str:
-        unnamed = not self.named and kind in PLAIN
+    def clutter(self, kind: str, named: bool = False) -> str:
+        unnamed = not (self.named or named) and kind in PLAIN
         rng = self.rng
         if kind == "menu":
             inner = self.links(3, 12)
         elif kind == "header":
-            inner = rng.choice(("<h1>{}</h1>", "<div>{}</div>", "<p>{}</p>", "{}")).format(escape(rng.choice((self.phrase(kind), self.words(1, 5)))))
+            form = rng.choice(("<h1>{}</h1>", "<div>{}</div>", "<p>{}</p>", "{}", f"<h1>{{}}</h1><p>{self.sentences(1, 3)}</p>"))
+            inner = form.format(escape(rng.choice((self.phrase(kind), self.words(1, 5)))))
             inner += self.links(2, 6) if rng.random() < 0.4 else ""
         elif kind == "footer":
             inner = rng.choice(("<p>{}</p>", "{}", "<div>{}</div>")).format(rng.choice((escape(self.phrase(kind)), f"&copy; {self.word()}.org &middot; {self.sentences(1, 3)}", self.sentences(1, 3))))
@@ -126,6 +136,10 @@ class PageMaker:
         elif kind == "form":
             fields = (f"<label>{self.phrase(kind)}</label><input name='x'>" for _ in range(rng.randrange(1, 4)))
             inner = "".join(fields) + f"<button>{self.phrase(kind)}</button><textarea>{self.words(1, 9)}</textarea>"
+        elif kind == "unseen":
+            hidden = rng.choice((' style="display:none"', ' style="display: none;"', " hidden", ' aria-hidden="true"'))
+            tag = rng.choice(TAGS[kind])
+            return f"<{tag}{hidden}>{self.sentences(1, 5)}</{tag}>"
         else:
             inner = rng.choice((self.links(2, 5), escape(self.phrase("share"))))
         return self.element(kind, inner, unnamed)
@@ -148,6 +162,13 @@ class PageMaker:
         )
 
     def article_block(self) -> str:
+        block = self.plain_block()
+        if self.named and self.rng.random() < 0.04 and block.startswith("<p>"):
+            names = self.rng.sample([*NAMES["content"].split(), "lead", "intro", "summary", "quote", self.word()], 1)[0]
+            return f'<p class="{names}">{block[3:]}'
+        return block
+
+    def plain_block(self) -> str:
         rng = self.rng
         kind = rng.random()
         if kind < 0.1:
@@ -181,11 +202,11 @@ class PageMaker:
             self.main.append(title)
             heading = f"<h1>{title}</h1>"
             parts.append(f"<header>{heading}</header>" if rng.random() < 0.15 else heading)
-        inside = ("advert", "share", "sidebar", "notice", "menu")
+        inside = ("advert", "share", "sidebar", "notice", "menu", "comments", "form", "unseen", "footer")
         for _ in range(rng.choice((1, 1, 2, 4, 8, 16))):
             parts.append(self.article_block())
-            if rng.random() < 0.12:
-                parts.append(self.clutter(rng.choice(inside)))
+            if rng.random() < 0.16:
+                parts.append(self.clutter(rng.choice(inside), named=True))
         if rng.random() < 0.12:
             parts.append(self.clutter(rng.choice(("comments", "share", "form"))))
         article = self.element("content", "".join(parts), not self.named)
@@ -200,7 +221,9 @@ class PageMaker:
         if rng.random() < 0.8:
             after.append("footer")
         if rng.random() < 0.1:
-            before.append("sidebar")
+            before.append(rng.choice(("sidebar", "unseen")))
+        if rng.random() < 0.05:
+            after.append(rng.choice(("unseen", "header")))
         body = "".join(map(self.clutter, before)) + article + "".join(map(self.clutter, after))
         if rng.random() < 0.05:  # an article without any frame
             body = "".join(parts)

@@ -22,7 +22,7 @@ from rowloom.llm.labelled_pages import labelled_pages
 from rowloom.llm.slices import map_slices
 
 # Labelled pages that the field is trained on, and their seed.
-PAGES, SEED = 1000, 12
+PAGES, SEED = 1500, 12
 ROUNDS, RATE, DECAY = 150, 0.1, 2e-6
 # Words that name what surrounds articles, counted in texts of a few words.
 SIGNALS = frozenset(

@@ -153,6 +153,41 @@ def test_usual_pages(field):
     assert mainpages.main_text("<p>Only one.</p><p>And another sentence.</p>", field) == "Only one.\n\nAnd another sentence."
 
 
+CLUTTER = [
+    "<aside><h3>More to read here</h3><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>',
+    '<section class="comments"><h2>Comments</h2><p>{}</p></section>', '<div id="comments"><div class="comment"><b>Ann</b><p>{}</p></div></div>',
+    '<div class="cookie-banner"><p>{}</p><button>OK</button></div>', '<div id="gdpr-notice">{}</div>', '<div class="newsletter-signup"><p>{}</p></div>',
+    '<div class="ad-banner">{}</div>', '<div class="advertisement"><p>{}</p></div>', '<p class="disclaimer">{}</p>',
+    '<form action="/s"><label>Name</label><input name="q"><p>{}</p><button>Go</button></form>', "<noscript><p>{}</p></noscript>",
+    '<div style="display:none">{}</div>', '<div class="related-posts"><a href="/x">{}</a></div>',
+]
+FRAMES = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post">', "</div>"), ('<section class="story">', "</section>")]
+
+
+def test_given_pages_with_clutter_of_other_kinds(field):
+    """Pages whose article is framed otherwise, with one more block before, inside or after it."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()[:80]
+    texts = [" ".join(t.split())[: rng.choice((40, 200, 500))] for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if len(t) > 60]
+    right = total = 0
+    for clutter in CLUTTER:
+        for begin, end in FRAMES:
+            for place in ("before", "inside", "after"):
+                html = rng.choice(pages)
+                first, last = html.index("<article>"), html.index("</article>")
+                article, piece = html[first + 9 : last], clutter.format(rng.choice(texts))
+                parts = (" ".join(unescape(re.sub("<[^>]+>", " ", x)).split()) for x in re.split("</?p>|</?h1>", article))
+                at = article.find("</p>") + 4
+                body = {"before": piece + begin + article + end, "after": begin + article + end + piece, "inside": begin + article[:at] + piece + article[at:] + end}[place]
+                right += mainpages.main_text(html[:first] + body + html[last + 10 :], field) == "\n\n".join(p for p in parts if p)
+                total += 1
+    assert right / total > 0.95, right / total
+
+
 def test_query_on_awkward_rows(spark, field):
     long = "<article>" + "<p>One more sentence here, of the very long page.</p>" * 30000 + "</article>"
     rows = [(1, "u", None, "x", 1), (2, None, "", "x", 2), (None, None, BLOG, None, None), (3, "u", BLOG, "x", 3), (3, "u", BLOG, "x", 3), (4, "u", long, "x", 4)]
