@@ -223,7 +223,79 @@ def page_text(spark, folder):
     return mainpages.extract_main_text(table(spark, folder, "pages"), "html", ["page_id", "url"])
 
 
-@query("op13_conversation_repair")
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+REPAIR_SQL = f"""
+    WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+    named AS (
+        SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name,
+               coalesce(role, ' ') AS r, coalesce(text, ' ') AS x FROM conversations),
+    hashed AS (
+        SELECT conv_id, turn, r, x, xor(list_reduce(list_transform(string_split(name, ''), lambda c: unicode(c)),
+                   lambda h, b: xor(h >> 8, t[xor(h & 255, b) + 1]), 4294967295), 4294967295) % 20 AS k
+        FROM named, crc),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS role, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy,
+               CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS text
+        FROM hashed WHERE k <> 0),
+    rows AS MATERIALIZED (
+        SELECT conv_id, turn, role, text, left(role, 1) AS letter, rtrim(text, {_BLANKS}) AS bare,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM damaged),
+    marked AS MATERIALIZED (
+        SELECT *, CASE WHEN bare = '' THEN 2 WHEN seen > 1 THEN 3 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+               lag(letter) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM rows),
+    counts AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (WHERE fault = 2) AS blank, count(*) FILTER (WHERE fault = 3) AS duplicate,
+               count(*) FILTER (WHERE fault = 1) AS truncated,
+               count(*) FILTER (WHERE before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM marked GROUP BY conv_id),
+    -- states: 0 nothing yet, 1 after system, 2 user, 3 assistant; up to two inserts come before a row
+    inserts(s, mid, price, edits) AS (
+        VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+               (2, 2, 0, ''), (2, 3, 2, 'I'), (2, 2, 4, 'II'), (3, 3, 0, ''), (3, 2, 2, 'I'), (3, 3, 4, 'II')),
+    steps(mid, comes, onward) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+    moves AS (
+        SELECT letter, fault, s, mid AS onward, price + 3 AS price, edits || 'D' AS edits
+        FROM inserts, (SELECT DISTINCT letter, fault FROM marked)
+        UNION ALL
+        SELECT letter, fault, s, onward, price + fault + CASE WHEN comes = letter THEN 0 ELSE 2 END,
+               edits || CASE WHEN comes = letter THEN 'K' ELSE 'R' END
+        FROM inserts JOIN steps USING (mid), (SELECT DISTINCT letter, fault FROM marked WHERE fault < 2)
+        WHERE comes = letter OR comes <> 's'),
+    ways AS (
+        SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'audit': ''}} AS best FROM counts
+        UNION ALL
+        SELECT w.conv_id, w.i + 1, m.onward, min({{'cost': CAST(w.best.cost + m.price AS BIGINT), 'audit': w.best.audit || m.edits}})
+        FROM ways w JOIN marked r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1
+        JOIN moves m ON m.letter = r.letter AND m.fault = r.fault AND m.s = w.s
+        GROUP BY w.conv_id, w.i, m.onward),
+    found AS (
+        SELECT conv_id, min({{'cost': best.cost + [0, 4, 2, 0][s + 1], 'audit': best.audit || ['', 'II', 'I', ''][s + 1]}}) AS best
+        FROM ways JOIN counts USING (conv_id) WHERE i = n GROUP BY conv_id
+        UNION ALL
+        SELECT NULL, min({{'cost': best.cost + [0, 4, 2, 0][s + 1], 'audit': best.audit || ['', 'II', 'I', ''][s + 1]}})
+        FROM ways w JOIN counts c ON w.conv_id IS NULL AND c.conv_id IS NULL WHERE i = n HAVING count(*) > 0),
+    edits AS (
+        SELECT conv_id, p, substr(best.audit, p, 1) AS edit,
+               length(replace(substr(best.audit, 1, p), 'I', '')) AS i, length(replace(substr(best.audit, 1, p), 'D', '')) AS q
+        FROM (SELECT conv_id, best, unnest(range(1, length(best.audit) + 1)) AS p FROM found)),
+    kept AS (
+        SELECT e.conv_id, p, q, edit, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, role,
+               max(CASE WHEN q = 1 AND edit = 'K' AND letter = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS system
+        FROM edits e LEFT JOIN marked r ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.i WHERE edit <> 'D'),
+    repaired AS (
+        SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (q - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                   || ':' || text, chr(10) ORDER BY p) AS lines FROM kept GROUP BY conv_id)
+    SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+           CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+           CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+           coalesce(best.audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN found f ON g.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN repaired r ON g.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
+@query("op13_conversation_repair", REPAIR_SQL)
 def conversation_repair(spark, folder):
     """Faults, cheapest edits and the digest of the repaired rows of every damaged conversation."""
     given = table(spark, folder, "conversations")
