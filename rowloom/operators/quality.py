@@ -245,7 +245,7 @@ def _errors_within(value: Column, path: Column, rules: Sequence[Rule]) -> Column
         is_object = code == TYPE_CODES["object"]
         marks = [F.when(_broken(r, values), F.struct(path.alias("path"), F.lit(r.label).alias("rule"))) for r in own]
         for r in required:
-            absent = is_object & F.schema_of_variant(_child(v, r.path[0])).isNull()
+            absent = is_object & _child(v, r.path[0]).isNull()
             below = F.concat(path, F.lit(f".{r.path[0]}"))
             marks.append(F.when(absent, F.struct(below.alias("path"), F.lit(r.label).alias("rule"))))
         parts = [F.filter(F.array(*marks), lambda e: e.isNotNull())] if marks else []

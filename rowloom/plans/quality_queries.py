@@ -417,7 +417,8 @@ def order_json(spark, folder):
         ).alias("line"),
     )
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line))["line"].alias("lines"))
-    orders = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # by order key on both sides: the events then lie in many partitions, however few files the orders have
+    orders = table(spark, folder, "orders").repartition("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     none = F.array().cast(lines.schema["lines"].dataType)
     event = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.coalesce("lines", none).alias("lines"))
     return orders.select("o_orderkey", F.to_json(event).alias("payload"))
