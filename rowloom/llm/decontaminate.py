@@ -89,7 +89,10 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def pattern_blocks(items: DataFrame, key: str, text: str, block_words: int, window: int) -> Iterator[PatternSet]:
-    """The items in blocks of about ``block_words`` words; the driver holds one block at a time."""
+    """The items in blocks of about ``block_words`` words, read through the driver block by block.
+
+    The caller broadcasts them; they stay until the result that needs them has been read.
+    """
     held, size = [], 0
     for item, found in items.where(F.col(text).isNotNull()).select(key, text).toLocalIterator():
         words = words_of(found)
