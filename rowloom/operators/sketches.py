@@ -43,8 +43,9 @@ def file_states(df: DataFrame, columns: Sequence[str], file: Column) -> DataFram
         dtype, value = type_of(df, name), present(df, name)
         number = value.cast("double") if is_numeric(dtype) else F.lit(None).cast("double")
         text = F.lit(None).cast("string") if is_numeric(dtype) else as_text(df, name)
-        # texts as they are, numbers by their bits: equal values have equal hashes
-        hashed = F.xxhash64(number + 0.0 if not isinstance(dtype, T.IntegralType) else value.cast("bigint")) if is_numeric(dtype) else F.xxhash64(text)
+        # equal values have equal hashes; both zeros are one value
+        whole = isinstance(dtype, T.IntegralType)
+        hashed = F.xxhash64(value.cast("bigint") if whole else number + 0.0 if is_numeric(dtype) else text)
         there = value.isNotNull()
         aggs += [
             F.count(value).alias(f"present{i}"),
@@ -58,7 +59,8 @@ def file_states(df: DataFrame, columns: Sequence[str], file: Column) -> DataFram
             F.kll_sketch_agg_double(number, KLL_SIZE).alias(f"quantiles{i}"),
         ]
         own = [f.name for f in STATE.fields[6:]]
-        cells.append(F.struct(F.lit(name).alias("column"), F.lit(dtype.simpleString()).alias("dtype"), "n_rows", *[col(f"{c}{i}").alias(c) for c in own]))
+        named = [F.lit(name).alias("column"), F.lit(dtype.simpleString()).alias("dtype"), F.col("n_rows")]
+        cells.append(F.struct(*named, *[col(f"{c}{i}").alias(c) for c in own]))
     return df.groupBy(file.alias("path")).agg(*aggs).select("path", F.inline(F.array(*cells)))
 
 
@@ -72,7 +74,8 @@ def refresh_sketches(spark: SparkSession, path: str, store: str, columns: str |
     try:
         known = spark.read.schema(STATE).parquet(store)
         fresh = files.join(known.select(*_FILE).distinct(), list(_FILE), "left_anti")
-        columns = columns or [r["column"] for r in known.select("column").distinct().orderBy("column").collect()] or None
+        stored = known.select("column").where("column IS NOT NULL").distinct().orderBy("column").collect()
+        columns = columns or [r["column"] for r in stored] or None
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

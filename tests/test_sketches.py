@@ -83,6 +83,10 @@ def test_replaced_deleted_and_empty_files(spark, folder):
     found = sketches.sketched_profile(spark, path, store).collect()
     assert sorted(r["column"] for r in found) == ["k", "x"]  # the store keeps to its columns
     assert {r["n_rows"] for r in found} == {spark.read.parquet(path).count()}
+    add(rows(6, 30), 1)
+    assert sketches.refresh_sketches(spark, path, store) == 1
+    found = sketches.sketched_profile(spark, path, store).collect()
+    assert sorted((r["column"], r["n_rows"]) for r in found) == [(c, spark.read.parquet(path).count()) for c in ("k", "x")]
 
 
 def test_exact_quantiles_sketch_what_is_new(spark, folder):
