@@ -19,6 +19,9 @@ from rowloom.operators.json_ops import filter_by_path, json_extract
 from rowloom.operators.payload import triage_payload
 from rowloom.operators.quality import Rule, validate_events
 from rowloom.operators.select import filter_rows
+from rowloom.session import DEFAULTS
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 # S2: the same code in batch and stream
 stream_filter = filter_rows
@@ -198,7 +201,8 @@ def stream_session_events(
 
     An event comes out once the watermark (the latest time seen less ``delay``) has passed it, which fixes its place; an
     event that arrives later than that is dropped. So state holds the events of the last ``delay`` of time, one small
-    row per session not yet ended by ``gap``, and the events of sessions that are still too short.
+    row per session not yet ended by ``gap``, and the events of sessions that are still too short. The session's state
+    store is set to RocksDB.
     """
     ties = require(stream, as_list(tie))
     require(stream, [key, ts])
@@ -206,6 +210,8 @@ def stream_session_events(
         raise ToolkitError("min_events must be positive")
     if not re.fullmatch(r"[\w .+-]+", gap):
         raise ToolkitError(f"{gap!r} is not an interval")
+    # keyed state with lists and timers needs this store; a query that runs already keeps the one it started with
+    stream.sparkSession.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
     pause = stream.sparkSession.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL '{gap}'")))
     plain = [f.name for f in stream.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
     order = [col(t) for t in ties] or [F.xxhash64(*[col(c) for c in plain])]
