@@ -1,4 +1,4 @@
-"""Equi-joins of tables whose heaviest keys are heavy on both sides."""
+"""Equi-joins of tables whose heaviest keys are heavy on both sides, and totals over their pairs."""
 
 from __future__ import annotations
 
@@ -109,3 +109,31 @@ def join_skewed(
     if how in ("right", "outer"):
         out = out.unionByName(alone(right, grid_b, grid_a, right, False))
     return out
+
+
+def join_totals(
+    left: DataFrame, right: DataFrame, keys: str | Sequence[str], left_value: str, right_value: str, how: str = "inner", **options
+) -> DataFrame:
+    """Totals per key over the pairs of :func:`join_skewed`, which takes the ``options``.
+
+    Columns: the keys, ``n`` (pairs, and rows without a partner), ``left_n`` and ``right_n`` (present values of each side in
+    them), ``left_sum`` and ``right_sum``. The right rows of a key meet each left row as one class with their number and
+    totals, so the work grows with the rows of the sides, not with the pairs of a key that is heavy on both.
+    """
+    names = require(left, keys)
+    require(right, keys)
+    require(left, [left_value])
+    require(right, [right_value])
+    rows = left.select(*[col(k) for k in names], col(left_value).alias("__value"))
+    classes = right.groupBy(*[present(right, k).alias(k) for k in names]).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count(col(right_value)).alias("__n"), F.sum(col(right_value)).alias("__sum")
+    )
+    met = join_skewed(rows, classes, names, how, **options)
+    pairs = F.coalesce("__rows", F.lit(1))
+    return met.groupBy(*[col(k) for k in names]).agg(
+        F.sum(pairs).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("__value").isNotNull(), pairs)), F.lit(0)).alias("left_n"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("right_n"),
+        F.sum(F.col("__value") * pairs).alias("left_sum"),
+        F.sum("__sum").alias("right_sum"),
+    )

@@ -219,14 +219,9 @@ _HOT_CUSTOMER = "CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE c_custkey END"
 def join_outer_skewed(spark, folder):
     left = table(spark, folder, "events").select(F.expr(_HOT_EVENT).alias("key"), "event_id")
     right = table(spark, folder, "customer").select(F.expr(_HOT_CUSTOMER).alias("key"), "c_custkey")
-    pairs = skew.join_skewed(left, right, "key", "outer")
-    return pairs.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("event_id").alias("events"),
-        F.count("c_custkey").alias("customers"),
-        F.sum("event_id").alias("event_sum"),
-        F.sum("c_custkey").alias("customer_sum"),
-    )
+    names = {"n": "n", "left_n": "events", "right_n": "customers", "left_sum": "event_sum", "right_sum": "customer_sum"}
+    totals = skew.join_totals(left, right, "key", "event_id", "c_custkey", "outer")
+    return totals.select("key", *[F.col(c).alias(name) for c, name in names.items()])
 
 
 # keys of one side only are negative or beyond all others

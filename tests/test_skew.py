@@ -58,3 +58,21 @@ def test_bad_arguments(spark):
     for wrong in ({"how": "cross"}, {"share": 0.0}, {"share": 2.0}, {"parts": 0}):
         with pytest.raises(ToolkitError):
             skew.join_skewed(left, right, "k", **wrong)
+
+
+@pytest.mark.parametrize("how", joins.HOW)
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_totals_equal_those_of_the_pairs(spark, how, null_safe):
+    left, right = (df.withColumn("v", F.expr("IF(v % 7 = 0, NULL, v)")) for df in sides(spark))
+    pairs = joins.join(left, right, "k", how, null_safe).groupBy("k")
+    plain = pairs.agg(F.count("*"), F.count("v_x"), F.count("v_y"), F.sum("v_x"), F.sum("v_y"))
+    found = skew.join_totals(left, right, "k", "v", "v", how, null_safe=null_safe, share=0.05, parts=6)
+    assert found.columns == ["k", "n", "left_n", "right_n", "left_sum", "right_sum"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_totals_build_no_pairs(spark):
+    """60,000,000,000 pairs of one key."""
+    left, right = spark.range(300_000).selectExpr("0 AS k", "id AS a"), spark.range(200_000).selectExpr("0 AS k", "id AS b")
+    found = skew.join_totals(left, right, "k", "a", "b", "outer").collect()
+    assert list(map(tuple, found)) == [(0, 6 * 10**10, 6 * 10**10, 6 * 10**10, 299_999 * 150_000 * 200_000, 199_999 * 100_000 * 300_000)]
