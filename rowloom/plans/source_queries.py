@@ -216,8 +216,9 @@ def inspect_parquet(spark, folder):
     f"SELECT unnest({[f'{t}.parquet' for t in sorted(TABLES)]}) AS name, TRUE AS has_bytes",
 )
 def file_inventory(spark, folder):
-    found = files.file_inventory(spark, folder, glob="*.parquet")
-    return found.select(F.regexp_extract("key", "([^/]*)$", 1).alias("name"), (F.col("size") > 0).alias("has_bytes"))
+    """A row for each table, be it one file or a folder of files."""
+    found = files.entry_totals(spark, files.file_inventory(spark, folder, glob="*.parquet"), folder)
+    return found.select(F.col("entry").alias("name"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query(

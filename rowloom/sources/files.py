@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.errors import ToolkitError
+from rowloom.session import on_hadoop
 
 # Fixed names of formats by file ending.
 ENDINGS = {
@@ -119,6 +120,15 @@ def folder_totals(inventory: DataFrame) -> DataFrame:
     )
 
 
+def entry_totals(spark: SparkSession, inventory: DataFrame, path: str) -> DataFrame:
+    """(entry, files, bytes) of an inventory of ``path``: what lies in it directly, a folder with all files below it."""
+    root = on_hadoop(spark, path, "makeQualified").toString().rstrip("/")
+    below = F.expr(f"substring(key, {len(root) + 2})")
+    return inventory.groupBy(F.substring_index(below, "/", 1).alias("entry")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")
+    )
+
+
 _FOOTER = "path string, rows bigint, row_groups int, columns int, created_by string"
 
 

@@ -145,6 +145,18 @@ def test_inspect_parquet_and_inventory(spark, tmp_path, rows):
     assert total["files"] == 3 and total["bytes"] > 0
 
 
+def test_inventory_by_entry(spark, tmp_path, rows):
+    """A table may be a file or a folder, of more than one level."""
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "in" / "b.parquet"))
+    spark.range(9).selectExpr("id", "id % 2 AS k").coalesce(1).write.partitionBy("k").parquet(str(tmp_path / "in" / "c.parquet"))
+    one = next((tmp_path / "in" / "b.parquet").glob("part-*.parquet"))
+    (tmp_path / "in" / "a.parquet").write_bytes(one.read_bytes())
+    for path in (f"{tmp_path}/in", f"file://{tmp_path}/in/"):
+        totals = files.entry_totals(spark, files.file_inventory(spark, path, glob="*.parquet"), path)
+        assert rows(totals, "entry", "files") == [("a.parquet", 1), ("b.parquet", 3), ("c.parquet", 2)]
+        assert totals.where(f"entry = 'a.parquet' AND bytes = {one.stat().st_size}").count() == 1
+
+
 def test_datasets(spark, tmp_path, rows):
     store = datasets.Datasets(spark, str(tmp_path / "store"))
     assert store.names() == []
