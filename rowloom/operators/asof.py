@@ -13,6 +13,8 @@ from rowloom.functions.columns import as_list, col, require
 from rowloom.session import materialize
 
 DIRECTIONS = ("backward", "forward")
+# Rows of a range of key and time, about; fewer rows in all are dealt to ranges by the session's number of partitions.
+RANGE_ROWS = 100_000
 
 
 def _hashable(df: DataFrame) -> list[Column]:
@@ -40,7 +42,8 @@ def asof_join(
     columns counts, else the last by a hash of the row.
 
     Both sides are stacked and range-partitioned by (key, time), so that a key that owns most of the rows is spread over
-    many tasks, and written once. The last right row is carried forward inside each range. What comes before a range is
+    many tasks, and written once. The ranges are as many as the rows ask for, so that no task's memory grows with them;
+    counting takes a pass over keys and times. The last right row is carried forward inside each range. What comes before a range is
     the last right row of all earlier ones, so a row per range is all that crosses the borders. No pairs are built.
     """
     names = require(left, keys)
@@ -88,7 +91,10 @@ def asof_join(
     right_side, left_side = side(right, right_ts, True), side(left, left_ts, False)
     if ties:
         left_side = left_side.withColumn("__tie", F.lit(None).cast(right_side.schema["__tie"].dataType))
-    both = left_side.unionByName(right_side).repartitionByRange(*order).sortWithinPartitions(*order)
+    both = left_side.unionByName(right_side)
+    needed = 1 + both.select(F.count(F.lit(1))).first()[0] // RANGE_ROWS
+    ranges = [needed] if needed > 1 else []
+    both = both.repartitionByRange(*ranges, *order).sortWithinPartitions(*order)
     # high bits: number of the range; low 33 bits: row number inside it
     kept = both.select(*key_names, "__time", "__left", "__right", F.monotonically_increasing_id().alias("__at"))
     rows = materialize(kept, "asof").withColumn("__range", F.shiftright("__at", 33))
@@ -96,7 +102,8 @@ def asof_join(
     found = F.struct(*key_names, "__time", "__right")
     is_right = F.col("__right").isNotNull()
     inside = Window.partitionBy("__range", *key_names).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.withColumn("__near", F.last(F.when(is_right, found), ignorenulls=True).over(inside)).where("__left IS NOT NULL")
+    dealt = rows.repartition(*ranges, "__range")
+    near = dealt.withColumn("__near", F.last(F.when(is_right, found), ignorenulls=True).over(inside)).where("__left IS NOT NULL")
 
     # one row per range: the last right row before it
     last = rows.groupBy("__range").agg(F.max_by(F.when(is_right, found), F.when(is_right, F.col("__at"))).alias("__last"))

@@ -7,6 +7,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rowloom.errors import ToolkitError
 from rowloom.operators import asof
 
@@ -84,3 +86,15 @@ def test_empty_sides_and_bad_arguments(spark):
     for wrong in ({"direction": "nearest"}, {"how": "outer"}, {"tolerance": "1' day"}, {"right_ts": "absent"}):
         with pytest.raises(ToolkitError):
             asof.asof_join(a, b, "k", "t", **wrong)
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """Ten times the rows are dealt to ten times the ranges, whatever the number of shuffle partitions is."""
+    monkeypatch.setattr(asof, "RANGE_ROWS", 500)
+    for n in (1000, 10_000):
+        left = spark.range(n).selectExpr("0 AS k", "timestamp_seconds(id) AS t", "id AS a")
+        right = spark.range(n).selectExpr("0 AS k", "timestamp_seconds(id) AS t", "id AS b")
+        found = asof.asof_join(left, right, "k", "t")
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 2500
+        assert found.where("a = b").count() == n
