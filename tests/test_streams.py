@@ -129,6 +129,51 @@ def test_session_events_keep_values_and_drop_state(spark, tmp_path):
     assert rows <= 4
 
 
+class CountedState:
+    """State of one key that counts the calls, each of which is a round trip."""
+
+    def __init__(self, calls, is_list):
+        self.calls, self.is_list, self.value = calls, is_list, None
+
+    def __getattr__(self, name):
+        def call(value=None):
+            self.calls.append(name)
+            if name == "get":
+                return iter(self.value or []) if self.is_list else self.value
+            if name == "exists":
+                return self.value is not None
+            self.value = [*(self.value or []), *value] if name == "appendList" else value
+            return None
+
+        return call
+
+
+def test_session_events_need_few_state_calls(spark):
+    calls = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return CountedState(calls, True)
+
+        def getValueState(self, name, schema):
+            return CountedState(calls, False)
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 1500
+
+    processor = streams._SessionEvents(10_000, 2)
+    processor.init(Handle())
+    list(processor.handleInputRows(("a",), iter([("a", None, i * 1000, (i,), i) for i in range(2000)]), None))
+    assert len(processor.waiting.value) == 2 and len(calls) == 2
+    found = list(processor.handleExpiredTimer(("a",), Now(), None))
+    assert [r["record"][0] for r in found] == list(range(1501)) and len(processor.waiting.value) == 1
+    assert len(calls) <= 8
+
+
 def test_short_sessions(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     feed.add(*[(i, "a", at(t)) for i, t in enumerate((0, 1, 50, 51, 52, 100))], (99, "z", at(900)))
