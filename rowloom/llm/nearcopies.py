@@ -10,6 +10,11 @@ The members of a bucket are kept in *classes* of bounded size. A class proposes
 the links grow with its members, not with their square. A crowded bucket has several classes: it is dealt by hash, and
 once more by the members' next band, which brings the likest together; every member is in as many different deals as it
 has bands. All pairs of a class are estimated, but never all of a crowded bucket.
+
+What both searches miss is found by an exact join. Under any fixed order of the shingles, the first ones of two similar
+sets (a fifth and one more) have a shingle in common, so rows meet by these *prefixes*. Only pairs of different
+components meet, as the others are joined already; a pair with too few common shingles in its prefixes to reach the
+similarity goes, the rest is verified. Shingles that many texts have come last in the order, so that they are in few prefixes.
 """
 
 from __future__ import annotations
@@ -38,6 +43,9 @@ CLASS_ROWS = 1024
 LEAST_ESTIMATE = 0.65
 # Shingle hashes whose least values are taken at a time.
 HASHED = 2048
+# One text in so many tells which shingles are common: those that come so often among them, of these the most frequent.
+# They change the order of the prefixes, so the speed, never the pairs.
+COMMON_SHARE, COMMON_LEAST, COMMON_ROWS = 16, 4, 1 << 18
 
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,14 +86,51 @@ def _named(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.unhex(F.md5(words)).alias("name"), words.alias("text"))
 
 
+def common_shingles(named: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts have, the most frequent last."""
+
+    def start():
+        def work(part):
+            sets = [shingle_set(x) for x in part.column("text").to_pylist()]
+            return {"shingle": np.concatenate(sets).view(np.int64)}
+
+        return work
+
+    some = named.where(F.pmod(F.xxhash64("key", "name"), F.lit(COMMON_SHARE)) == 0)
+    counts = map_slices(some.select("text"), "shingle long", start, "text").groupBy("shingle").count()
+    found = counts.where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "shingle").limit(COMMON_ROWS)
+    return found.select("shingle").toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def prefix_size(size: int, similarity: float = SIMILARITY) -> int:
+    """How many of its first shingles a set needs to share one with the first of any set that is as similar."""
+    return size - int(np.ceil(similarity * size - 1e-6)) + 1 if size else 0
+
+
+def in_order(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The ordered set with its common shingles last, these by rank; ``common`` is ordered by hash."""
+    if not len(common):
+        return shingles
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    known = common[at] == shingles
+    if not known.any():
+        return shingles
+    return np.concatenate([shingles[~known], shingles[known][np.argsort(ranks[at[known]])]])
+
+
 def _sketches(named: DataFrame) -> DataFrame:
-    """``key``, ``name``, ``digest`` of the shingle set, its fingerprint ``fp``, ``bands`` and a byte of each least value."""
-    more = StructType.fromDDL("digest binary, fp long, bands array<long>, sketch binary")
+    """``key``, ``name``, ``digest`` of the shingle set, its fingerprint ``fp``, ``bands``, a byte of each least value,
+    the ``size`` of the set and 32 bits of each shingle of its ``prefix``.
+    """
+    frequent = common_shingles(named)
+    ranks = np.argsort(frequent).astype(np.int32)
+    common = frequent[ranks]
+    more = StructType.fromDDL("digest binary, fp long, bands array<long>, sketch binary, size int, prefix array<int>")
     kind = StructType([*named.select("key", "name").schema.fields, *more.fields])
 
     def start():
         def work(part):
-            digests, fps, bands, sketches = [], [], [], []
+            digests, fps, bands, sketches, sizes, prefixes = [], [], [], [], [], []
             for value in part.column(2).to_pylist():
                 shingles = shingle_set(value)
                 least = least_values(shingles)
@@ -94,7 +139,10 @@ def _sketches(named: DataFrame) -> DataFrame:
                 found = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
                 bands.append(np.array(found, np.uint64).view(np.int64))
                 sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
-            named = {"key": part.column(0), "name": part.column(1)}
+                sizes.append(len(shingles))
+                first = in_order(shingles, common, ranks)[: prefix_size(len(shingles))]
+                prefixes.append(first.astype(np.uint32).view(np.int32))
+            named = {"key": part.column(0), "name": part.column(1), "size": sizes, "prefix": prefixes}
             return {**named, "digest": digests, "fp": fps, "bands": bands, "sketch": sketches}
 
         return work
@@ -191,6 +239,30 @@ def candidates(nodes: DataFrame, class_rows: int = CLASS_ROWS) -> tuple[DataFram
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), [path]
 
 
+def missed(nodes: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``x`` and ``y``: pairs of nodes of different components, all that are as similar among them, each once.
+
+    Common shingles of two sets are in both prefixes, or beyond the prefix that ends first. Shingles that share their
+    32 bits are counted as common, so they propose more pairs, never fewer.
+    """
+    placed = nodes.join(roots, "node", "left").select("node", "size", "prefix", F.coalesce("root", "node").alias("root"))
+
+    def side(name: str) -> DataFrame:
+        return placed.select(
+            F.explode("prefix").alias(f"{name}_shingle"),
+            F.col("node").alias(name),
+            F.col("size").alias(f"{name}_size"),
+            F.col("root").alias(f"{name}_root"),
+        )
+
+    small, large = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
+    met = (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_root") < F.col("y_root"))
+    pairs = side("x").join(side("y"), met & (small >= similarity * large - 1e-6))
+    counted = pairs.groupBy("x", "y", "x_size", "y_size").agg(F.count(F.lit(1)).alias("both"))
+    most = F.col("both") + F.ceil(similarity * large - 1e-6) - 1
+    return counted.where(most * (1 + similarity) >= similarity * (small + large) - 1e-6).select("x", "y")
+
+
 def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The links ``x`` and ``y`` whose texts' shingle sets are as similar at least; ``texts`` has ``node`` and ``text``."""
     met = links.join(texts.select(F.col("node").alias("x"), F.col("text").alias("x_text")), "x")
@@ -221,23 +293,35 @@ def near_copies(df: DataFrame, key: str, text: str, class_rows: int = CLASS_ROWS
     named = _named(df, key, text)
     sketches, sketched_path = _written(_sketches(named), "sketches")
     order = F.struct(F.col("key").isNull().alias("missing"), "key", "name")
-    sets = sketches.groupBy("digest").agg(F.min(order).alias("first"), F.first(F.struct("fp", "bands", "sketch")).alias("s"))
+    kept = F.first(F.struct("fp", "bands", "sketch", "size", "prefix")).alias("s")
+    sets = sketches.groupBy("digest").agg(F.min(order).alias("first"), kept)
     nodes, nodes_path = _written(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "s.*"), "nodes")
 
-    proposed, read = candidates(nodes, class_rows)
-    links, links_path = _written(proposed, "candidates")
-    linked = links.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes, "node")
-    linked = linked.select("node", F.col("first.key").alias("k"), F.col("first.name").alias("n"))
-    met = named.join(linked, F.col("key").eqNullSafe(F.col("k")) & (F.col("name") == F.col("n")))
-    # repeated rows have one text
-    texts, texts_path = _written(met.groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
-
-    roots = connected_components(verified(links, texts), "x", "y")
-    placed = nodes.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
+    def linked(proposed: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The proposed links that hold, and the folders read for them."""
+        links, links_path = _written(proposed, "candidates")
+        ends = links.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes, "node")
+        ends = ends.select("node", F.col("first.key").alias("k"), F.col("first.name").alias("n"))
+        met = named.join(ends, F.col("key").eqNullSafe(F.col("k")) & (F.col("name") == F.col("n")))
+        # repeated rows have one text
+        texts, texts_path = _written(met.groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
+        return verified(links, texts), [links_path, texts_path]
+
+    proposed, classes = candidates(nodes, class_rows)
+    links, read = linked(proposed)
+    roots, roots_path = _written(connected_components(links, "x", "y"), "roots")
+    discard(spark, *classes, *read)
+    links, read = linked(missed(nodes, roots))
+    ends = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    for end in "xy":
+        links = links.join(ends.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+    joined = connected_components(links, "x_root", "y_root").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    placed = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = placed.join(joined, "root", "left").select("digest", "first", F.coalesce("last", "root").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("component"))
     named_sets = placed.join(firsts, "root").select("digest", F.struct("component.key", "component.name").alias("component"))
     found, path = _written(sketches.join(named_sets, "digest").select("key", "name", "component"), "near-copies")
-    discard(spark, sketched_path, nodes_path, *read, links_path, texts_path)
+    discard(spark, sketched_path, nodes_path, roots_path, *read)
     return found, [path]
 
 

@@ -94,6 +94,20 @@ def test_links_of_a_large_group_grow_with_its_members(spark):
     assert len(links) <= 3 * (len(texts) - 1)
 
 
+def test_prefixes_find_what_both_searches_miss(spark, monkeypatch):
+    """A group in tiny classes, common shingles at the end of the order or not: the components are those of all pairs."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = [edited(rng, base, rng.randrange(1, 4)) for _ in range(300)]
+    texts += [edited(rng, texts[-1].split(), 2) for _ in range(40)] + [None, "two words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    truth = brute(texts)
+    for share in (1, 16):
+        monkeypatch.setattr(nearcopies, "COMMON_SHARE", share, raising=False)
+        found = {r["key"]: r["component"]["key"] for r in nearcopies.near_copies(df, "n", "text", 2)[0].collect()}
+        assert [found[i] for i in range(len(texts))] == truth
+
+
 def test_no_texts_stay_written(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
     rows = [(i, " ".join(f"t{i % 7}x{j}" for j in range(400))) for i in range(200)]
