@@ -217,6 +217,19 @@ def test_unique_items_compare_by_value(spark):
     assert [r["valid"] for r in found] == [False, True, False]
 
 
+def test_kinds_of_nested_values_need_no_schema(spark):
+    texts = ["[]", "[null]", "[1]", "[[1]]", "{}", '{"k": null}', '{"k": 1}', '{"j": [1]}', "null", "1", "2.0", '"k"', "true", None]
+    v = F.try_parse_json("text")
+    schema = F.schema_of_variant(v)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    kinds = [quality._kind_text(v, schema, inside) for inside in ([quality.ITEMS], ["k"])]
+    found = df.select("text", *[F.substring(c, 1, 2) for c in (schema, *kinds)]).collect()
+    assert all(r[1] == r[2] == r[3] for r in found)
+    # a schema that is not spelled out for the nested
+    quick = df.select("text", *[quality._kind_text(v, F.lit("none"), inside) for inside in ([quality.ITEMS], ["k"])]).collect()
+    assert [r[0] for r in quick if r[1] == "ARRAY"][-2:] == ["[1]", "[[1]]"] and '{"k": 1}' in [r[0] for r in quick if r[2] == "OBJECT"]
+
+
 def test_open_objects_and_whole_arrays(spark):
     df = spark.createDataFrame([('[{"a":1},{"a":"x"}]',), (None,)], "j string")
     schema = {"type": "array", "uniqueItems": False, "items": {"additionalProperties": True, "properties": {"a": {"type": "integer"}}}}
