@@ -15,6 +15,12 @@ What both searches miss is found by an exact join. Under any fixed order of the
 sets (a fifth and one more) have a shingle in common, so rows meet by these *prefixes*. Only pairs of different
 components meet, as the others are joined already; a pair with too few common shingles in its prefixes to reach the
 similarity goes, the rest is verified. Shingles that many texts have come last in the order, so that they are in few prefixes.
+
+Pairs meet one by one only at shingles of few prefixes, so their number grows with the prefixes. The texts with a shingle
+of more prefixes are a *crowd*; shingles that much the same texts have are one crowd, named by the smallest hash of its
+nodes, so that a group of texts meets once and not at every shingle. A crowd is dealt to blocks of bounded size, and every
+two blocks are compared on their whole sets inside a task, which returns the links that connect components (a spanning
+forest), never all pairs. A component that fills blocks of its own is not compared with itself.
 """
 
 from __future__ import annotations
@@ -46,6 +52,10 @@ HASHED = 2048
 # One text in so many tells which shingles are common: those that come so often among them, of these the most frequent.
 # They change the order of the prefixes, so the speed, never the pairs.
 COMMON_SHARE, COMMON_LEAST, COMMON_ROWS = 16, 4, 1 << 18
+# Prefixes with one shingle that meet pair by pair; more of them are a crowd.
+CROWD_ROWS = 64
+# A block of a crowd has about CLASS_ROWS members at most, and about so many shingles.
+BLOCK_SHINGLES = 1 << 17
 
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -239,21 +249,33 @@ def candidates(nodes: DataFrame, class_rows: int = CLASS_ROWS) -> tuple[DataFram
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), [path]
 
 
-def missed(nodes: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``x`` and ``y``: pairs of nodes of different components, all that are as similar among them, each once.
+def _postings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shingle``, ``node``, ``size`` and ``root``: the shingles of prefixes that nodes of different components share.
 
-    Common shingles of two sets are in both prefixes, or beyond the prefix that ends first. Shingles that share their
-    32 bits are counted as common, so they propose more pairs, never fewer.
+    ``rows`` is how many prefixes have the shingle, ``crowd`` the smallest hash of their nodes.
     """
     placed = nodes.join(roots, "node", "left").select("node", "size", "prefix", F.coalesce("root", "node").alias("root"))
+    rows = placed.select(F.explode("prefix").alias("shingle"), "node", "size", "root")
+    shared = rows.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(F.xxhash64("node")).alias("crowd"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+    )
+    return rows.join(shared.where("low < high").select("shingle", "rows", "crowd"), "shingle")
+
+
+def missed(postings: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``x`` and ``y``: pairs of nodes of different components that may be as similar, each once; without what only crowds show.
+
+    Common shingles of two sets are in both prefixes, or beyond the prefix that ends first. Shingles that share their
+    32 bits are counted as common, so they propose more pairs, never fewer. A pair that has a shingle of a crowd too is
+    compared there, so it may go here.
+    """
+    few = postings.where(F.col("rows") <= CROWD_ROWS)
 
     def side(name: str) -> DataFrame:
-        return placed.select(
-            F.explode("prefix").alias(f"{name}_shingle"),
-            F.col("node").alias(name),
-            F.col("size").alias(f"{name}_size"),
-            F.col("root").alias(f"{name}_root"),
-        )
+        return few.select(*[F.col(c).alias(f"{name}_{c}") for c in ("shingle", "size", "root")], F.col("node").alias(name))
 
     small, large = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
     met = (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_root") < F.col("y_root"))
@@ -263,6 +285,92 @@ def missed(nodes: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -
     return counted.where(most * (1 + similarity) >= similarity * (small + large) - 1e-6).select("x", "y")
 
 
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """``node`` and its ordered ``shingles``, 8 bytes each, of every text."""
+
+    def start():
+        return lambda part: {
+            "node": part.column(0),
+            "shingles": [shingle_set(x).tobytes() for x in part.column(1).to_pylist()],
+        }
+
+    return map_slices(texts.select("node", "text"), "node long, shingles binary", start, "text")
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """``crowd``, blocks ``a`` <= ``b`` that meet, ``node``, ``root``, and whether the node is ``in_a``: a row per member.
+
+    A component with more members of a crowd than a block holds has blocks of its own, which never meet each other.
+    """
+    rows, shingles = F.count(F.lit(1)) / F.lit(CLASS_ROWS), F.sum("size") / F.lit(BLOCK_SHINGLES)
+    parts = F.ceil(F.greatest(rows, shingles)).alias("parts")
+    own = members.groupBy("crowd", "root").agg(parts).where("parts > 1").select("crowd", "root", F.col("root").alias("owner"))
+    owned = members.join(own, ["crowd", "root"], "left").withColumn("owner", F.coalesce("owner", F.lit(-1)))
+    dealt = owned.groupBy("crowd", "owner").agg(parts)
+    blocks = dealt.select("crowd", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.select("crowd", F.struct("owner", "part").alias("block"))
+    placed = owned.join(dealt, ["crowd", "owner"]).withColumn("part", F.pmod(F.xxhash64("node", "crowd"), F.col("parts")))
+    placed = placed.select("crowd", F.struct("owner", "part").alias("block"), "node", "root")
+    a, b = (blocks.select("crowd", F.col("block").alias(name)) for name in "ab")
+    apart = (F.col("a.owner") != F.col("b.owner")) | (F.col("a.owner") == -1)
+    pairs = a.join(b, "crowd").where((F.col("a") <= F.col("b")) & apart)
+    ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    met = pairs.select("crowd", "a", "b", F.explode(ends).alias("block")).join(placed, ["crowd", "block"])
+    return met.select("crowd", "a", "b", "node", "root", (F.col("block") == F.col("a")).alias("in_a"))
+
+
+def near_forest(
+    sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float = SIMILARITY
+) -> list[tuple[int, int]]:
+    """Places of similar sets, one of ``left`` and one of ``right``, that connect all components such pairs connect."""
+    trees = np.unique(roots, return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    if not len(left) or not len(right) or trees.max() == 0:
+        return links
+    sizes = np.array([len(sets[j]) for j in right])
+    flat, owner = np.concatenate([sets[j] for j in right]), np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    for i in left:
+        begin = np.searchsorted(flat, sets[i], "left")
+        count = np.searchsorted(flat, sets[i], "right") - begin
+        begin, count = begin[count > 0], count[count > 0]
+        at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        near = right[both / (len(sets[i]) + sizes - both) >= similarity]
+        other, first = np.unique(trees[near], return_index=True)
+        new = other != trees[i]
+        if new.any():
+            links += [(int(i), int(j)) for j in near[first[new]]]
+            trees[np.isin(trees, other[new])] = trees[i]
+    return links
+
+
+def _crowd_links(meetings: DataFrame, sets: DataFrame) -> DataFrame:
+    """``x`` and ``y``: verified links of crowds; ``sets`` has ``node`` and ``shingles``."""
+    member = F.struct("node", "root", "in_a", "shingles")
+    held = meetings.join(sets, "node").groupBy("crowd", "a", "b").agg(F.collect_list(member).alias("members"))
+
+    def start():
+        def work(part):
+            x, y = [], []
+            for members, alone in zip(part.column("members"), part.column("alone").to_pylist(), strict=True):
+                values = members.values
+                found = [np.frombuffer(v, np.uint64) for v in values.field("shingles").to_pylist()]
+                in_a = np.array(values.field("in_a").to_pylist(), bool)
+                left, right = np.flatnonzero(in_a), np.flatnonzero(in_a if alone else ~in_a)
+                nodes = values.field("node").to_numpy()
+                for i, j in near_forest(found, values.field("root").to_numpy(), left, right):
+                    x.append(nodes[i])
+                    y.append(nodes[j])
+            return {"x": x, "y": y}
+
+        return work
+
+    alone = (F.col("a") == F.col("b")).alias("alone")
+    return map_slices(held.select("members", alone), "x long, y long", start)
+
+
 def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The links ``x`` and ``y`` whose texts' shingle sets are as similar at least; ``texts`` has ``node`` and ``text``."""
     met = links.join(texts.select(F.col("node").alias("x"), F.col("text").alias("x_text")), "x")
@@ -297,21 +405,32 @@ def near_copies(df: DataFrame, key: str, text: str, class_rows: int = CLASS_ROWS
     sets = sketches.groupBy("digest").agg(F.min(order).alias("first"), kept)
     nodes, nodes_path = _written(sets.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "s.*"), "nodes")
 
-    def linked(proposed: DataFrame) -> tuple[DataFrame, list[str]]:
-        """The proposed links that hold, and the folders read for them."""
-        links, links_path = _written(proposed, "candidates")
-        ends = links.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes, "node")
+    def texts_of(ends: DataFrame) -> DataFrame:
+        """``node`` and ``text`` of the nodes of ``ends``."""
+        ends = ends.select("node").distinct().join(nodes, "node")
         ends = ends.select("node", F.col("first.key").alias("k"), F.col("first.name").alias("n"))
         met = named.join(ends, F.col("key").eqNullSafe(F.col("k")) & (F.col("name") == F.col("n")))
         # repeated rows have one text
-        texts, texts_path = _written(met.groupBy("node").agg(F.min("text").alias("text")), "linked-texts")
+        return met.groupBy("node").agg(F.min("text").alias("text"))
+
+    def linked(proposed: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The proposed links that hold, and the folders read for them."""
+        links, links_path = _written(proposed, "candidates")
+        texts, texts_path = _written(texts_of(links.select(F.explode(F.array("x", "y")).alias("node"))), "linked-texts")
         return verified(links, texts), [links_path, texts_path]
 
     proposed, classes = candidates(nodes, class_rows)
     links, read = linked(proposed)
     roots, roots_path = _written(connected_components(links, "x", "y"), "roots")
     discard(spark, *classes, *read)
-    links, read = linked(missed(nodes, roots))
+    postings, postings_path = _written(_postings(nodes, roots), "postings")
+    links, read = linked(missed(postings))
+    members, members_path = _written(
+        postings.where(F.col("rows") > CROWD_ROWS).select("crowd", "node", "size", "root").distinct(), "crowds"
+    )
+    wholes, wholes_path = _written(_shingle_sets(texts_of(members)), "crowd-sets")
+    links = links.unionByName(_crowd_links(_meetings(members), wholes))
+    read += [postings_path, members_path, wholes_path]
     ends = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     for end in "xy":
         links = links.join(ends.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)

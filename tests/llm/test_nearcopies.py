@@ -108,6 +108,28 @@ def test_prefixes_find_what_both_searches_miss(spark, monkeypatch):
         assert [found[i] for i in range(len(texts))] == truth
 
 
+def test_near_misses_of_a_group_meet_in_blocks(spark, monkeypatch):
+    """Texts just below the similarity and a group above it: components of all pairs, and few pairs meet one by one."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [edited(rng, base, 2) for _ in range(300)] + [edited(rng, base, 1) for _ in range(80)]
+    proposed, verified = [], nearcopies.verified
+
+    def counted(links, *args):
+        proposed.append(links.count())
+        return verified(links, *args)
+
+    monkeypatch.setattr(nearcopies, "verified", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    truth = brute(texts)
+    for limits in ({}, {"CROWD_ROWS": 8, "CLASS_ROWS": 32}, {"CROWD_ROWS": 8, "BLOCK_SHINGLES": 1000}):
+        for name, value in limits.items():
+            monkeypatch.setattr(nearcopies, name, value, raising=False)
+        found = {r["key"]: r["component"]["key"] for r in nearcopies.near_copies(df, "n", "text", 4)[0].collect()}
+        assert [found[i] for i in range(len(texts))] == truth
+        assert proposed[-1] <= 10 * len(texts)
+
+
 def test_no_texts_stay_written(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
     rows = [(i, " ".join(f"t{i % 7}x{j}" for j in range(400))) for i in range(200)]
