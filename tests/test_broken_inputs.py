@@ -25,3 +25,8 @@ def orders(spark, tmp_path_factory):
 def test_projection_of_broken_documents_is_null(spark, orders, rows):
     found = rows(ENTRIES["json_extract_projection"].run(spark, orders))
     assert found == [(1, "N,R", 2, "O"), (1, None, None, None), (2, "A", 1, "O"), (3, "", 0, "F"), (3, None, None, None)]
+
+
+def test_object_of_broken_documents_is_null(spark, orders, rows):
+    found = rows(ENTRIES["json_extract_object"].run(spark, orders))
+    assert found == [(1, '{"buyer":7,"no":1}'), (1, None), (2, '{"buyer":7,"no":2}'), (3, '{"buyer":8,"no":3}'), (3, None)]
