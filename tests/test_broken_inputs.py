@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from rowloom.operators import flatten, json_ops
 from rowloom.plans.catalog import load_all
 
 ENTRIES = load_all()
@@ -30,3 +31,16 @@ def test_projection_of_broken_documents_is_null(spark, orders, rows):
 def test_object_of_broken_documents_is_null(spark, orders, rows):
     found = rows(ENTRIES["json_extract_object"].run(spark, orders))
     assert found == [(1, '{"buyer":7,"no":1}'), (1, None), (2, '{"buyer":7,"no":2}'), (3, '{"buyer":8,"no":3}'), (3, None)]
+
+
+def seen_by(monkeypatch, module, name) -> list:
+    """The tables that an operator is given from here on."""
+    tables, operator = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda df, *rest, **named: (tables.append(df), operator(df, *rest, **named))[1])
+    return tables
+
+
+def test_truthy_leaves_out_broken_documents_only(spark, orders, rows, monkeypatch):
+    given = seen_by(monkeypatch, json_ops, "filter_by_path")
+    assert rows(ENTRIES["filter_by_path_truthy"].run(spark, orders)) == [(1,), (2,)]
+    assert rows(flatten.json_defects(given[0], "doc"), "rows", "invalid", "valid") == [(5, 2, 3)]
