@@ -44,3 +44,10 @@ def test_truthy_leaves_out_broken_documents_only(spark, orders, rows, monkeypatc
     given = seen_by(monkeypatch, json_ops, "filter_by_path")
     assert rows(ENTRIES["filter_by_path_truthy"].run(spark, orders)) == [(1,), (2,)]
     assert rows(flatten.json_defects(given[0], "doc"), "rows", "invalid", "valid") == [(5, 2, 3)]
+
+
+def test_targets_leave_out_broken_documents_only(spark, orders, rows, monkeypatch):
+    given = seen_by(monkeypatch, flatten, "parse_json_column")
+    found = rows(ENTRIES["parse_json_targets"].run(spark, orders))
+    assert found == [(1, 1, 7, "O", None), (2, 2, 7, "O", None), (3, 3, 8, "F", None)]
+    assert rows(flatten.json_defects(given[0], "doc"), "rows", "invalid", "valid") == [(5, 2, 3)]
