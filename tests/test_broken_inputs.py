@@ -51,3 +51,7 @@ def test_targets_leave_out_broken_documents_only(spark, orders, rows, monkeypatc
     found = rows(ENTRIES["parse_json_targets"].run(spark, orders))
     assert found == [(1, 1, 7, "O", None), (2, 2, 7, "O", None), (3, 3, 8, "F", None)]
     assert rows(flatten.json_defects(given[0], "doc"), "rows", "invalid", "valid") == [(5, 2, 3)]
+
+
+def test_broken_documents_are_counted_as_skipped(spark, orders, rows):
+    assert rows(ENTRIES["dedupe_counts"].run(spark, orders)) == [(5, 2, 2)]
