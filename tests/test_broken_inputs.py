@@ -55,3 +55,16 @@ def test_targets_leave_out_broken_documents_only(spark, orders, rows, monkeypatc
 
 def test_broken_documents_are_counted_as_skipped(spark, orders, rows):
     assert rows(ENTRIES["dedupe_counts"].run(spark, orders)) == [(5, 2, 2)]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("documents"))
+    data = [(1, "plain", "en", 900), (2, "rahmen", "de", 900), (3, "fr", "fr", 900), (4, "largo", "es", 900), (5, "corto", "es", 5), (6, "?", None, 900)]
+    spark.createDataFrame(data, "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_empty_payloads_are_counted_beside_whole_ones(spark, documents, rows):
+    found = rows(ENTRIES["triage_counts"].run(spark, documents))
+    assert found == [("binary", None, 4), ("empty", None, 2), ("framed", 900, 1), ("text", None, 1)]
