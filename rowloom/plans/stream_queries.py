@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowloom.plans.catalog import query, table
-from rowloom.plans.event_queries import payloads
+from rowloom.plans.event_queries import _PAYLOADS, payloads
 from rowloom.plans.quality_queries import _BROKEN, EVENT_SCHEMA, event_json
 from rowloom.session import scratch_path
 from rowloom.streaming import streams
@@ -61,11 +61,11 @@ def filter_extract(spark, folder):
 
 @query(
     "stream_triage",
-    """SELECT doc_id, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'framed' ELSE 'binary' END AS payload_class,
-              CASE WHEN lang = 'de' THEN n_chars END AS schema_id FROM documents""",
+    f"""SELECT doc_id, CASE WHEN emptied THEN 'empty' WHEN lang = 'en' THEN 'text' WHEN lang = 'de' THEN 'framed' ELSE 'binary' END AS payload_class,
+              CASE WHEN lang = 'de' THEN n_chars END AS schema_id FROM {_PAYLOADS}""",
 )
 def triage(spark, folder):
-    stream = _as_stream(spark, payloads(spark, folder), "triage")
+    stream = _as_stream(spark, payloads(spark, folder, beside=True), "triage")
     return _run(spark, streams.stream_triage(stream, "payload").select("doc_id", "payload_class", "schema_id"), "triage")
 
 

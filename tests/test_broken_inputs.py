@@ -68,3 +68,9 @@ def documents(spark, tmp_path_factory):
 def test_empty_payloads_are_counted_beside_whole_ones(spark, documents, rows):
     found = rows(ENTRIES["triage_counts"].run(spark, documents))
     assert found == [("binary", None, 4), ("empty", None, 2), ("framed", 900, 1), ("text", None, 1)]
+
+
+def test_empty_payloads_come_through_the_stream(spark, documents, rows):
+    found = rows(ENTRIES["stream_triage"].run(spark, documents))
+    kinds = [(1, "text", None), (2, "framed", 900), (3, "binary", None), (4, "binary", None), (4, "empty", None), (5, "binary", None)]
+    assert found == kinds + [(6, "binary", None), (6, "empty", None)]
